@@ -1,19 +1,20 @@
 """Exact order statistics per group without sorting the group.
 
 ``percentile`` keeps every distinct value of a group in one reducer. Here a
-sketch (``percentile_approx``, rank error at most n / accuracy) brackets each
-wanted rank, the rows below the bracket are only counted, and just the rows
-inside the bracket, about 4n / accuracy of them, are ranked, with ``group_rank``
-so that even those spread over tasks.
+sketch (``percentile_approx``) only proposes cut values around each wanted
+rank. The rows between cuts are counted, which tells exactly which narrow bin
+holds a rank, and just that bin, about 4n / accuracy rows, is ranked, with a
+range-partitioned running count so that even it spreads over tasks. The result
+does not depend on the quality of the sketch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomframe.core.order import group_rank
+from loomframe.core.order import group_prefix_sum
 from loomframe.core.session import materialize
 
 
@@ -27,68 +28,51 @@ def select_ranks(
     """One row per (group, name): the value at an exact 0-based rank.
 
     ``wanted`` maps a result name to (fraction, rank as a function of n); the
-    fraction only steers the bracket and must be within 1/n of rank / n.
+    fraction only says where to look for the rank.
     """
     group = list(group)
     key = group or ["_all"]
-    base = df.filter(F.col(value).isNotNull())
-    base = base.select(*group, F.col(value).alias("_v"))
+    base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
     if not group:
-        base = base.select(F.lit(1).alias("_all"), "_v")
-    low = {k: max(p - 2.0 / accuracy, 0.0) for k, (p, _) in wanted.items()}
-    high = {k: min(p + 2.0 / accuracy, 1.0) for k, (p, _) in wanted.items()}
-    aggs = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
-    cuts = sorted(set(low.values()) | set(high.values()))
-    aggs.append(F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
-    stats = base.groupBy(*key).agg(*aggs)
-    probes = []
-    for name, (_, rank_of) in wanted.items():
-        # two extra rows of slack on small groups, where 2/accuracy rounds to nothing
-        lo = F.col("_min") if low[name] == 0.0 else F.get("_cuts", F.lit(cuts.index(low[name])))
-        hi = F.col("_max") if high[name] == 1.0 else F.get("_cuts", F.lit(cuts.index(high[name])))
-        probes.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                rank_of(F.col("_n")).cast("bigint").alias("rank"),
-                lo.alias("lo"),
-                hi.alias("hi"),
-            )
-        )
-    # one row per (group, probe); its file size decides whether the join is broadcast
-    brackets = materialize(
-        stats.select(*key, "_n", F.explode(F.array(*probes)).alias("_q")).select(
-            *key,
-            "_n",
-            F.col("_q.name").alias("_name"),
-            F.col("_q.rank").alias("_rank"),
-            F.col("_q.lo").alias("_lo"),
-            F.col("_q.hi").alias("_hi"),
+        base = base.withColumn("_all", F.lit(1))
+    slack = 2.0 / accuracy
+    points = sorted({min(max(p + d, 0.0), 1.0) for p, _ in wanted.values() for d in (-slack, slack)})
+    # one row per group; the file size decides how the join below runs
+    cuts = materialize(
+        base.groupBy(*key).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_v", points, accuracy))).alias("_cuts")
         ),
-        "brackets",
+        "cuts",
     )
-    near = base.join(brackets, key).filter(F.col("_v") <= F.col("_hi"))
-    below = (
-        near.filter(F.col("_v") < F.col("_lo"))
-        .groupBy(*key, "_name")
-        .agg(F.count("*").alias("_below"))
+    bin_of = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+    binned = base.join(cuts, key).withColumn("_bin", bin_of).drop("_cuts")
+    bins = materialize(binned.groupBy(*key, "_bin").agg(F.count("*").alias("_c")), "bins")
+    # a group has at most 2 * len(wanted) + 1 bins
+    upto = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bins.withColumn("_end", F.sum("_c").over(upto))
+    sizes = bins.groupBy(*key).agg(F.sum("_c").alias("_n"))
+    ranks = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), rank_of(F.col("_n")).cast("bigint").alias("_rank"))
+            for name, (_, rank_of) in wanted.items()
+        ]
     )
-    # equal values are folded before ranking: a hot value is one row
-    inside = (
-        near.filter(F.col("_v") >= F.col("_lo"))
-        .groupBy(*key, "_name", "_rank", "_v")
+    targets = materialize(
+        sizes.select(*key, F.inline(ranks))
+        .join(placed, key)
+        .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
+        .select(*key, "_bin", "name", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_r")),
+        "targets",
+    )
+    # equal values fold into one row before they are ranked
+    detail = (
+        binned.join(targets.select(*key, "_bin").distinct(), [*key, "_bin"])
+        .groupBy(*key, "_bin", "_v")
         .agg(F.count("*").alias("_c"))
-        .join(below, [*key, "_name"], "left")
     )
-    ranked = _running_count(inside, [*key, "_name"])
-    upto = F.col("_upto") + F.coalesce("_below", F.lit(0))
-    hit = (upto > F.col("_rank")) & (upto - F.col("_c") <= F.col("_rank"))
-    return ranked.filter(hit).select(*group, F.col("_name").alias("name"), F.col("_v").alias("value"))
-
-
-def _running_count(df: DataFrame, group: list[str]) -> DataFrame:
-    from loomframe.core.order import group_prefix_sum
-
-    return group_prefix_sum(df, "_c", group, ["_v"], "_upto")
+    running = group_prefix_sum(detail, "_c", [*key, "_bin"], ["_v"], "_upto")
+    hit = (F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_c") <= F.col("_r"))
+    return running.join(targets, [*key, "_bin"]).filter(hit).select(*group, "name", F.col("_v").alias("value"))
 
 
 def interpolated(

@@ -21,11 +21,12 @@ def _c(x) -> Column:
 
 
 def over_array(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda v: F.transform(v, fn)
+    # one-argument lambda: transform would pass the position to a second parameter
+    return lambda v: F.transform(v, lambda x: fn(x))
 
 
 def over_arrays(fn: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda a, b: F.zip_with(a, b, fn)
+    return lambda a, b: F.zip_with(a, b, lambda x, y: fn(x, y))
 
 
 # arithmetic -----------------------------------------------------------------

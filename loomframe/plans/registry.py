@@ -60,3 +60,19 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_sql() -> dict[str, str]:
     _load_all()
     return dict(_SQL)
+
+
+# SQL fragments ---------------------------------------------------------------
+def r(expr: str, digits: int = 6) -> str:
+    """Round for comparison, without negative zero."""
+    return f"(CASE WHEN round({expr}, {digits}) = 0 THEN 0.0 ELSE round({expr}, {digits}) END)"
+
+
+def h(seed, *keys: str) -> str:
+    """The keyed hash of loomframe.core.keyed in SQL."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"({k})::VARCHAR" for k in keys]])
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT)"
+
+
+LONG_EMBEDDINGS = """(SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
+  generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
