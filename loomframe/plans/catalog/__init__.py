@@ -5,4 +5,5 @@ from loomframe.plans.catalog import (  # noqa: F401
     features,
     reductions,
     sampling,
+    text,
 )
