@@ -1,9 +1,12 @@
 """Importing this package registers every query."""
 
 from loomframe.plans.catalog import (  # noqa: F401
+    detection,
     elementwise,
     features,
+    learning,
     reductions,
     sampling,
+    shapes,
     text,
 )

@@ -65,7 +65,8 @@ def all_sql() -> dict[str, str]:
 # SQL fragments ---------------------------------------------------------------
 def r(expr: str, digits: int = 6) -> str:
     """Round for comparison, without negative zero."""
-    return f"(CASE WHEN round({expr}, {digits}) = 0 THEN 0.0 ELSE round({expr}, {digits}) END)"
+    rounded = f"round(({expr})::DOUBLE, {digits})"
+    return f"(CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END)"
 
 
 def h(seed, *keys: str) -> str:
