@@ -8,5 +8,8 @@ from loomframe.plans.catalog import (  # noqa: F401
     reductions,
     sampling,
     shapes,
+    sources,
+    streams,
     text,
+    training,
 )

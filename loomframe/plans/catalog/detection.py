@@ -73,7 +73,7 @@ def _iou_join(t: Tables):
 
 @query(
     "box_iou",
-    f"""SELECT box_id, {r(iou_sql('', 'b_'))} AS iou FROM (SELECT *, x1 + image % 7 / 10.0::DOUBLE AS b_x1, y1 + image % 5 / 10.0::DOUBLE AS b_y1, x2 + 0.05::DOUBLE AS b_x2, y2 + 0.5::DOUBLE AS b_y2 FROM {BOXES})""",
+    f"""SELECT box_id, {r(iou_sql('', 'b_'))} AS iou FROM (SELECT *, x1 + image % 7 / 10.0::DOUBLE AS b_x1, y1 + image % 5 / 10.0::DOUBLE AS b_y1, x2 + image % 7 / 10.0::DOUBLE AS b_x2, y2 + image % 5 / 10.0::DOUBLE AS b_y2 FROM {BOXES})""",
 )
 def _box_iou(t: Tables):
     b = boxes(t)
@@ -81,8 +81,8 @@ def _box_iou(t: Tables):
     other = {
         "x1": F.col("x1") + F.col("image") % 7 / 10.0,
         "y1": F.col("y1") + F.col("image") % 5 / 10.0,
-        "x2": F.col("x2") + 0.05,
-        "y2": F.col("y2") + 0.5,
+        "x2": F.col("x2") + F.col("image") % 7 / 10.0,
+        "y2": F.col("y2") + F.col("image") % 5 / 10.0,
     }
     return b.select("box_id", F.round(D.box_iou(mine, other), 6).alias("iou"))
 
@@ -241,8 +241,8 @@ def _ssd_decode(t: Tables):
 @query(
     "pose_peaks",
     f"""
-WITH m AS (SELECT vec_id, pos // 16 AS joint, arg_max(pos % 16, (x, -pos)) AS at, max(x) AS top FROM {LONG_EMBEDDINGS} GROUP BY 1, 2)
-SELECT vec_id, joint, (at % 4) / 4.0::DOUBLE AS x, (at // 4) / 4.0::DOUBLE AS y, {r('top')} AS confidence FROM m WHERE top > 0.2""",
+WITH m AS (SELECT vec_id, pos // 16 AS joint, arg_max(pos % 16, (x, -pos)) AS peak, max(x) AS top FROM {LONG_EMBEDDINGS} GROUP BY 1, 2)
+SELECT vec_id, joint, (peak % 4) / 4.0::DOUBLE AS x, (peak // 4) / 4.0::DOUBLE AS y, {r('top')} AS confidence FROM m WHERE top > 0.2""",
 )
 def _pose(t: Tables):
     v = V.doubles("embedding")
