@@ -80,7 +80,7 @@ def read_text_label_from_path(
     spark: SparkSession, path: str, pattern: str = r"/(pos|neg)/(\d+)_(\d+)\.txt$", positive: str = "pos"
 ) -> DataFrame:
     """Whole files; the label is in the path: directory = sentiment, file = id_score.txt."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(name, pattern, i)
     return df.select(
