@@ -53,7 +53,7 @@ def select_ranks(
     sizes = bins.groupBy(*key).agg(F.sum("_c").alias("_n"))
     ranks = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), rank_of(F.col("_n")).cast("bigint").alias("_rank"))
+            F.struct(F.lit(name).alias("_name"), rank_of(F.col("_n")).cast("bigint").alias("_rank"))
             for name, (_, rank_of) in wanted.items()
         ]
     )
@@ -61,7 +61,7 @@ def select_ranks(
         sizes.select(*key, F.inline(ranks))
         .join(placed, key)
         .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
-        .select(*key, "_bin", "name", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_r")),
+        .select(*key, "_bin", "_name", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_r")),
         "targets",
     )
     # equal values fold into one row before they are ranked
@@ -72,7 +72,9 @@ def select_ranks(
     )
     running = group_prefix_sum(detail, "_c", [*key, "_bin"], ["_v"], "_upto")
     hit = (F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_c") <= F.col("_r"))
-    return running.join(targets, [*key, "_bin"]).filter(hit).select(*group, "name", F.col("_v").alias("value"))
+    return running.join(targets, [*key, "_bin"]).filter(hit).select(
+        *group, F.col("_name").alias("name"), F.col("_v").alias("value")
+    )
 
 
 def interpolated(

@@ -69,34 +69,60 @@ def nms(
     """
     group = list(group)
     sizes = materialize(df.groupBy(*group).agg(F.count("*").alias("_n")), "nms-sizes")
-    tagged = df.join(sizes, group)
-    small = tagged.filter(F.col("_n") <= local_boxes).drop("_n")
-    kept = small.groupBy(*group).applyInPandas(_greedy(box_id, score, threshold), small.schema)
-    if sizes.filter(F.col("_n") > local_boxes).isEmpty():
-        return kept
-    large = tagged.filter(F.col("_n") > local_boxes).drop("_n")
-    return kept.unionByName(nms_rounds(large, group, box_id, score, threshold, grid))
-
-
-def _greedy(box_id: str, score: str, threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, box_id], ascending=[False, True], kind="stable").reset_index(drop=True)
-        x1, y1, x2, y2 = (pdf[c].to_numpy(dtype=np.float64) for c in CORNERS)
-        area = (x2 - x1) * (y2 - y1)
-        alive = np.ones(len(pdf), dtype=bool)
-        keep = []
-        for i in range(len(pdf)):
+    large_groups = sizes.filter(F.col("_n") > local_boxes).select(*group)
+    if large_groups.isEmpty():
+        return _nms_local(df, group, box_id, score, threshold)
+    # sizes are counted, so the anti and semi joins know how large their side is
+    small = df.join(large_groups, group, "left_anti")
+    large = df.join(large_groups, group, "left_semi")
+    kept = _nms_local(small.select(*df.columns), group, box_id, score, threshold)
+    return kept.unionByName(nms_rounds(large.select(*df.columns), group, box_id, score, threshold, grid))
+
+
+def _nms_local(df: DataFrame, group: list[str], box_id: str, score: str, threshold: float) -> DataFrame:
+    """Whole groups per partition, walked in sorted order batch by batch."""
+    ordered = df.repartition(*group).sortWithinPartitions(*group, F.desc(score), box_id)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            starts = _group_starts(pdf, group)
+            # the last group may go on in the next batch
+            yield _greedy(pdf.iloc[: starts[-1]], starts[:-1], threshold)
+            rest = pdf.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield _greedy(rest, np.array([0]), threshold)
+
+    return ordered.mapInPandas(run, df.schema)
+
+
+def _group_starts(pdf: pd.DataFrame, group: list[str]) -> np.ndarray:
+    new = np.zeros(len(pdf), dtype=bool)
+    new[0] = True
+    for c in group:
+        v = pdf[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.nonzero(new)[0]
+
+
+def _greedy(pdf: pd.DataFrame, starts: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Keep the boxes greedy suppression keeps; rows are sorted by falling score per group."""
+    x1, y1, x2, y2 = (pdf[c].to_numpy(dtype=np.float64) for c in CORNERS)
+    area = (x2 - x1) * (y2 - y1)
+    alive = np.ones(len(pdf), dtype=bool)
+    for start, end in zip(starts, [*starts[1:], len(pdf)]):
+        for i in range(start, end):
             if not alive[i]:
                 continue
-            keep.append(i)
-            w = np.minimum(x2[i], x2) - np.maximum(x1[i], x1)
-            h = np.minimum(y2[i], y2) - np.maximum(y1[i], y1)
+            later = slice(i + 1, end)
+            w = np.minimum(x2[i], x2[later]) - np.maximum(x1[i], x1[later])
+            h = np.minimum(y2[i], y2[later]) - np.maximum(y1[i], y1[later])
             inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
-            overlap = np.divide(inter, area[i] + area - inter, out=np.zeros_like(inter), where=inter > 0)
-            alive &= overlap < threshold
-        return pdf.iloc[keep]
-
-    return run
+            alive[later] &= ~((inter > 0) & (inter / (area[i] + area[later] - inter) >= threshold))
+    return pdf[alive]
 
 
 def nms_rounds(df: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, grid: int = 16) -> DataFrame:

@@ -73,32 +73,37 @@ def random_split(
 ) -> DataFrame:
     """Label every row with its part; part sizes are exact and the rows unshuffled.
 
-    Only the few rows in the hash interval around a cut are ranked; all others
-    are labelled by comparing their hash with two constants.
+    Two passes over the key columns find the row at which each part begins: one
+    counts hash digits, one ranks the few rows around a cut. The label itself is
+    then a comparison with constants, so the data is neither moved nor sorted.
     """
     key = [key] if isinstance(key, str) else list(key)
-    hashed = df.withColumn("_h", keyed_hash(seed, *key))
+    hashed = df.select(*key, keyed_hash(seed, *key).alias("_h"))
     cuts, intervals = _locate(hashed, ratios, enough)
-    near = F.lit(False)
-    start, before = F.lit(0), F.lit(0)
-    for low, high, b, _ in intervals:
-        here = (F.col("_h") >= low) & (F.col("_h") < high)
+    near, start, before = F.lit(False), F.lit(0), F.lit(0)
+    for low, high, b, n in intervals:
+        here = (F.col("_h") >= low) & (F.col("_h") < high) & F.lit(n > 0)
         near = near | here
         start = F.when(here, F.lit(low)).otherwise(start)
         before = F.when(here, F.lit(b)).otherwise(before)
     order = Window.partitionBy("_start").orderBy("_h", *key)
-    edge = (
+    ranked = (
         hashed.filter(near)
-        .withColumn("_start", start)
-        .withColumn("_rank", F.row_number().over(order) - 1 + before)
-        .drop("_start")
+        .withColumns({"_start": start, "_before": before})
+        .withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
     )
-    sure = hashed.filter(~near).withColumn("_rank", F.lit(None).cast("bigint"))
+    # one row per cut
+    first = {row["_rank"]: row for row in ranked.filter(F.col("_rank").isin(cuts)).select("_rank", "_h", *key).collect()}
+    h = keyed_hash(seed, *key)
+    types = dict(df.select(*key).dtypes)
     part = F.lit(0)
-    for cut, (low, high, _, _) in zip(cuts, intervals):
-        beyond = (F.col("_h") >= high) | ((F.col("_h") >= low) & (F.col("_rank") >= cut))
-        part = part + beyond.cast("int")
-    return sure.unionByName(edge).withColumn(name, part).drop("_h", "_rank")
+    for cut in cuts:
+        if cut not in first:
+            continue  # nothing is left for the later parts
+        row = first[cut]
+        at = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in key])
+        part = part + ((h > row["_h"]) | ((h == row["_h"]) & (F.struct(*key) >= at))).cast("int")
+    return df.withColumn(name, part)
 
 
 def sub_dataset(df: DataFrame, start: int, stop: int, idx: str = "idx") -> DataFrame:

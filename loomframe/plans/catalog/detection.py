@@ -104,7 +104,7 @@ def _nms(t: Tables):
 @query("nms_rounds", _NMS_SQL)
 def _nms_rounds(t: Tables):
     """The path for groups too large for one task, forced on all of them."""
-    return D.nms_rounds(boxes(t).drop("o_orderstatus"), ["image", "class"], "box_id", "score", 0.4).select("image", "class", "box_id")
+    return D.nms_rounds(boxes(t).drop("o_orderstatus"), ["image", "class"], "box_id", "score", 0.4, grid=4).select("image", "class", "box_id")
 
 
 @query(

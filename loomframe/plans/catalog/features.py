@@ -29,14 +29,14 @@ SELECT CASE WHEN rk < floor(8 / 10.0 * n) THEN 0 ELSE 1 END AS split, count(*) A
 FROM x GROUP BY 1""",
 )
 def _flagship(t: Tables):
-    df = X.categorical_index_auto(t.lineitem, "l_returnflag", LINE_KEY, "flag")
-    df = X.standardize(df.withColumn("price", F.col("l_extendedprice")), ["l_quantity", "price", "l_discount"])
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     # the timestamp is written as text exactly as SQL writes it
     shipped = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
-    df = df.withColumns({"cents": cents, "shipped": shipped})
+    df = t.lineitem.withColumns({"cents": cents, "shipped": shipped, "price": F.col("l_extendedprice")})
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shipped", "cents"]
     df = S.random_split(df, [8, 2], 42, key)
+    df = X.categorical_index_auto(df, "l_returnflag", LINE_KEY, "flag")
+    df = X.standardize(df, ["l_quantity", "price", "l_discount"], over=t.lineitem.withColumn("price", F.col("l_extendedprice")))
     vector = X.assemble_vector(*[F.array(c) for c in ("flag", "l_quantity", "price", "l_discount")])
     return (
         df.withColumn("features", vector)

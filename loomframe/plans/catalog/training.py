@@ -119,16 +119,17 @@ def _fit_linear(t: Tables):
     return t.spark.createDataFrame(rows, "parameter string, weight double")
 
 
-_LABEL = (F.col("label") < 5).cast("double")
+def _low_label():
+    return (F.col("label") < 5).cast("double")
 
 
 @query("fit_logistic")
 def _fit_logistic(t: Tables):
     features = F.concat(V.doubles("embedding"), F.array(F.lit(1.0)))
     config = FT.Config(O.adam(), S.fixed(0.05), l2=1e-4)
-    model = FT.fit(t.embeddings, features, _LABEL, 65, [config], "logistic", epochs=3, batches=2, seed=17, key=["vec_id"])
+    model = FT.fit(t.embeddings, features, _low_label(), 65, [config], "logistic", epochs=3, batches=2, seed=17, key=["vec_id"])
     scored = model.predict(t.embeddings.select("vec_id", "label", features.alias("x")), "x")
-    return scored.select("vec_id", _LABEL.alias("y"), F.round("prediction", 6).alias("prediction"))
+    return scored.select("vec_id", _low_label().alias("y"), F.round("prediction", 6).alias("prediction"))
 
 
 _SPACE = {
@@ -166,7 +167,7 @@ def _hpo_search(t: Tables):
     split = SA.random_split(t.embeddings, [8, 2], 5, "vec_id")
     train, validate = split.filter("split = 0"), split.filter("split = 1")
     configs = [FT.Config(O.sgd(), S.fixed(lr), l2=l2) for lr in (0.01, 0.1, 1.0, 4.0) for l2 in (0.0, 1e-3)]
-    results, best = FT.hpo_search(train, validate, features, _LABEL, 65, configs, loss="logistic", epochs=3)
+    results, best = FT.hpo_search(train, validate, features, _low_label(), 65, configs, loss="logistic", epochs=3)
     norm = float(np.linalg.norm(best.weights))
     return results.select("config", "repeat", F.round("loss", 6).alias("loss"), F.lit(round(norm, 6)).alias("best_norm"))
 

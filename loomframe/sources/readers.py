@@ -34,16 +34,15 @@ def read_csv_dataset(
         .option("escape", '"' if quote else "\u0000")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("nullValue", "\u0000")
-        .option("emptyValue", "")
         .option("multiLine", multi_line)
     )
     if columns is None:
         df = reader.option("header", True).csv(path)
     else:
         df = reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    wanted = [*features, *labels]
-    return df.select(*wanted) if wanted else df
+    # Spark reads an unquoted empty field as NULL; a CSV has no NULL
+    wanted = [*features, *labels] or df.columns
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in wanted])
 
 
 def column_names(df: DataFrame) -> DataFrame:
