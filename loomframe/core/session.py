@@ -64,3 +64,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition input that comes in fewer pieces than there are cores.
+
+    A table of few, large row groups would leave costly expressions to a few
+    tasks. An input with enough pieces is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

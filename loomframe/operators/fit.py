@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.core.arrow import matrix
 from loomframe.core.keyed import keyed_hash, keyed_integer, keyed_uniform
-from loomframe.core.session import new_path
+from loomframe.core.session import new_path, spread
 from loomframe.operators.optimizers import Optimizer, sgd
 from loomframe.operators.schedules import SCALAR, Schedule, fixed
 
@@ -41,12 +42,10 @@ class Fit:
         w = self.weights[model]
         logistic = self.loss == "logistic"
 
-        @F.pandas_udf("double")
-        def score(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype="float64")
-            z = np.stack(x.to_numpy()).astype(np.float64) @ w
-            return pd.Series(1.0 / (1.0 + np.exp(-z)) if logistic else z)
+        @F.arrow_udf("double")
+        def score(x: pa.Array) -> pa.Array:
+            z = matrix(x).reshape(len(x), len(w)) @ w
+            return pa.array(1.0 / (1.0 + np.exp(-z)) if logistic else z)
 
         return df.withColumn(out, score(F.col(features)))
 
@@ -71,11 +70,11 @@ def _losses_and_gradients(frame: DataFrame, weights: np.ndarray, loss: str):
     def partial(batches):
         w = shipped.value
         n, losses, grads = 0, np.zeros(len(w)), np.zeros_like(w)
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
-            y = pdf["_y"].to_numpy(dtype=np.float64)[:, None]
+            x = matrix(batch["_x"])
+            y = batch["_y"].to_numpy(zero_copy_only=False)[:, None]
             z = x @ w.T
             if loss == "logistic":
                 error = 1.0 / (1.0 + np.exp(-z)) - y
@@ -84,12 +83,13 @@ def _losses_and_gradients(frame: DataFrame, weights: np.ndarray, loss: str):
                 error = z - y
                 losses += 0.5 * (error * error).sum(axis=0)
             grads += error.T @ x
-            n += len(pdf)
+            n += batch.num_rows
         m, k = np.indices((len(w), w.shape[1] + 1))
         v = np.concatenate([losses[:, None], grads], axis=1)
-        yield pd.DataFrame({"m": m.ravel(), "k": k.ravel(), "v": v.ravel(), "n": n})
+        cells = [m.ravel().astype(np.int32), k.ravel().astype(np.int32), v.ravel(), np.full(v.size, n, dtype=np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["m", "k", "v", "n"])
 
-    parts = frame.mapInPandas(partial, "m int, k int, v double, n bigint")
+    parts = frame.mapInArrow(partial, "m int, k int, v double, n bigint")
     total = np.zeros((models, width + 1))
     rows = 0
     # models x (features + 1) sums reach the driver
@@ -120,9 +120,8 @@ def fit(
     configs = list(configs or [Config()])
     batch = keyed_integer(seed, 0, batches, *key).cast("int") if batches > 1 else F.lit(0)
     path = new_path(df.sparkSession, "fit")
-    df.select(features.cast("array<double>").alias("_x"), label.cast("double").alias("_y"), batch.alias("_batch")).write.partitionBy(
-        "_batch"
-    ).parquet(path)
+    prepared = df.select(features.cast("array<double>").alias("_x"), label.cast("double").alias("_y"), batch.alias("_batch"))
+    spread(prepared).write.partitionBy("_batch").parquet(path)
     data = df.sparkSession.read.parquet(path)
     weights = np.zeros((len(configs), width))
     states = [{s: np.zeros(width) for s in c.optimizer.states} for c in configs]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomframe.core.arrow import matrix as as_matrix
 from loomframe.core.order import row_index
 
 BROADCAST_ROWS = 500_000  # narrow lookup tables: tens of megabytes at most
@@ -132,15 +133,12 @@ def iou_join(
 def similarity_pairs(pairs: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
     """(cos + 1) / 2 of two vector columns of one row, scored in Arrow batches."""
 
-    @F.pandas_udf("double")
-    def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        if len(left) == 0:
-            return pd.Series([], dtype="float64")
-        x = np.stack(left.to_numpy()).astype(np.float64)
-        y = np.stack(right.to_numpy()).astype(np.float64)
+    @F.arrow_udf("double")
+    def score(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y = as_matrix(left), as_matrix(right)
         dots = np.einsum("ij,ij->i", x, y)
         lengths = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-        return pd.Series((dots / lengths + 1.0) / 2.0)
+        return pa.array((dots / lengths + 1.0) / 2.0)
 
     return pairs.withColumn(out, score(F.col(a), F.col(b)))
 
@@ -175,13 +173,13 @@ def topk_similar(
         def best_of_task(batches, shipped=shipped):
             names, q = shipped.value
             scores, ids = [np.empty(0)] * len(names), [np.empty(0, dtype=np.int64)] * len(names)
-            for pdf in batches:
-                if pdf.empty:
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = as_matrix(batch[vector])
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 fresh = np.round((q @ x.T + 1.0) / 2.0, 12)
-                batch_ids = pdf[vec_id].to_numpy()
+                batch_ids = batch[vec_id].to_numpy(zero_copy_only=False)
                 kth = max(fresh.shape[1] - k, 0)
                 floors = np.partition(fresh, kth, axis=1)[:, kth]
                 for i, row in enumerate(fresh):
@@ -190,11 +188,12 @@ def topk_similar(
                     d = np.concatenate([ids[i], batch_ids[near]])
                     top = np.lexsort((d, -s))[:k]  # lowest id first among equal scores
                     scores[i], ids[i] = s[top], d[top]
-            for i, name in enumerate(names):
-                if len(ids[i]):
-                    yield pd.DataFrame({query_id: [name] * len(ids[i]), vec_id: ids[i], "similarity": scores[i]})
+            owner = np.repeat(np.arange(len(names)), [len(d) for d in ids])
+            if len(owner):
+                columns = [pa.array([names[i] for i in owner]), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))]
+                yield pa.RecordBatch.from_arrays(columns, names=[query_id, vec_id, "similarity"])
 
-        partial = vectors.select(vec_id, vector).mapInPandas(
+        partial = vectors.select(vec_id, vector).mapInArrow(
             best_of_task, f"{query_id} {query_type}, {vec_id} {id_type}, similarity double"
         )
         result = partial if result is None else result.unionByName(partial)

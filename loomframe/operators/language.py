@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomframe.core.keyed import keyed_hash, keyed_uniform
 from loomframe.core.order import random_rank, row_index
 from loomframe.core.session import materialize
+from loomframe.operators import joins
 from loomframe.operators.joins import lookup_join
 from loomframe.operators.topk import topk_rows
 
@@ -47,9 +48,47 @@ def build_vocabulary(
 def wordpiece(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
     """(token, pieces) for the distinct tokens: greedy longest match from the left.
 
+    A vocabulary of at most ``BROADCAST_ROWS`` pieces (counted) goes to the tasks
+    as a set; a larger one is never copied, see ``wordpiece_join``.
+    """
+    pieces = materialize(vocabulary.select("token").distinct(), "pieces")
+    if pieces.count() > joins.BROADCAST_ROWS:
+        return wordpiece_join(tokens, pieces, unknown, max_chars)
+    known = {row.token for row in pieces.collect()}
+    shipped = tokens.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=0)))
+
+    @F.pandas_udf("array<string>")
+    def split(words: pd.Series) -> pd.Series:
+        known, longest = shipped.value
+
+        def walk(word: str) -> list[str]:
+            out, at, n = [], 0, len(word)
+            if n > max_chars:
+                return [unknown]
+            while at < n:
+                mark = "##" if at else ""
+                for end in range(min(n, at + longest), at, -1):
+                    piece = mark + word[at:end]
+                    if piece in known:
+                        break
+                else:
+                    return [unknown]
+                out.append(piece)
+                at = end
+            return out
+
+        return words.map(walk)
+
+    distinct = tokens.select("token").distinct()
+    return distinct.withColumn("pieces", split("token"))
+
+
+def wordpiece_join(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
+    """The same with a vocabulary of any size.
+
     Candidate pieces are found by one join of the substrings of the distinct
-    tokens with the vocabulary (no driver-side or per-task copy of it); the
-    greedy walk over the longest match at each start is an expression.
+    tokens with the vocabulary; the greedy walk over the longest match at each
+    start is an expression.
     """
     longest = vocabulary.agg(F.max(F.length("token"))).scalar()
     distinct = tokens.select("token").distinct().withColumn("_n", F.length("token"))

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.core.arrow import matrix, vectors
 from loomframe.core.keyed import keyed_uniform
 from loomframe.core.order import group_rank
 
@@ -67,17 +69,15 @@ def mlp_score(
         activation
     ]
 
-    @F.pandas_udf("array<double>")
-    def score(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        h = np.stack(x.to_numpy()).astype(np.float64)
+    @F.arrow_udf("array<double>")
+    def score(x: pa.Array) -> pa.Array:
         weights = shipped.value
+        h = matrix(x).reshape(len(x), weights[0][0].shape[1])
         for i, (w, b) in enumerate(weights):
             h = h @ w.T + b
             if i < len(weights) - 1:
                 h = squash(h)
-        return pd.Series(list(h))
+        return vectors(h)
 
     return df.withColumn(out, score(F.col(vector)))
 

@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.core.arrow import blocks, matrix, vectors
 from loomframe.core.keyed import keyed_normal, keyed_uniform
 
 
@@ -139,19 +141,18 @@ def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
 
     def partial(batches):
         total = None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
-            y = np.stack(pdf["_y"].to_numpy()).astype(np.float64)
-            part = x.T @ y
+            part = matrix(batch["_x"]).T @ matrix(batch["_y"])
             total = part if total is None else total + part
         if total is not None:
             i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+            cells = [pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())]
+            yield pa.RecordBatch.from_arrays(cells, names=["i", "j", "v"])
 
     pairs = df.select(F.col(vector).alias("_x"), F.col(other).alias("_y"))
-    parts = pairs.mapInPandas(partial, "i bigint, j bigint, v double")
+    parts = pairs.mapInArrow(partial, "i bigint, j bigint, v double")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -176,15 +177,9 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] =
     left = tiles(a, "i", "j", "_a", "row")
     right = tiles(b, "i", "j", "_b", "col")
 
-    @F.pandas_udf("array<double>")
-    def product(x: pd.Series, y: pd.Series) -> pd.Series:
-        def dense(cells):
-            m = np.zeros((block, block))
-            for s in cells:
-                m[s["r"], s["c"]] = s["v"]
-            return m
-
-        return pd.Series([(dense(p) @ dense(q)).ravel() for p, q in zip(x, y)])
+    @F.arrow_udf("array<double>")
+    def product(x: pa.Array, y: pa.Array) -> pa.Array:
+        return vectors((blocks(x, block) @ blocks(y, block)).reshape(len(x), block * block))
 
     joined = left.join(right, [*batch, "_inner"]).select(*batch, "_row", "_col", product("_a", "_b").alias("_p"))
     cells = joined.select(*batch, "_row", "_col", F.posexplode("_p").alias("_k", "_v")).filter(F.col("_v") != 0)
@@ -198,16 +193,14 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] =
     )
 
 
-def mat_vec(df: DataFrame, vector: str, matrix, out: str, bias=None) -> DataFrame:
+def mat_vec(df: DataFrame, vector: str, weights, out: str, bias=None) -> DataFrame:
     """x . W^T + b per row for weights that fit a task: one product per Arrow batch."""
-    w = np.asarray(matrix, dtype=np.float64)
+    w = np.asarray(weights, dtype=np.float64)
     b = np.zeros(len(w)) if bias is None else np.asarray(bias, dtype=np.float64)
 
-    @F.pandas_udf("array<double>")
-    def product(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(x.to_numpy()).astype(np.float64) @ w.T + b))
+    @F.arrow_udf("array<double>")
+    def product(x: pa.Array) -> pa.Array:
+        return vectors(matrix(x).reshape(len(x), w.shape[1]) @ w.T + b)
 
     return df.withColumn(out, product(F.col(vector)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.core.order import row_index
+from loomframe.core.session import spread
 from loomframe.functions import elementwise as E, vectors as V
 from loomframe.operators import features as X, indexing as I, sampling as S
 from loomframe.plans.registry import LINE_KEY, LINE_KEY_SQL, LONG_EMBEDDINGS, Tables, h, query, r
@@ -32,7 +33,8 @@ def _flagship(t: Tables):
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     # the timestamp is written as text exactly as SQL writes it
     shipped = F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")
-    df = t.lineitem.withColumns({"cents": cents, "shipped": shipped, "price": F.col("l_extendedprice")})
+    used = [*LINE_KEY, "l_quantity", "l_discount", "l_returnflag"]
+    df = spread(t.lineitem.select(*used)).withColumns({"cents": cents, "shipped": shipped, "price": F.col("l_extendedprice")})
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shipped", "cents"]
     df = S.random_split(df, [8, 2], 42, key)
     df = X.categorical_index_auto(df, "l_returnflag", LINE_KEY, "flag")

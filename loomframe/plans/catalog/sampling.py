@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomframe.core.order import row_index
+from loomframe.core.session import materialize, spread
 from loomframe.functions import text as T, vectors as V
 from loomframe.operators import sampling as S
 from loomframe.plans.registry import LINE_KEY, LINE_KEY_SQL, LONG_EMBEDDINGS, Tables, h, query, r
@@ -63,7 +64,9 @@ def _batch(t: Tables):
 
 
 def document_lengths(t: Tables):
-    return t.documents.select("doc_id", F.size(T.tokenize_simple(F.col("text"))).cast("bigint").alias("length"))
+    """(doc_id, length), tokenised once: the table is read several times below."""
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return materialize(docs.select("doc_id", F.size(T.tokenize_simple(F.col("text"))).cast("bigint").alias("length")), "lengths")
 
 
 DOC_LENGTHS = f"(SELECT doc_id, len({TOKENS_SQL})::BIGINT AS length FROM documents)"

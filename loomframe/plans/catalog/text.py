@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomframe.core.session import materialize, spread
 from loomframe.functions import text as T
 from loomframe.operators import joins as J, language as L, reduce as R, topk as K
 from loomframe.plans.registry import Tables, h, query
@@ -165,8 +166,13 @@ VOCAB_SQL = f"""(SELECT token, index FROM (VALUES ('<bos>', 0::BIGINT), ('<eos>'
   UNION ALL SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 FROM (SELECT token, count(*) AS n FROM {TOKEN_ROWS_SQL} GROUP BY 1 HAVING count(*) >= 3))"""
 
 
+def documents(t: Tables):
+    """Whole texts by document: what is regrouped by doc_id later moves no token rows."""
+    return spread(t.documents.select("doc_id", "text"), "doc_id")
+
+
 def token_rows(t: Tables):
-    return J.explode_tokens(t.documents, ["doc_id"], T.text_chain(F.col("text")))
+    return J.explode_tokens(documents(t), ["doc_id"], T.text_chain(F.col("text")))
 
 
 def vocabulary(t: Tables):
@@ -243,18 +249,17 @@ def _lines(t: Tables):
 # pre-training ----------------------------------------------------------------------
 def sentence_pairs(t: Tables):
     """Lines 2k and 2k+1 of a document as token lists."""
-    lines = T.normalize_lines(F.col("text"))
-    tokens = F.transform(lines, lambda s: T.text_chain(s))
     starts = F.sequence(F.lit(0), F.greatest(F.floor(F.size("l") / 2).cast("int") - 1, F.lit(0)))
+    # lines are tokenised after the explode, so that passes over the keys skip it
     return (
-        t.documents.select("doc_id", tokens.alias("l"))
+        documents(t).select("doc_id", T.normalize_lines(F.col("text")).alias("l"))
         .filter(F.size("l") >= 2)
         .select("doc_id", "l", F.explode(starts).alias("pair"))
         .select(
             "doc_id",
             F.col("pair").cast("bigint").alias("pair"),
-            F.get("l", F.col("pair") * 2).alias("first"),
-            F.get("l", F.col("pair") * 2 + 1).alias("second"),
+            T.text_chain(F.get("l", F.col("pair") * 2)).alias("first"),
+            T.text_chain(F.get("l", F.col("pair") * 2 + 1)).alias("second"),
         )
     )
 
@@ -325,8 +330,6 @@ SELECT doc_id, pair, sum((pos + 1) * masked_id)::BIGINT AS token_ids, sum(CASE W
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pair, masked ORDER BY pos) AS mp FROM x) GROUP BY 1, 2""",
 )
 def _mask(t: Tables):
-    from loomframe.core.session import materialize
-
     counts = R.token_frequency(token_rows(t).select("token"))
     dictionary = materialize(K.dictionary_top_n(counts, CODE_RESERVED, 35000), "dictionary")
     rows = materialize(instances(t), "instances")
@@ -366,31 +369,36 @@ PIECE_VOCAB_SQL = f"""(WITH w AS (SELECT token FROM {TOKEN_ROWS_SQL} GROUP BY 1
   SELECT token AS piece FROM w UNION SELECT p FROM p UNION SELECT '##' || p FROM p)"""
 
 
-@query(
-    "wordpiece",
-    f"""
+_WORDPIECE_SQL = f"""
 WITH RECURSIVE v AS MATERIALIZED (SELECT DISTINCT piece FROM {PIECE_VOCAB_SQL}), mx AS (SELECT max(length(piece)) AS m FROM v),
 d AS MATERIALIZED (SELECT DISTINCT token, length(token) AS n FROM {TOKEN_ROWS_SQL} WHERE length(token) BETWEEN 1 AND 200),
 spans AS (SELECT token, n, s, unnest(range(s + 1, least(n, s + m) + 1)) AS e FROM (SELECT token, n, unnest(range(n)) AS s FROM d), mx),
 best AS MATERIALIZED (SELECT token, n, s, max(e) AS e FROM spans JOIN v ON piece = CASE WHEN s > 0 THEN '##' ELSE '' END || substr(token, s + 1, e - s) GROUP BY 1, 2, 3),
 walk AS (SELECT token, n, 0::BIGINT AS s, e, substr(token, 1, e) AS path FROM best WHERE s = 0
   UNION ALL SELECT b.token, b.n, b.s, b.e, path || ' ##' || substr(b.token, b.s + 1, b.e - b.s) FROM walk w JOIN best b ON b.token = w.token AND b.s = w.e)
-SELECT t.token, coalesce(max(path), '[UNK]') AS pieces FROM (SELECT DISTINCT token FROM {TOKEN_ROWS_SQL}) t LEFT JOIN walk w ON w.token = t.token AND w.e = w.n GROUP BY 1""",
-)
+SELECT t.token, coalesce(max(path), '[UNK]') AS pieces FROM (SELECT DISTINCT token FROM {TOKEN_ROWS_SQL}) t LEFT JOIN walk w ON w.token = t.token AND w.e = w.n GROUP BY 1"""
+
+
+@query("wordpiece", _WORDPIECE_SQL)
 def _wordpiece(t: Tables):
     out = L.wordpiece(token_rows(t), piece_vocabulary(t))
     return out.select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
+@query("wordpiece_join", _WORDPIECE_SQL)
+def _wordpiece_join(t: Tables):
+    """The path for vocabularies too large to ship."""
+    out = L.wordpiece_join(token_rows(t), materialize(piece_vocabulary(t), "pieces"))
+    return out.select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
 @query("review_featurizer")
 def _review(t: Tables):
     """[CLS] ids [SEP] of the first 128 word pieces of every document."""
-    from loomframe.core.session import materialize
-
     pieces_vocab = materialize(piece_vocabulary(t), "pieces")
     reserved = ["[CLS]", "[SEP]", "[UNK]"]
     vocab = L.build_vocabulary(pieces_vocab, 1, reserved[:2], "[UNK]")
-    rows = J.explode_tokens(t.documents, ["doc_id"], T.bert_basic_tokenize(F.col("text")))
+    rows = J.explode_tokens(documents(t), ["doc_id"], T.bert_basic_tokenize(F.col("text")))
     pieces = L.wordpiece(rows, vocab)
     lists = L.pieces_in_order(rows, pieces, ["doc_id"])
     cut = lists.select("doc_id", T.terminate(T.truncate(F.col("tokens"), 128), "[CLS]", "[SEP]").alias("tokens"))
