@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomframe.core.session import new_path
 from loomframe.functions import vectors as V
 from loomframe.operators import features as X
+from loomframe.plans.catalog.text import VOCAB_SQL, vocabulary
 from loomframe.plans.registry import LONG_EMBEDDINGS, Tables, query, r
 from loomframe.sources import readers as RD
 from loomframe.sources.datasource import RecordDataset
@@ -116,6 +117,13 @@ def _labelled(t: Tables):
     return RD.read_labelled_lines(t.spark, path).select(F.array_join("labels", ",").alias("labels"), F.md5("text").alias("digest"))
 
 
+@query("vocabulary_from_file", f"SELECT token, index FROM {VOCAB_SQL}")
+def _vocabulary_file(t: Tables):
+    path = new_path(t.spark, "vocabulary-file")
+    vocabulary(t).orderBy("index").select(F.concat("token", F.lit("  "))).write.text(path)
+    return RD.read_vocabulary(t.spark, path)
+
+
 @query(
     "list_image_folder",
     "SELECT 'label=' || label AS class, row_number() OVER (ORDER BY 'label=' || label) - 1 AS class_index FROM (SELECT DISTINCT label FROM embeddings)",

@@ -126,6 +126,21 @@ ANNOTATIONS = (
 )
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """One trimmed token per line; the index is the line's place in the file(s).
+
+    Lines are placed by file, block and position in the block, so the order does
+    not depend on how the files are cut into tasks.
+    """
+    lines = spark.read.text(path).select(
+        F.trim("value").alias("token"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    return row_index(lines, ["_file", "_block", "_line"], "index").select("token", "index")
+
+
 def read_annotations_json(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """The three tables of annotation documents; ``position`` is the category list order."""
     docs = spark.read.schema(ANNOTATIONS).option("multiLine", multi_line).json(path)

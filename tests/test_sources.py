@@ -43,6 +43,17 @@ def test_image_folder(spark, tmp_path):
     assert RD.list_image_folder(spark, str(tmp_path), max_depth=2).count() == 3
 
 
+def test_vocabulary_order_is_the_file_order(spark, tmp_path):
+    words = [f"w{i * 7919 % 5000}" for i in range(5000)]
+    (tmp_path / "v.txt").write_text("\n".join(f" {w} " for w in words) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = RD.read_vocabulary(spark, str(tmp_path / "v.txt")).orderBy("index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.token for r in rows] == words and [r["index"] for r in rows] == list(range(5000))
+
+
 def test_annotations(spark, tmp_path):
     doc = {
         "images": [{"id": 1, "coco_url": "u", "height": 10, "width": 20}, {"id": 2, "coco_url": "v", "height": 1, "width": 1}],
