@@ -87,13 +87,19 @@ def _box_iou(t: Tables):
     return b.select("box_id", F.round(D.box_iou(mine, other), 6).alias("iou"))
 
 
-_NMS_SQL = f"""
-WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, box_id) AS rk FROM {BOXES}),
+def nms_sql(boxes: str, threshold: float, columns: str) -> str:
+    """Greedy suppression as a recursion over the rank inside (image, class)."""
+    return f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image, class ORDER BY score DESC, box_id) AS rk FROM {boxes}),
 g AS (SELECT image, class, 1::BIGINT AS rk, [{{'id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM b WHERE rk = 1
-  UNION ALL SELECT g.image, g.class, b.rk, CASE WHEN len(list_filter(g.kept, lambda k: {iou_sql('k.', 'b.')} >= 0.4)) > 0 THEN g.kept
+  UNION ALL SELECT g.image, g.class, b.rk, CASE WHEN len(list_filter(g.kept, lambda k: {iou_sql('k.', 'b.')} >= {threshold})) > 0 THEN g.kept
     ELSE list_append(g.kept, {{'id': b.box_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) END FROM g JOIN b ON b.image = g.image AND b.class = g.class AND b.rk = g.rk + 1),
-l AS (SELECT image, class, arg_max(kept, rk) AS kept FROM g GROUP BY 1, 2)
-SELECT image, class, k.id AS box_id FROM (SELECT image, class, unnest(kept) AS k FROM l)"""
+l AS (SELECT image, class, arg_max(kept, rk) AS kept FROM g GROUP BY 1, 2),
+k AS (SELECT image, class, u.id AS box_id FROM (SELECT image, class, unnest(kept) AS u FROM l))
+SELECT {columns} FROM k JOIN b USING (image, class, box_id)"""
+
+
+_NMS_SQL = nms_sql(BOXES, 0.4, "image, class, box_id")
 
 
 @query("nms", _NMS_SQL)
@@ -211,14 +217,50 @@ def _box_decode(t: Tables):
     return df.select("vec_id", *[F.round(c, 6).alias(k) for k, c in box.items()])
 
 
-@query("box_target")
+_OFFSETS = " + ".join(
+    f"{i} * ({e})"
+    for i, e in enumerate(
+        (
+            "((t.x1 + t.x2) / 2 - (a.x1 + a.x2) / 2) / (a.x2 - a.x1) / 0.1",
+            "((t.y1 + t.y2) / 2 - (a.y1 + a.y2) / 2) / (a.y2 - a.y1) / 0.1",
+            "ln((t.x2 - t.x1) / (a.x2 - a.x1)) / 0.2",
+            "ln((t.y2 - t.y1) / (a.y2 - a.y1)) / 0.2",
+        ),
+        1,
+    )
+)
+
+
+@query(
+    "box_target",
+    f"""
+WITH a AS (SELECT * FROM {ANCHORS}), t AS (SELECT * FROM {TRUTHS}),
+p AS MATERIALIZED (SELECT a.image, a.box_id, t.box_id AS truth, {iou_sql('a.', 't.')} AS iou FROM a JOIN t USING (image) WHERE {iou_sql('a.', 't.')} > 0),
+c AS (SELECT image, box_id, truth, iou, 1 AS forced FROM p QUALIFY row_number() OVER (PARTITION BY image, truth ORDER BY iou DESC, box_id) = 1
+  UNION ALL SELECT image, box_id, truth, iou, 0 FROM p WHERE iou > 0.3),
+b AS (SELECT image, box_id, truth FROM c QUALIFY row_number() OVER (PARTITION BY image, box_id ORDER BY forced DESC, iou DESC, truth) = 1),
+l AS (SELECT a.image, a.box_id, a.score, coalesce(t.class + 1, 0) AS target, (t.box_id IS NOT NULL)::INT::DOUBLE AS mask, coalesce({_OFFSETS}, 0) AS offsets
+  FROM a LEFT JOIN b ON a.image = b.image AND a.box_id = b.box_id LEFT JOIN t ON t.box_id = b.truth),
+m AS (SELECT *, sum(mask) OVER (PARTITION BY image) AS pos, row_number() OVER (PARTITION BY image, target = 0 ORDER BY score, box_id) - 1 AS k FROM l)
+SELECT image, box_id, CASE WHEN target > 0 OR k < floor(pos * 3) THEN target ELSE -1 END AS target, mask, {r('offsets')} AS offsets FROM m""",
+)
 def _box_target(t: Tables):
     anchors, truths = anchors_and_truths(t)
     out = D.box_target(anchors, truths, "image", "box_id", "box_id", 0.3, negative_ratio=3.0, confidence="score")
     return out.select("image", "box_id", "target", "mask", F.round(V.fingerprint(F.col("offsets")), 6).alias("offsets"))
 
 
-@query("ssd_decode")
+_SSD_BOXES = f"""(SELECT vec_id // 8 AS image, vec_id * 8 + cell AS box_id, (list_position(ps, list_max(ps)) - 1)::BIGINT AS class, list_max(ps) AS score,
+    o[1] * 0.1 * 0.3 + cx - bw / 2 AS x1, o[2] * 0.1 * 0.4 + cy - bh / 2 AS y1, o[1] * 0.1 * 0.3 + cx + bw / 2 AS x2, o[2] * 0.1 * 0.4 + cy + bh / 2 AS y2
+  FROM (SELECT *, exp(o[3] * 0.2) * 0.3 AS bw, exp(o[4] * 0.2) * 0.4 AS bh, ((cell % 4) + 0.5) / 4 AS cx, ((cell // 4) + 0.5) / 2 AS cy FROM
+    (SELECT vec_id, cell, v[5:8] AS o, list_transform(v[2:4], lambda x: exp(x) / list_sum(list_transform(v[1:4], lambda y: exp(y)))) AS ps FROM
+      (SELECT vec_id, pos // 8 AS cell, list(x * 4.0 ORDER BY pos) AS v FROM {LONG_EMBEDDINGS} GROUP BY 1, 2))) WHERE list_max(ps) >= 0.3)"""
+
+
+@query(
+    "ssd_decode",
+    nms_sql(_SSD_BOXES, 0.45, "image, box_id AS anchor, class, " + ", ".join(f"{r(c)} AS {c}" for c in ("score", "x1", "y1", "x2", "y2"))),
+)
 def _ssd_decode(t: Tables):
     """Four anchors per vector, three classes and the background each."""
     v = F.transform(V.doubles("embedding"), lambda x: x * 4.0)

@@ -213,11 +213,24 @@ for _table, _boolean in ((_FUNCTIONS, False), (_PREDICATES, True)):
         )
 
 
+def _erfinv_series(x: str, terms: int = 16) -> str:
+    """The Maclaurin series of the inverse error function, for x up to one half."""
+    c = [1.0]
+    for k in range(1, terms):
+        c.append(sum(c[m] * c[k - 1 - m] / ((m + 1) * (2 * m + 1)) for m in range(k)))
+    z = f"(sqrt(pi()) / 2 * {x})"
+    return " + ".join(f"{ck / (2 * k + 1)!r}::DOUBLE * pow({z}, {2 * k + 1})" for k, ck in enumerate(c))
+
+
 def _erfinv(t: Tables):
-    x = F.col("o_totalprice") / 300000.0 - 0.9
+    x = F.col("o_totalprice") / 1e6
     return t.orders.select(
-        "o_orderkey", F.round(x, 6).alias("x"), F.round(E.erfinv(x), 6).alias("y")
+        "o_orderkey", F.round(E.erfinv(x), 6).alias("y"), F.round(E.erfinv(-x), 6).alias("mirrored")
     )
 
 
-register("ew_erfinv", _erfinv)
+register(
+    "ew_erfinv",
+    _erfinv,
+    f"SELECT o_orderkey, {r('s')} AS y, {r('-s')} AS mirrored FROM (SELECT o_orderkey, {_erfinv_series('(o_totalprice / 1e6)')} AS s FROM orders)",
+)

@@ -474,7 +474,15 @@ def _xavier(t: Tables):
     return long.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round(w, 6).alias("w"))
 
 
-@query("init_truncated_normal")
+def _draw(i: int) -> str:
+    a, b = h(f"26/{i}/a", "o_orderkey"), h(f"26/{i}/b", "o_orderkey")
+    return f"(sqrt(-2.0 * ln(({a} + 1.0::DOUBLE) / {_TWO_52})) * cos(6.283185307179586::DOUBLE * ({b} / {_TWO_52})))"
+
+
+_FIRST_FIT = "CASE " + " ".join(f"WHEN abs({_draw(i)}) <= 2 THEN {_draw(i)}" for i in range(8)) + " ELSE 0 END"
+
+
+@query("init_truncated_normal", f"SELECT o_orderkey, {r(f'0.02 * {_FIRST_FIT}')} AS w FROM orders")
 def _truncated(t: Tables):
     return t.orders.select("o_orderkey", F.round(S.truncated_normal(26, "o_orderkey", sigma=0.02), 6).alias("w"))
 

@@ -392,7 +392,23 @@ def _wordpiece_join(t: Tables):
     return out.select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query("review_featurizer")
+_BASIC = pieces_sql(r"strip_accents(lower(trim(regexp_replace(text, '[\t\n\r\p{Z}]', ' ', 'g'))))")
+
+
+@query(
+    "review_featurizer",
+    f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT piece, row_number() OVER (ORDER BY piece) + 2 AS id FROM (SELECT DISTINCT piece FROM {PIECE_VOCAB_SQL})), mx AS (SELECT max(length(piece)) AS m FROM v),
+t AS MATERIALIZED (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_BASIC} AS w FROM documents)),
+d AS MATERIALIZED (SELECT DISTINCT token, length(token) AS n FROM t WHERE length(token) BETWEEN 1 AND 200),
+spans AS (SELECT token, n, s, unnest(range(s + 1, least(n, s + m) + 1)) AS e FROM (SELECT token, n, unnest(range(n)) AS s FROM d), mx),
+best AS MATERIALIZED (SELECT token, n, s, max(e) AS e FROM spans JOIN v ON piece = CASE WHEN s > 0 THEN '##' ELSE '' END || substr(token, s + 1, e - s) GROUP BY 1, 2, 3),
+walk AS (SELECT token, n, 0::BIGINT AS s, e, substr(token, 1, e) AS path FROM best WHERE s = 0
+  UNION ALL SELECT b.token, b.n, b.s, b.e, path || ' ##' || substr(b.token, b.s + 1, b.e - b.s) FROM walk w JOIN best b ON b.token = w.token AND b.s = w.e),
+p AS (SELECT t.doc_id, string_split(string_agg(coalesce(path, '[UNK]'), ' ' ORDER BY pos), ' ')[1:128] AS ps FROM t LEFT JOIN walk w ON w.token = t.token AND w.e = w.n GROUP BY 1),
+u AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pos FROM p)
+SELECT doc_id, count(*) + 2 AS n, '0 ' || string_agg(coalesce(id, 2)::VARCHAR, ' ' ORDER BY pos) || ' 1' AS ids FROM u LEFT JOIN v USING (piece) GROUP BY 1""",
+)
 def _review(t: Tables):
     """[CLS] ids [SEP] of the first 128 word pieces of every document."""
     pieces_vocab = materialize(piece_vocabulary(t), "pieces")
