@@ -160,12 +160,18 @@ def bucket_counts(df: DataFrame, hash_col: str, bits: int) -> list[int]:
     return [found.get(i, 0) for i in range(1 << bits)]
 
 
+def _hash_bits(rows: int, bucket_rows: int = 1_000_000) -> int:
+    """Enough hash buckets for about a million rows each, 64 to 65,536 of them."""
+    return min(max((rows // bucket_rows).bit_length(), 6), 16)
+
+
 def random_rank(
-    df: DataFrame, seed, key: Sequence[str], name: str = "rank", bits: int = 10
+    df: DataFrame, seed, key: Sequence[str], name: str = "rank", bits: int | None = None
 ) -> DataFrame:
     """Append each row's 0-based position in a seeded random permutation."""
     key = [key] if isinstance(key, str) else list(key)
     hashed = df.withColumn("_h", keyed_hash(seed, *key))
+    bits = bits or _hash_bits(df.count())
     counts = bucket_counts(hashed, "_h", bits)
     starts = [0, *accumulate(counts)][:-1]
     bucket = hash_bucket(F.col("_h"), bits)

@@ -127,7 +127,7 @@ def wordpiece_join(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UN
 
 def pieces_in_order(tokens: DataFrame, pieces: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, pos, piece): token rows replaced by their pieces, renumbered per key."""
-    joined = lookup_join(tokens, pieces, "token", "inner")
+    joined = lookup_join(tokens, materialize(pieces, "pieces"), "token", "inner")
     lists = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "pieces"))).alias("_l"))
     flat = F.flatten(F.transform("_l", lambda s: s["pieces"]))
     return lists.select(*key, flat.alias("tokens"))

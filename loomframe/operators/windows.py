@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.core.order import blocked, group_prefix_sum, group_rank, prefix_sum, row_index
+from loomframe.core.session import materialize
 
 
 def cum_sum(df: DataFrame, value: str, order_by, group: Sequence[str] = (), name: str = "running") -> DataFrame:
@@ -17,10 +18,9 @@ def cum_sum(df: DataFrame, value: str, order_by, group: Sequence[str] = (), name
 
 def _placed(df: DataFrame, group: Sequence[str], order_by) -> DataFrame:
     """Each row's position ``_p`` in its series and the series length ``_n``."""
-    ranked = group_rank(df, group, order_by, "_p")
-    # one row per series; joined on its measured size
-    lengths = ranked.groupBy(*group).agg(F.count("*").alias("_n"))
-    return ranked.join(lengths, list(group))
+    # one row per series, written: its true size decides how the join runs
+    lengths = materialize(df.groupBy(*group).agg(F.count("*").alias("_n")), "lengths")
+    return group_rank(df, group, order_by, "_p").join(lengths, list(group))
 
 
 def _scatter(

@@ -198,17 +198,19 @@ def _arrays(t: Tables):
     return out.select("vec_id", F.col("record").cast("bigint").alias("record"), F.round("data", 6).alias("data"), F.round("label", 6).alias("label"))
 
 
-@query("read_object_store", "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
+@query(
+    "read_object_store",
+    "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance, true AS listed FROM customer GROUP BY 1",
+)
 def _object_store(t: Tables):
     """Artifacts listed under a Hadoop URI, then opened."""
     path = new_path(t.spark, "artifacts")
     t.customer.write.parquet(path)
-    found = RD.list_artifacts(t.spark, path, "*.parquet")
-    # a listing: one row per file, as the driver's own scan of the folder
-    paths = [row.path for row in found.select("path").collect()]
-    return t.spark.read.parquet(*paths).groupBy("c_nationkey").agg(
+    listed = RD.list_artifacts(t.spark, path, "*.parquet").agg(F.min("length") > 0).scalar()
+    table = RD.open_artifacts(t.spark, path, "*.parquet")
+    return table.groupBy("c_nationkey").agg(
         F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")
-    )
+    ).withColumn("listed", listed)
 
 
 @query(

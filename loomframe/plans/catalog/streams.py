@@ -35,7 +35,7 @@ SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 HOUR)
 )
 def _idle(t: Tables):
     events = event_stream(t).select("user_id", "ts", "value")
-    last = t.events.agg(F.max("ts").cast("timestamp").alias("ts"))
+    last = t.events.agg(F.max(ST.event_time()).alias("ts"))
     # a row of no user, late enough to end every session
     closing = last.select(
         F.lit(None).cast("bigint").alias("user_id"),
@@ -93,4 +93,4 @@ def _replay(t: Tables):
 @query("stream_vocabulary", "SELECT user_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS index FROM events GROUP BY 1")
 def _vocabulary(t: Tables):
     stream = event_stream(t).select("user_id", "event_id")
-    return ST.drain_table(stream, ST.grow_vocabulary("user_id", "event_id"), "vocabulary")
+    return ST.drain_log(stream, ST.grow_vocabulary("user_id", "event_id"), "vocabulary")

@@ -192,6 +192,12 @@ def list_artifacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return files.load(path).select("path", "length")
 
 
+def open_artifacts(spark: SparkSession, path: str, glob: str, form: str = "parquet") -> DataFrame:
+    """The matching files under any Hadoop URI as one table."""
+    reader = spark.read.format(form).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.load(path)
+
+
 def limit_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in order (top-n per task, then one merge of n rows)."""
     return df.orderBy(*order_by).limit(n)

@@ -89,17 +89,30 @@ def drain_updates(stream: DataFrame, keys: Sequence[str], label: str) -> DataFra
 
 
 def drain_table(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], label: str) -> DataFrame:
-    """Fold micro-batches into a table: version n + 1 = step(version n, batch)."""
+    """Fold micro-batches into a bounded table: version n + 1 = step(version n, batch)."""
+    return _drain_versions(stream, step, label, appending=False)
+
+
+def drain_log(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], label: str) -> DataFrame:
+    """Grow a table: each micro-batch appends step(table so far, batch)."""
+    return _drain_versions(stream, step, label, appending=True)
+
+
+def _drain_versions(stream, step, label: str, appending: bool) -> DataFrame:
     spark = stream.sparkSession
     path = new_path(spark, label)
     versions: list[str] = []
 
+    def held() -> DataFrame | None:
+        if not versions:
+            return None
+        return spark.read.parquet(*(versions if appending else versions[-1:]))
+
     def fold(batch: DataFrame, epoch: int) -> None:
-        # a retried epoch starts again from the version before it
+        # a retried epoch starts again from the versions before it
         del versions[epoch:]
-        held = spark.read.parquet(versions[-1]) if versions else None
         target = f"{path}/version-{epoch}"
-        step(held, batch).write.mode("overwrite").parquet(target)
+        step(held(), batch).write.mode("overwrite").parquet(target)
         versions.append(target)
 
     query = (
@@ -109,7 +122,7 @@ def drain_table(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame],
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(versions[-1])
+    return held()
 
 
 def windowed_metrics(
@@ -154,15 +167,15 @@ def keep_recent(capacity: int, group: Sequence[str], order_by: str) -> Callable[
 
 
 def grow_vocabulary(token: str, order_by: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
-    """A step for ``drain_table``: new values get the next indices by first occurrence."""
+    """A step for ``drain_log``: new values get the next indices by first occurrence."""
 
     def step(held: DataFrame | None, batch: DataFrame) -> DataFrame:
         first = batch.groupBy(token).agg(F.min(order_by).alias("_first"))
         if held is None:
             return row_index(first, "_first", "index").select(token, "index")
-        size = held.agg(F.count("*").alias("n")).first().n
+        size = held.count()
         fresh = row_index(first.join(held, token, "left_anti"), "_first", "index")
-        return held.unionByName(fresh.select(token, (F.col("index") + size).alias("index")))
+        return fresh.select(token, (F.col("index") + size).alias("index"))
 
     return step
 
@@ -174,4 +187,4 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) ->
 
 def event_time(col: str = "ts") -> Column:
     """Files hold zone-free times; a watermark needs an instant (UTC)."""
-    return F.to_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone())
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone())
