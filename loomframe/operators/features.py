@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.core.order import row_index
 from loomframe.core.session import materialize
 
+FEW_VALUES = 100_000
+
 
 def select_features_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
     if not features or not labels:
@@ -28,8 +30,11 @@ def first_seen_index(df: DataFrame, col: str, order_by: Sequence[str]) -> DataFr
     The running map of a sequential reader becomes a min-key aggregate, which
     combines map-side whatever the skew of the values.
     """
-    first = df.groupBy(col).agg(F.min(F.struct(*order_by)).alias("_first"))
-    return row_index(first, "_first", "index").select(col, "index")
+    first = materialize(df.groupBy(col).agg(F.min(F.struct(*order_by)).alias("_first")), "first-seen")
+    if first.count() > FEW_VALUES:
+        return row_index(first, "_first", "index").select(col, "index")
+    # few distinct values (counted): one task numbers them
+    return first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).cast("bigint").alias("index"))
 
 
 def categorical_index_auto(df: DataFrame, col: str, order_by: Sequence[str], out: str) -> DataFrame:

@@ -85,7 +85,8 @@ UNION ALL SELECT 'array', vec_id::VARCHAR, ({axis1})::INT::DOUBLE FROM {LONG_EMB
 
 
 for _name, (_axis0, _axis1, _agg) in _REDUCTIONS.items():
-    _digits = 2 if _name == "reduce_sum" else 4
+    # extremes keep all five decimals of the input: nothing is left to round
+    _digits = {"reduce_sum": 2, "reduce_max": 6, "reduce_min": 6}.get(_name, 4)
     register(
         _name,
         lambda t, a=_axis0, b=_axis1, d=_digits: _three_forms(t, a, b, d),

@@ -224,6 +224,14 @@ def test_unknown_category_is_an_error(spark):
         X.categorical_index_map(df, "c", {"a": 0}, "i").collect()
 
 
+def test_first_seen_index_of_few_and_many_values(spark, monkeypatch):
+    df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a"), (5, "c")], "pos int, c string")
+    want = {"c": 0, "b": 1, "a": 2}
+    assert {r.c: r["index"] for r in X.first_seen_index(df, "c", ["pos"]).collect()} == want
+    monkeypatch.setattr(X, "FEW_VALUES", 1)
+    assert {r.c: r["index"] for r in X.first_seen_index(df, "c", ["pos"]).collect()} == want
+
+
 def test_feature_and_label_are_needed(spark):
     with pytest.raises(ValueError):
         X.select_features_labels(spark.range(1), [], ["id"])
