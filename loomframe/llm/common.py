@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,15 @@ from loomframe.core.session import new_path
 SLICE_BYTES = 2 << 20
 
 
+def remembered(key, make: Callable):
+    """``make()``, once per process: a worker keeps it from task to task, however this module reached it."""
+    name = "_loomframe_memory"
+    memory = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
+
+
 class Scratch:
     """Written intermediates of one operator call, in the folder that all executors share.
 

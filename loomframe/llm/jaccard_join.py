@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.llm.common import Scratch, mix, plain_text, signed, text_bytes, text_slices
 from loomframe.llm.components import components
@@ -37,7 +37,7 @@ from loomframe.llm.shingles import set_keys, shingle_sets
 COUNTER_BITS = 18
 COUNTERS = 1 << COUNTER_BITS
 _PAIR = np.uint64(0x8CB92BA72F3D8DD7)
-_SETS = "kind int, doc_id long, hi long, lo long, n int, bits binary"
+_SETS = "kind int, doc_id long, hi long, lo long, n int, bits array<long>"
 
 
 def _needed(n, percent: int):
@@ -49,11 +49,11 @@ def _counter(members: np.ndarray) -> np.ndarray:
     return (members >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def _parity(members: np.ndarray) -> bytes:
-    """One bit per hash class, set when an odd number of members falls into it; about n to 2n bits."""
+def _parity(members: np.ndarray) -> np.ndarray:
+    """One bit per hash class, set when an odd number of members falls into it; n to 2n bits, in longs."""
     width = max(64, 1 << int(len(members) - 1).bit_length())
     odd = np.bincount((mix(members) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _describe(words: int) -> Callable:
@@ -79,7 +79,7 @@ def _describe(words: int) -> Callable:
 
 
 def _sets_batch(kind, ids, hi, lo, n, bits) -> pa.RecordBatch:
-    columns = [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), hi, lo, pa.array(n, pa.int32()), pa.array(bits, pa.binary())]
+    columns = [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), hi, lo, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "hi", "lo", "n", "bits"])
 
 
@@ -202,38 +202,24 @@ def _scan(rows, opened, before, percent: int, last: bool):
     return result, opened, after, rows[:, size - 1 :]
 
 
-def _may_reach(percent: int) -> Callable:
-    """Keep pairs whose parity bitmaps leave the similarity possible.
+def _may_reach(left: str, right: str, n: str, m: str, percent: int) -> Column:
+    """Whether two parity bitmaps leave the similarity possible.
 
     Bitmaps that differ in d places prove a symmetric difference of at least d,
     and sets of n and m members that reach t differ in at most (1-t)/(1+t)*(n+m).
+    A bitmap of twice the width folds into its halves' exclusive or.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            left, right = batch.column(4), batch.column(5)
-            keep = np.zeros(len(a), bool)
-            wide = np.array([len(x) for x in left.to_pylist()]), np.array([len(x) for x in right.to_pylist()])
-            for p, q in set(zip(wide[0].tolist(), wide[1].tolist())):
-                at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
-                for part in np.array_split(at, 1 + len(at) * max(p, q) // (8 << 20)):
-                    x = _folded(left.take(pa.array(part)), p, min(p, q))
-                    y = _folded(right.take(pa.array(part)), q, min(p, q))
-                    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                    total = n[part].astype(np.int64) + m[part]
-                    keep[part] = differ * (100 + percent) <= total * (100 - percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    return run
+    def folded(x: str, y: str) -> Column:
+        half = F.size(y)
+        halves = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > half, halves).otherwise(F.col(x))
 
-
-def _folded(column, width: int, to: int) -> np.ndarray:
-    out = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
-    while out.shape[1] > to:
-        half = out.shape[1] // 2
-        out = out[:, :half] ^ out[:, half:]
-    return out
+    each = F.zip_with(folded(left, right), folded(right, left), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(each, F.lit(0), lambda total, x: total + x)
+    uneven = (F.size(left) > 2 * F.size(right)) | (F.size(right) > 2 * F.size(left))
+    bound = (F.col(n).cast("long") + F.col(m)) * (100 - percent)
+    return uneven | (differ * (100 + percent) <= bound)
 
 
 def _verify(words: int, percent: int) -> Callable:
@@ -302,11 +288,8 @@ def jaccard_components(
         size = classes.select(F.col("lo").alias("id"), "n", "bits", "rep")
         first = size.select(F.col("id").alias("a"), "n", F.col("bits").alias("left"))
         second = size.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right"))
-        close = scratch.write(
-            pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "left", "right")
-            .mapInArrow(_may_reach(percent), "a long, b long"),
-            "close",
-        )
+        close = pairs.join(first, "a").join(second, "b").filter(_may_reach("left", "right", "n", "m", percent))
+        close = scratch.write(close.select("a", "b"), "close")
         texts = docs.select(F.col("doc_id").alias("rep"), "text")
         wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
         # one text per set: a repeated row, or another text of the same id, is sorted out by its set key
@@ -330,14 +313,17 @@ def jaccard_components(
         "labelled",
     )
     mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
-    open_lists = scratch.write(labelled.join(mixed, "sig"), "open")
+    open_lists = scratch.write(
+        labelled.join(mixed, "sig").join(classes.select(F.col("lo").alias("id"), "bits"), "id"), "open"
+    )
     x, y = open_lists.alias("x"), open_lists.alias("y")
     across = x.join(
         y,
         F.expr(
             "x.sig = y.sig and x.root <> y.root and (x.n < y.n or (x.n = y.n and x.id < y.id)) "
             f"and 100 * cast(x.n as long) >= {percent} * cast(y.n as long)"
-        ),
+        )
+        & _may_reach("x.bits", "y.bits", "x.n", "y.n", percent),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = across.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verified(rest)

@@ -15,13 +15,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loomframe.llm.common import SLICE_BYTES, free_name, mix, plain_text, text_bytes, text_slices
+from loomframe.llm.common import SLICE_BYTES, free_name, mix, plain_text, remembered, text_bytes, text_slices
 
 # First and last code point of Unicode blocks, by script.
 SCRIPTS = {
@@ -48,7 +47,6 @@ CHUNK = 48
 SCRIPT_SHARE = 0.01
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Per code point: 0 for what is no letter, else 1 + script; and the lower-case code point."""
     kind = np.zeros(0x110000, np.uint8)
@@ -86,7 +84,7 @@ def words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
     head = (data & 0xC0) != 0x80
     begins = np.concatenate(([0], np.cumsum(head)))[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    kind, lower = _tables()
+    kind, lower = remembered("scripts", _tables)
     kinds = kind[points]
     letter = kinds > 0
     new = letter.copy()

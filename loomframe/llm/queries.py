@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomframe.llm import jaccard_join, language_id, length_buckets, toxicity
+from loomframe.core.session import new_path
+from loomframe.llm import byte_bpe, jaccard_join, language_id, length_buckets, token_binary, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +66,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = docs.select("doc_id", length_buckets.word_count("text").alias("n_tokens"))
     return length_buckets.pack(lengths, "doc_id", "n_tokens", buckets=16, budget=32_768)
+
+
+@query("op4_token_binary")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_binary.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end=1)
+    return token_binary.token_digests(spark, path)
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loomframe.llm.common import mix, odd_constants
+from loomframe.llm.common import mix, odd_constants, remembered
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -30,7 +30,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER, _DOWN = _powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)
+def _powers_of_piece() -> tuple[np.ndarray, np.ndarray]:
+    return remembered("powers", lambda: (_powers(_BASE, _PIECE), _powers(_INVERSE, _PIECE)))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base = starts[at]
         upto = max(int(np.searchsorted(ends, base + _PIECE, side="right")), at + 1)
         size = int(ends[upto - 1] - base)
-        power, down = (_POWER, _DOWN) if size <= _PIECE else (_powers(_BASE, size), _powers(_INVERSE, size))
+        power, down = _powers_of_piece() if size <= _PIECE else (_powers(_BASE, size), _powers(_INVERSE, size))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_BYTE[_LOWER[data[base : base + size]]] * power[:size], out=sums[1:])
         a, b = starts[at:upto] - base, ends[at:upto] - base

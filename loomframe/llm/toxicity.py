@@ -12,13 +12,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from loomframe.llm.common import Scratch, free_name, plain_text, text_bytes, text_slices
+from loomframe.llm.common import Scratch, free_name, plain_text, remembered, text_bytes, text_slices
 
 SIZES = (4, 6, 8)
 BUCKET_BITS = 20
@@ -26,7 +25,6 @@ BUCKETS = 1 << BUCKET_BITS
 _ROLL, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-@cache
 def _folding() -> np.ndarray:
     """Per code point: its lower case if it is a letter, mark or digit, else a space."""
     out = np.full(0x110000, 0x20, np.uint32)
@@ -51,7 +49,7 @@ def grams(texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[n
     begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     # a space before each text and after the last one
-    folded = np.insert(_folding()[points], begins, np.uint32(0x20))
+    folded = np.insert(remembered("folding", _folding)[points], begins, np.uint32(0x20))
     at = begins + np.arange(n + 1)
     space = folded == 0x20
     keep = np.ones(len(folded), bool)
