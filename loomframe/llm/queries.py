@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomframe.core.session import new_path
-from loomframe.llm import byte_bpe, jaccard_join, language_id, length_buckets, token_binary, toxicity
+from loomframe.llm import byte_bpe, hilbert, jaccard_join, language_id, length_buckets, token_binary, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op6_hilbert_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        "lang",
+        "source",
+    )
+    # names have no order worth keeping: a hash spreads them, and equal ones stay together
+    dimensions = {
+        "size_at": F.col("size"),
+        "lang_at": F.pmod(F.xxhash64("lang"), F.lit(1 << 40)),
+        "source_at": F.pmod(F.xxhash64("source"), F.lit(1 << 40)),
+        "id_at": F.col("doc_id"),
+    }
+    sharded = hilbert.shard_by_curve(docs, dimensions, ["doc_id", "size", "text_crc32"], shards=24, bits=8)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
