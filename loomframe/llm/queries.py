@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomframe.core.session import new_path
-from loomframe.llm import byte_bpe, embedding_dedup, hilbert, jaccard_join, language_id, length_buckets, token_binary, topk_search, toxicity
+from loomframe.llm import byte_bpe, embedding_dedup, hilbert, jaccard_join, language_id, length_buckets, license_scan, token_binary, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,62 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.near_duplicates(rows, "vec_id", "embedding", at_least=0.9)
+
+
+#: Documents as a tree of files: a folder per source and range of ids; some ids stand for the folders' licence files.
+_PATH_SQL = """
+  coalesce(source, 'unknown') || '/' || coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), 'none') || '/' ||
+  CASE WHEN doc_id % 1000 = 500 THEN 'COPYING'
+       WHEN doc_id % 100 = 0 THEN CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR) || '/LICENSE'
+       ELSE coalesce(CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' END
+"""
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
+
+
+@query(
+    "op2_license_scan",
+    f"""
+WITH templates(license, body) AS (VALUES {_TEMPLATE_ROWS}),
+files AS (SELECT doc_id, {_PATH_SQL} AS path, coalesce(text, '') AS text FROM documents),
+t_tf AS (SELECT license, term, count(*) AS tf FROM (
+  SELECT license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM (
+  SELECT DISTINCT path, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM files)
+  WHERE term IN (SELECT term FROM t_tf) GROUP BY 1),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (SELECT term, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM t_tf) LEFT JOIN df USING (term), total),
+t_w AS (SELECT license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS w FROM t_tf JOIN idf USING (term)),
+named AS (SELECT *, regexp_matches(regexp_extract(path, '[^/]*$'), '^(licen[cs]e|copying|copyright|notice|unlicense)(\..*)?$', 'i') AS licence_file FROM files),
+units AS (SELECT DISTINCT path, unnest(string_split(text, chr(10))) AS unit FROM named
+  UNION SELECT path, text FROM named WHERE licence_file),
+terms AS (SELECT unit, term, count(*) AS tf FROM (
+  SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT unit FROM units)) GROUP BY ALL),
+u_w AS (SELECT unit, term, tf * coalesce(idf, ln(total.n + 1) + 1) AS w FROM terms LEFT JOIN idf USING (term), total),
+norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM u_w GROUP BY 1),
+cosines AS (SELECT u_w.unit, license, sum(u_w.w * t_w.w) / any_value(norm) AS score
+  FROM u_w JOIN t_w USING (term) JOIN norms ON norms.unit = u_w.unit GROUP BY ALL),
+own AS (SELECT path, license, score FROM (
+  SELECT path, license, score, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, license) AS k
+  FROM units JOIN cosines USING (unit) WHERE score >= 0.6) WHERE k = 1),
+dirs AS (SELECT dir, license, score, path AS from_path FROM (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license, score, path,
+    row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY round(score, 9) DESC, license, path) AS k
+  FROM own JOIN (SELECT DISTINCT path FROM named WHERE licence_file) USING (path)) WHERE k = 1),
+inherited AS (SELECT f.path, d.license, d.score, d.from_path,
+    row_number() OVER (PARTITION BY f.path ORDER BY length(d.dir) DESC) AS k
+  FROM (SELECT DISTINCT path FROM files) f JOIN dirs d
+    ON d.dir = '' OR starts_with(regexp_replace(f.path, '/?[^/]*$', '') || '/', d.dir || '/'))
+SELECT f.doc_id, f.path, coalesce(own.license, i.license) AS license, round(coalesce(own.score, i.score), 6) AS score,
+  CASE WHEN own.path IS NOT NULL THEN 'own' WHEN i.path IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN own.path IS NOT NULL THEN own.path ELSE i.from_path END AS from_path
+FROM files f LEFT JOIN own USING (path) LEFT JOIN (SELECT * FROM inherited WHERE k = 1) i ON i.path = f.path
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH_SQL.replace("VARCHAR", "STRING")).alias("path"), "text")
+    found = license_scan.scan(docs, "path", "text", at_least=0.6)
+    # the path names the document
+    return docs.select("doc_id", "path").join(found, "path", "left").select(
+        "doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "from_path"
+    )
