@@ -12,18 +12,20 @@ first ``c`` shared members lie among the first ``n - o + c`` of each set.
 * The boundary is the size with the least estimated cost, from the histogram of
   all set sizes and the list lengths that the counts of all members foretell.
 
-Lists are scanned twice. The first scan proposes, for each posting, only the
-one before it and the first of its list, a number of pairs that is linear in
-the list; verified pairs are united. The second proposes the pairs inside a
-list whose sets are still in different components, so a group of thousands of
-near copies never becomes all its pairs and yet no link between components is
-lost. Proposed pairs pass an exact parity-bitmap bound on the symmetric
+Lists are scanned in rounds. The first proposes, for each posting, only the one
+before it and the first of its list, a number of pairs that is linear in the
+list; verified pairs are united. Further rounds do so with a few neighbours in a
+random order of each list, where the components differ. The last scan proposes all pairs inside a list
+whose sets are still in different components, so a group of thousands of near
+copies never becomes all its pairs and yet no link between components is lost.
+Proposed pairs pass an exact parity-bitmap bound on the symmetric
 difference, and what remains is verified on the sets of the whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ from loomframe.llm.shingles import set_keys, shingle_sets
 #: Counters of the member order; any number gives right results, more of them a finer order.
 COUNTER_BITS = 18
 COUNTERS = 1 << COUNTER_BITS
+#: Further rounds, each over its share of the lists, and how many neighbours they propose; what
+#: they leave in different components, the last scan compares in full.
+ROUNDS, REACH = 3, 8
 _PAIR = np.uint64(0x8CB92BA72F3D8DD7)
 _SETS = "kind int, doc_id long, hi long, lo long, n int, bits array<long>"
 
@@ -202,6 +207,28 @@ def _scan(rows, opened, before, percent: int, last: bool):
     return result, opened, after, rows[:, size - 1 :]
 
 
+def _reach_back(percent: int) -> Callable:
+    """Scan postings sorted by sig, shuffled inside it: pairs of different components at most ``REACH`` places apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            sig, ids, n, root = rows = np.concatenate((held, own), axis=1)
+            pairs = [np.zeros((2, 0), np.int64)]
+            for step in range(1, REACH + 1):
+                at = np.arange(max(held.shape[1], step), len(sig))
+                at = at[(sig[at] == sig[at - step]) & (root[at] != root[at - step])]
+                x, y = n[at], n[at - step]
+                at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
+                pairs.append(np.stack((ids[at], ids[at - step])))
+            a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = rows[:, -REACH:]
+
+    return run
+
+
 def _may_reach(left: str, right: str, n: str, m: str, percent: int) -> Column:
     """Whether two parity bitmaps leave the similarity possible.
 
@@ -304,19 +331,32 @@ def jaccard_components(
         scratch.drop(close, found)
         return result
 
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def all_of(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables)
+
+    def unlinked(tables: list[DataFrame]) -> DataFrame:
+        """Postings, with their sets' components, of the lists that still have several components."""
+        united = scratch.write(components(all_of(tables).filter("linked").select("a", "b"), scratch), "united")
+        labelled = scratch.write(
+            lists.join(united.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root")),
+            "labelled",
+        )
+        mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
+        result = scratch.write(labelled.join(mixed, "sig"), "open")
+        scratch.drop(united, labelled)
+        return result
+
     proposed = lists.select("id", F.explode(F.array("near", "far")).alias("b")).filter("b is not null")
-    first = verified(proposed.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-    united = scratch.write(components(first.filter("linked").select("a", "b"), scratch), "united")
-    labelled = scratch.write(
-        lists.join(united.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root")),
-        "labelled",
-    )
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
-    open_lists = scratch.write(
-        labelled.join(mixed, "sig").join(classes.select(F.col("lo").alias("id"), "bits"), "id"), "open"
-    )
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    tried = [verified(proposed.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())]
+    for round_ in range(ROUNDS):
+        open_lists = unlinked(tried)
+        some = open_lists.filter(F.pmod(F.xxhash64("sig"), F.lit(ROUNDS)) == round_)
+        nearby = some.repartition("sig").sortWithinPartitions("sig", F.xxhash64("sig", "id")).mapInArrow(_reach_back(percent), "a long, b long")
+        tried.append(verified(nearby.distinct().join(all_of(tried).select("a", "b"), ["a", "b"], "left_anti")))
+        scratch.drop(open_lists)
+    open_lists = unlinked(tried)
+    with_bits = scratch.write(open_lists.join(classes.select(F.col("lo").alias("id"), "bits"), "id"), "open-bits")
+    x, y = with_bits.alias("x"), with_bits.alias("y")
     across = x.join(
         y,
         F.expr(
@@ -325,9 +365,9 @@ def jaccard_components(
         )
         & _may_reach("x.bits", "y.bits", "x.n", "y.n", percent),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = across.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(rest)
-    links = first.unionByName(second).filter("linked").select("a", "b").distinct()
+    rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried.append(verified(rest.join(all_of(tried).select("a", "b"), ["a", "b"], "left_anti")))
+    links = all_of(tried).filter("linked").select("a", "b")
     stars = scratch.write(components(links, scratch), "stars")
     roots = classes.join(stars.withColumnRenamed("node", "lo"), "lo", "left").select(
         "lo", "hi", "n", "rep", F.coalesce("root", "lo").alias("root")
@@ -335,7 +375,7 @@ def jaccard_components(
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = scratch.write(roots.join(smallest, "root").select("lo", "hi", "n", "component_id"), "of-set")
     order.unpersist()
-    scratch.drop(classes, lists, first, united, labelled, open_lists, second, stars)
+    scratch.drop(classes, lists, open_lists, with_bits, *tried, stars)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.drop("bits").join(of_set, ["lo", "hi", "n"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")
