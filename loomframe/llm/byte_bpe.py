@@ -208,7 +208,7 @@ class Codec:
         split = pc.split_pattern(texts, " ")
         cut = split.offsets.to_numpy()
         codes = split.flatten().dictionary_encode()
-        distinct, index = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        distinct, index = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy()
         odd = np.array([not p or _EDGE_SPACE.search(p) is not None for p in distinct], bool)
         has_special = np.zeros(len(texts), bool)
         for s in self.bpe.special:

@@ -31,11 +31,11 @@ class PieceCache:
         return [seen[p] for p in pieces]
 
 
-def ragged(rows: list[np.ndarray], dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Rows end to end, and their n + 1 offsets."""
+def ragged(rows: list[bytes], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of packed numbers end to end, and their n + 1 offsets."""
     offsets = np.zeros(len(rows) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)), out=offsets[1:])
-    return (np.concatenate(rows).astype(dtype, copy=False) if rows else np.zeros(0, dtype)), offsets
+    return np.frombuffer(b"".join(rows), dtype), offsets // np.dtype(dtype).itemsize
 
 
 def gather(values: np.ndarray, offsets: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -144,7 +144,7 @@ _TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in license_sca
 
 @query(
     "op2_license_scan",
-    f"""
+    rf"""
 WITH templates(license, body) AS (VALUES {_TEMPLATE_ROWS}),
 files AS (SELECT doc_id, {_PATH_SQL} AS path, coalesce(text, '') AS text FROM documents),
 t_tf AS (SELECT license, term, count(*) AS tf FROM (

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm.byte_bpe import byte_alphabet
 from loomframe.llm.chunks import PieceCache, gather, ragged
-from loomframe.llm.common import Scratch, plain_text, remembered, text_slices
+from loomframe.llm.common import SLICE_BYTES, Scratch, plain_text, remembered, text_slices
 
 _HEAD = "<4sIQQQQQ"
 _MAGIC, _VERSION = b"LFTB", 1
@@ -110,19 +111,19 @@ class WordTokenizer:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         alphabet = byte_alphabet()
         self._bytes = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(256) if _PLAIN_WORD.fullmatch(chr(c))}
-        self._words = PieceCache(self._encode)
+        self._words = PieceCache(self._encode, 800_000)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         rest = []
         for i, w in enumerate(words):
             if _PLAIN_WORD.fullmatch(w):
                 # what a plain word's pre-tokenization gives: itself, byte by byte
-                out[i] = np.array([t.id for t in self._model.tokenize(w if w.isascii() else w.translate(self._bytes))], np.uint32)
+                out[i] = array("I", [t.id for t in self._model.tokenize(w if w.isascii() else w.translate(self._bytes))]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self._tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
+            out[i] = array("I", e.ids).tobytes()
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +135,7 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(spaced)
         words = split.flatten().dictionary_encode()
         index = words.indices.to_numpy()
-        ids, of_word = ragged(self._words(words.dictionary.to_pylist()), np.uint32)
+        ids, of_word = ragged(self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint32)
         ids, of = gather(ids, of_word, index)
         cut = split.offsets.to_numpy()
         return ids, of[cut - cut[0]]
@@ -150,7 +151,7 @@ def _tokenize(path: str, end: int) -> Callable:
         tokenizer = _tokenizer(path)
         for batch in batches:
             texts = plain_text(batch.column(1))
-            for a, b in text_slices(texts):
+            for a, b in text_slices(texts, 2 * SLICE_BYTES):
                 ids, cut = tokenizer(texts.slice(a, b - a))
                 if len(ids) and ids.max() >= 1 << 24:
                     raise ValueError("ids of 2^24 and more are not supported")
