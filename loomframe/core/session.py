@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FALLBACK: dict[str, str] = {}
-
-
 def build_session(cpus: int | str = "*", app: str = "loomframe", **conf: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     builder = (
@@ -27,30 +24,33 @@ def build_session(cpus: int | str = "*", app: str = "loomframe", **conf: str) ->
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    atexit.register(delete_scratch, spark)
     return spark
 
 
+def delete_scratch(spark: SparkSession) -> None:
+    """Delete what a session of ``build_session`` has written to the shared folder."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only for a local master, where driver and
-    executors are one process; on a cluster a missing setting is an error.
+    A session that names none uses a folder beside its warehouse, which all
+    executors share too.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FALLBACK:
-        _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="loomframe-")
-    return _LOCAL_FALLBACK[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/loomframe/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -53,7 +53,9 @@ def mul(a, b, *more) -> Column:
 
 def div(a, b) -> Column:
     a, b = _c(a).cast("double"), _c(b).cast("double")
-    at_zero = F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)).otherwise(F.lit(NAN))
+    # the angle of a negative zero is below the axis
+    same = (a > 0) == (F.atan2(b, F.lit(-1.0)) > 0)
+    at_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(same, F.lit(INF)).when(~same, F.lit(-INF))
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
@@ -67,11 +69,13 @@ def power(a, b) -> Column:
 
 
 def maximum(a, b) -> Column:
-    return F.greatest(_c(a), _c(b))
+    a, b = _c(a), _c(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
 def minimum(a, b) -> Column:
-    return F.least(_c(a), _c(b))
+    a, b = _c(a), _c(b)
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
 def neg(x) -> Column:
@@ -99,12 +103,18 @@ def cbrt(x) -> Column:
 
 
 # rounding -------------------------------------------------------------------
+def _whole(x, rounded: Column) -> Column:
+    """Doubles of 2^53 and more, infinities and NaN are whole already and would not fit a bigint."""
+    x = _c(x).cast("double")
+    return F.when(F.abs(x) < float(2**53), rounded.cast("double")).otherwise(x)
+
+
 def floor(x) -> Column:
-    return F.floor(x).cast("double")
+    return _whole(x, F.floor(x))
 
 
 def ceil(x) -> Column:
-    return F.ceil(x).cast("double")
+    return _whole(x, F.ceil(x))
 
 
 def round_half_even(x) -> Column:
@@ -112,7 +122,7 @@ def round_half_even(x) -> Column:
 
 
 def trunc(x) -> Column:
-    return F.when(_c(x) < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return _whole(x, F.when(_c(x) < 0, F.ceil(x)).otherwise(F.floor(x)))
 
 
 # exponentials ---------------------------------------------------------------
@@ -151,7 +161,7 @@ degrees, radians = F.degrees, F.radians
 
 
 def clip(x, low, high) -> Column:
-    return F.least(F.greatest(_c(x), _c(low)), _c(high))
+    return minimum(maximum(x, low), high)
 
 
 def is_nan(x) -> Column:

@@ -155,7 +155,7 @@ def nms_rounds(df: DataFrame, group: Sequence[str], box_id: str, score: str, thr
         overlap = iou({c: F.col(c) for c in CORNERS}, {c: F.col(f"_{c}") for c in CORNERS})
         dropped = (
             cells.join(lead, [*group, "_cx", "_cy"])
-            .filter((overlap >= threshold) | (F.col("_w") == F.col(box_id)))
+            .filter(((overlap > 0) & (overlap >= threshold)) | (F.col("_w") == F.col(box_id)))
             .select(*group, box_id)
             .distinct()
         )
@@ -316,7 +316,7 @@ def ssd_decode(
     """
     from loomframe.functions.activations import softmax
 
-    probs = df.withColumn("_p", F.slice(softmax(F.col(logits)), 2, 10_000))
+    probs = df.withColumn("_p", F.slice(softmax(F.col(logits)), F.lit(2), F.size(logits) - 1))
     scored = probs.withColumns(
         {"class": argmax(F.col("_p")).cast("bigint"), "score": F.array_max("_p")}
     ).filter(F.col("score") >= threshold)

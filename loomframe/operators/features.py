@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.core.order import row_index
 from loomframe.core.session import materialize
+from loomframe.functions import elementwise as E
 
 FEW_VALUES = 100_000
 
@@ -38,8 +39,10 @@ def first_seen_index(df: DataFrame, col: str, order_by: Sequence[str]) -> DataFr
 
 
 def categorical_index_auto(df: DataFrame, col: str, order_by: Sequence[str], out: str) -> DataFrame:
+    """Append the first-seen index of ``col``; NULL is a category like any other."""
     mapping = materialize(first_seen_index(df, col, order_by), "categories")
-    return df.join(mapping.withColumnRenamed("index", out), col)
+    mapping = mapping.select(F.col(col).alias("_category"), F.col("index").alias(out))
+    return df.join(mapping, F.col(col).eqNullSafe(F.col("_category")), "left").drop("_category")
 
 
 def categorical_index_map(df: DataFrame, col: str, mapping: dict[str, int], out: str) -> DataFrame:
@@ -82,7 +85,7 @@ def custom_featurizer(fn: Callable) -> Callable[[Column], Column]:
 
 
 def standardize(df: DataFrame, cols: Sequence[str], over: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / population std, statistics from ``over`` (default: ``df``).
+    """(x - mean) / population std, statistics from ``over`` (default: ``df``); a constant column gives NaN.
 
     The statistics are one row, read as a scalar subquery: no join, no driver
     round trip, and the scan for them reads only these columns.
@@ -94,7 +97,7 @@ def standardize(df: DataFrame, cols: Sequence[str], over: DataFrame | None = Non
             *[F.stddev_pop(c).alias(f"s_{c}") for c in cols],
         ).alias("stats")
     ).scalar()
-    scaled = {c: (F.col(c) - stats.getField(f"m_{c}")) / stats.getField(f"s_{c}") for c in cols}
+    scaled = {c: E.div(F.col(c) - stats.getField(f"m_{c}"), stats.getField(f"s_{c}")) for c in cols}
     return df.withColumns(scaled)
 
 

@@ -118,6 +118,8 @@ def fit(
     only its own batch and no lineage grows over the steps.
     """
     configs = list(configs or [Config()])
+    if batches > 1 and not key:
+        raise ValueError("several batches need a key that deals the rows")
     batch = keyed_integer(seed, 0, batches, *key).cast("int") if batches > 1 else F.lit(0)
     path = new_path(df.sparkSession, "fit")
     prepared = df.select(features.cast("array<double>").alias("_x"), label.cast("double").alias("_y"), batch.alias("_batch"))

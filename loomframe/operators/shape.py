@@ -156,9 +156,12 @@ def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] = ()) -> DataFrame:
+def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] = (), sparse: bool = False) -> DataFrame:
     """Product of two long matrices, optionally one per batch key.
 
+    Every cell of a row of ``a`` and a column of ``b`` comes out, zeros included;
+    ``sparse`` leaves out the cells whose value is zero.
+
     Cells are packed into ``block`` x ``block`` tiles, tiles meet in one join on
     the inner block index, each pair is one dense product, and products of the
     same output tile are added up as whole tiles.
@@ -171,7 +174,8 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] =
         )
         keys = [F.floor(F.col(row) / block).alias("_rb"), F.floor(F.col(col) / block).alias("_cb")]
         inner, out = ("_cb", "_rb") if outer == "row" else ("_rb", "_cb")
-        packed = m.groupBy(*batch, *keys).agg(cells.alias(name))
+        present = F.collect_set(F.pmod(F.col(row if outer == "row" else col), F.lit(block)).cast("bigint"))
+        packed = m.groupBy(*batch, *keys).agg(cells.alias(name), present.alias(f"_has_{outer}"))
         return packed.withColumnsRenamed({inner: "_inner", out: f"_{outer}"})
 
     left = tiles(a, "i", "j", "_a", "row")
@@ -181,9 +185,14 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] =
     def product(x: pa.Array, y: pa.Array) -> pa.Array:
         return vectors((blocks(x, block) @ blocks(y, block)).reshape(len(x), block * block))
 
-    joined = left.join(right, [*batch, "_inner"]).select(*batch, "_row", "_col", product("_a", "_b").alias("_p"))
-    cells = joined.select(*batch, "_row", "_col", F.posexplode("_p").alias("_k", "_v")).filter(F.col("_v") != 0)
-    return (
+    joined = left.join(right, [*batch, "_inner"]).select(
+        *batch, "_row", "_col", "_has_row", "_has_col", product("_a", "_b").alias("_p")
+    )
+    cells = joined.select(*batch, "_row", "_col", "_has_row", "_has_col", F.posexplode("_p").alias("_k", "_v")).filter(
+        F.array_contains("_has_row", F.floor(F.col("_k") / block).cast("bigint"))
+        & F.array_contains("_has_col", F.pmod(F.col("_k"), F.lit(block)).cast("bigint"))
+    )
+    out = (
         cells.groupBy(
             *batch,
             (F.col("_row") * block + F.floor(F.col("_k") / block)).alias("i"),
@@ -191,6 +200,7 @@ def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] =
         )
         .agg(F.sum("_v").alias("v"))
     )
+    return out.filter(F.col("v") != 0) if sparse else out
 
 
 def mat_vec(df: DataFrame, vector: str, weights, out: str, bias=None) -> DataFrame:

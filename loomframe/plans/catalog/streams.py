@@ -42,7 +42,7 @@ def _idle(t: Tables):
         F.expr("ts + INTERVAL 3 HOURS").alias("ts"),
         F.lit(0.0).alias("value"),
     )
-    sessions = lambda stream: ST.idle_sessions(stream, "ts", "user_id", "value", "2 hours")
+    sessions = lambda stream: ST.idle_sessions(stream, "ts", "user_id", "value", "2 hours", late="10 minutes")
     out = ST.drain_closed(events, sessions, closing, "sessions").filter("user_id IS NOT NULL")
     return out.select(
         "user_id", _micros("start").alias("start"), _micros("end").alias("end"), "n", F.round("total", 2).alias("total")
@@ -57,7 +57,7 @@ UNION ALL SELECT 'sliding', epoch_us(time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP
 )
 def _metrics(t: Tables):
     def drained(slide, width, form):
-        out = ST.windowed_metrics(event_stream(t), "ts", "event_type", "value", width, slide)
+        out = ST.windowed_metrics(event_stream(t), "ts", "event_type", "value", width, slide, late="10 minutes")
         rows = ST.drain_updates(out, ["start", "end", "event_type"], f"metrics-{form}")
         return rows.select(
             F.lit(form).alias("form"),
@@ -76,7 +76,7 @@ def _metrics(t: Tables):
     f"SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start, event_type, count(*) AS n, {r('sum(value)', 2)} AS total FROM events GROUP BY 1, 2",
 )
 def _accumulator(t: Tables):
-    out = ST.stage_accumulator(event_stream(t), "ts", "event_type", "value", "1 day")
+    out = ST.stage_accumulator(event_stream(t), "ts", "event_type", "value", "1 day", late="10 minutes")
     rows = ST.drain_updates(out, ["start", "end", "event_type"], "stages")
     return rows.select(_micros("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 

@@ -229,11 +229,11 @@ def _raw(t: Tables):
     "split_identifiers",
     r"""
 WITH l AS (SELECT page_id, unnest(regexp_split_to_array(html, '\r\n|\n|\r')) AS line, generate_subscripts(regexp_split_to_array(html, '\r\n|\n|\r'), 1) - 1 AS pos FROM pages)
-SELECT page_id, pos, md5(array_to_string(list_transform(regexp_extract_all(line, '\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}|\P{L}', 0), lambda w: lower(w)), chr(31))) AS digest FROM l WHERE length(line) > 1""",
+SELECT page_id, pos, md5(array_to_string(list_transform(regexp_extract_all(line, '\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}|\P{L}', 0), lambda w: lower(w)), chr(31))) AS digest FROM l""",
 )
 def _identifiers(t: Tables):
     lines = t.pages.select("page_id", F.posexplode(F.split("html", "\r\n|\n|\r")).alias("pos", "line"))
-    return lines.filter(F.length("line") > 1).select(
+    return lines.select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), T.digest(T.split_identifiers(F.col("line"))).alias("digest")
     )
 

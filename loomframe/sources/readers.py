@@ -6,6 +6,7 @@ file suffix.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -70,9 +71,11 @@ def featurize_by_manifest(df: DataFrame, manifest: dict) -> DataFrame:
 
 
 def read_parallel_text(spark: SparkSession, path: str) -> DataFrame:
-    """One tab-separated sentence pair per line; further fields are ignored."""
+    """One tab-separated sentence pair per line; further fields are ignored, a line of one field is an error."""
     parts = F.split("value", "\t")
-    return spark.read.text(path).filter(F.size(parts) >= 2).select(parts[0].alias("source"), parts[1].alias("target"))
+    bad = F.raise_error(F.concat(F.lit("line without a tab: "), F.col("value")))
+    target = F.when(F.size(parts) >= 2, F.get(parts, F.lit(1))).otherwise(bad)
+    return spark.read.text(path).select(parts[0].alias("source"), target.alias("target"))
 
 
 def read_text_label_from_path(
@@ -107,9 +110,9 @@ def list_image_folder(
 
     Only the listing is read: the content column is never selected.
     """
-    root = path.rstrip("/").rsplit("/", 1)[-1]
+    root = re.escape(re.sub(r"^[a-zA-Z]+:/+", "", path).strip("/"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    inside = F.regexp_extract("path", rf".*/{root}/(.+)$", 1)
+    inside = F.regexp_extract("path", rf"^(?:[a-zA-Z]+:)?/*{root}/(.+)$", 1)
     parts = F.split(inside, "/")
     allowed = F.lower(F.element_at(F.split("path", r"\."), -1)).isin([e.lower() for e in extensions])
     kept = files.filter(allowed & (F.size(parts) >= 2) & (F.size(parts) <= max_depth + 1)).select(
@@ -144,7 +147,13 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def read_annotations_json(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """The three tables of annotation documents; ``position`` is the category list order."""
     docs = spark.read.schema(ANNOTATIONS).option("multiLine", multi_line).json(path)
-    categories = docs.select(F.posexplode("categories").alias("position", "c")).select("position", "c.*").distinct()
+    listed = docs.select(F.posexplode("categories").alias("position", "c")).select("position", "c.*")
+    conflict = F.raise_error(F.concat(F.lit("category with several names: "), F.col("id").cast("string")))
+    # one row per category id, whatever order the documents list them in
+    categories = (
+        listed.groupBy("id").agg(F.min("position").alias("position"), F.min("name").alias("name"), F.max("name").alias("_other"))
+        .select("position", "id", F.when(F.col("name").eqNullSafe(F.col("_other")), F.col("name")).otherwise(conflict).alias("name"))
+    )
     return {
         "images": docs.select(F.inline("images")).distinct(),
         "annotations": docs.select(F.inline("annotations")),

@@ -126,7 +126,7 @@ def _drain_versions(stream, step, label: str, appending: bool) -> DataFrame:
 
 
 def windowed_metrics(
-    stream: DataFrame, ts: str, name: str, value: str, width: str, slide: str | None = None, late: str = "10 minutes"
+    stream: DataFrame, ts: str, name: str, value: str, width: str, slide: str | None = None, *, late: str
 ) -> DataFrame:
     """Count, sum and mean by name in tumbling or sliding event-time windows."""
     frame = F.window(ts, width, slide) if slide else F.window(ts, width)
@@ -138,7 +138,7 @@ def windowed_metrics(
     )
 
 
-def idle_sessions(stream: DataFrame, ts: str, key: str, value: str, gap: str, late: str = "10 minutes") -> DataFrame:
+def idle_sessions(stream: DataFrame, ts: str, key: str, value: str, gap: str, *, late: str) -> DataFrame:
     """Batches per key that close after ``gap`` without input."""
     return (
         stream.withWatermark(ts, late)
@@ -148,7 +148,7 @@ def idle_sessions(stream: DataFrame, ts: str, key: str, value: str, gap: str, la
     )
 
 
-def stage_accumulator(stream: DataFrame, ts: str, stage: str, value: str, reset: str, late: str = "10 minutes") -> DataFrame:
+def stage_accumulator(stream: DataFrame, ts: str, stage: str, value: str, reset: str, *, late: str) -> DataFrame:
     """Running totals per stage, reset at every window end."""
     return windowed_metrics(stream, ts, stage, value, reset, late=late)
 
