@@ -53,8 +53,8 @@ def mul(a, b, *more) -> Column:
 
 def div(a, b) -> Column:
     a, b = _c(a).cast("double"), _c(b).cast("double")
-    # the angle of a negative zero is below the axis
-    same = (a > 0) == (F.atan2(b, F.lit(-1.0)) > 0)
+    # comparisons do not see the sign of a zero, its text does
+    same = (a > 0) == (b.cast("string") != "-0.0")
     at_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(same, F.lit(INF)).when(~same, F.lit(-INF))
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
