@@ -294,6 +294,10 @@ def _cast(t: Tables):
     )
 
 
+@query(
+    "transform_pipeline",
+    f"SELECT o_orderkey, upper(trim(substr(o_orderpriority, 3))) AS o_orderpriority, {r('ln(o_totalprice / 100.0)')} AS o_totalprice FROM orders",
+)
 @query(
     "transform_chain",
     f"SELECT o_orderkey, upper(trim(substr(o_orderpriority, 3))) AS o_orderpriority, {r('ln(o_totalprice / 100.0)')} AS o_totalprice FROM orders",

@@ -55,6 +55,7 @@ def _punct(t: Tables):
     return _digests(t.documents, T.separate_punctuation(T.tokenize_simple(F.col("text"))))
 
 
+@query("text_pipeline", _digests_sql(CHAIN))
 @query("text_chain", _digests_sql(CHAIN))
 def _chain(t: Tables):
     return _digests(t.documents, T.text_chain(F.col("text")))
