@@ -187,33 +187,41 @@ def anchor_boxes(
 def default_boxes(
     df: DataFrame, figure: int, features: Sequence[int], steps: Sequence[int], scales: Sequence[int], ratios: Sequence[Sequence[int]]
 ) -> DataFrame:
-    """Multi-scale grid boxes (cx, cy, w, h, clipped to 0..1) for every row of ``df``."""
-    specs = []
-    for level, cells in enumerate(features):
-        s1, s2 = scales[level] / figure, scales[level + 1] / figure
-        between = float(np.sqrt(s1 * s2))
-        shapes = [(s1, s1), (between, between)]
-        for a in ratios[level]:
-            root = float(np.sqrt(a))
-            shapes += [(s1 * root, s1 / root), (s1 / root, s1 * root)]
-        specs += [(level, k, cells, figure / steps[level], w, h) for k, (w, h) in enumerate(shapes)]
-    fields = ("level", "shape", "cells", "fk", "w", "h")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, spec)]) for spec in specs])
-    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    spread = df.select("*", F.explode(table).alias("_b"))
-    ranged = spread.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_b.cells") - 1))).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.col("_b.cells") - 1))
-    )
-    return ranged.select(
+    """Multi-scale grid boxes (cx, cy, w, h, clipped to 0..1) for every row of ``df``.
+
+    Level ``k`` has a square grid of ``features[k]`` cells a side, ``steps[k]`` pixels apart. Each cell has a square
+    of its level's scale, a square half-way (geometrically) to the next scale, and, per ratio, a wide and a tall box
+    of its level's scale: sides ``size * sqrt(aspect)`` and ``size / sqrt(aspect)``.
+    """
+    levels = [
+        F.struct(
+            F.lit(cells).alias("cells"),
+            F.lit(step / figure).alias("step"),
+            F.lit(own / figure).alias("own"),
+            F.lit(following / figure).alias("following"),
+            F.lit([float(r) for r in aspects]).cast("array<double>").alias("aspects"),
+        )
+        for cells, step, own, following, aspects in zip(features, steps, scales, scales[1:], ratios)
+    ]
+    shape = lambda size, aspect: F.struct(size.alias("size"), aspect.alias("aspect"))
+    own, one = F.col("_l.own"), F.lit(1.0)
+    pairs = F.transform("_l.aspects", lambda r: F.array(shape(own, r), shape(own, 1 / r)))
+    shapes = F.concat(F.array(shape(own, one), shape(F.sqrt(own * F.col("_l.following")), one)), F.flatten(pairs))
+    clipped = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    placed = df.select("*", F.posexplode(F.array(*levels)).alias("level", "_l")).select("*", F.posexplode(shapes).alias("shape", "_s"))
+    cell = F.explode(F.sequence(F.lit(0), F.col("_l.cells") * F.col("_l.cells") - 1)).alias("_cell")
+    row, column = F.floor(F.col("_cell") / F.col("_l.cells")).cast("int"), F.col("_cell") % F.col("_l.cells")
+    stretch = F.sqrt("_s.aspect")
+    return placed.select("*", cell).select(
         *df.columns,
-        F.col("_b.level").alias("level"),
-        F.col("_b.shape").alias("shape"),
-        "i",
-        "j",
-        unit((F.col("j") + 0.5) / F.col("_b.fk")).alias("cx"),
-        unit((F.col("i") + 0.5) / F.col("_b.fk")).alias("cy"),
-        unit(F.col("_b.w")).alias("w"),
-        unit(F.col("_b.h")).alias("h"),
+        "level",
+        "shape",
+        row.alias("i"),
+        column.alias("j"),
+        clipped((column + 0.5) * F.col("_l.step")).alias("cx"),
+        clipped((row + 0.5) * F.col("_l.step")).alias("cy"),
+        clipped(F.col("_s.size") * stretch).alias("w"),
+        clipped(F.col("_s.size") / stretch).alias("h"),
     )
 
 

@@ -76,6 +76,7 @@ def random_split(
     Two passes over the key columns find the row at which each part begins: one
     counts hash digits, one ranks the few rows around a cut. The label itself is
     then a comparison with constants, so the data is neither moved nor sorted.
+    A key that repeats on both sides of a cut could not give the exact sizes and raises.
     """
     key = [key] if isinstance(key, str) else list(key)
     hashed = df.select(*key, keyed_hash(seed, *key).alias("_h"))
@@ -92,8 +93,9 @@ def random_split(
         .withColumns({"_start": start, "_before": before})
         .withColumn("_rank", F.row_number().over(order) - 1 + F.col("_before"))
     )
-    # one row per cut
-    first = {row["_rank"]: row for row in ranked.filter(F.col("_rank").isin(cuts)).select("_rank", "_h", *key).collect()}
+    # the rows on both sides of each cut
+    sides = [*cuts, *[c - 1 for c in cuts]]
+    first = {row["_rank"]: row for row in ranked.filter(F.col("_rank").isin(sides)).select("_rank", "_h", *key).collect()}
     h = keyed_hash(seed, *key)
     types = dict(df.select(*key).dtypes)
     part = F.lit(0)
@@ -101,6 +103,8 @@ def random_split(
         if cut not in first:
             continue  # nothing is left for the later parts
         row = first[cut]
+        if cut - 1 in first and all(first[cut - 1][k] == row[k] for k in key):
+            raise ValueError(f"key {key} is not unique: rows of one key lie on both sides of a cut")
         at = F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in key])
         part = part + ((h > row["_h"]) | ((h == row["_h"]) & (F.struct(*key) >= at))).cast("int")
     return df.withColumn(name, part)

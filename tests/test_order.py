@@ -115,3 +115,8 @@ def test_blocked_window_equals_plain_lag(spark):
     got = cut.select("g", "p", F.lag("id", 2).over(over).alias("l"), F.lead("id").over(over).alias("n"), "_owned").filter("_owned")
     want = df.select("g", "p", F.lag("id", 2).over(Window.partitionBy("g").orderBy("p")).alias("l"), F.lead("id").over(Window.partitionBy("g").orderBy("p")).alias("n"))
     assert sorted(map(tuple, got.drop("_owned").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+def test_split_refuses_a_key_that_repeats_across_a_cut(spark):
+    repeated = spark.range(1000).select((F.col("id") % 10).alias("k"))
+    with pytest.raises(ValueError):
+        S.random_split(repeated, [85, 15], 3, "k")
