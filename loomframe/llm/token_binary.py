@@ -147,8 +147,10 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 def _tokenize(path: str, end: int) -> Callable:
+    """Ids of sorted documents, with the number of their partition and the ids before each in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, part, before = _tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = plain_text(batch.column(1))
             for a, b in text_slices(texts, 2 * SLICE_BYTES):
@@ -157,9 +159,16 @@ def _tokenize(path: str, end: int) -> Callable:
                     raise ValueError("ids of 2^24 and more are not supported")
                 rows = [np.append(ids[x:y], np.uint32(end)).astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:])]
                 n = np.diff(cut) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([_narrow(r) for r in rows], pa.binary())], ["doc_id", "n", "ids"]
-                )
+                ends = before + np.cumsum(n)
+                columns = [
+                    pa.array(np.full(b - a, part), pa.int32()),
+                    pa.array(ends - n, pa.int64()),
+                    batch.column(0).slice(a, b - a),
+                    pa.array(n, pa.int64()),
+                    pa.array([_narrow(r) for r in rows], pa.binary()),
+                ]
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays(columns, ["part", "before", "doc_id", "n", "ids"])
 
     return run
 
@@ -174,17 +183,6 @@ def _wide(planes: bytes) -> np.ndarray:
     return raw[0].astype(np.uint32) | raw[1].astype(np.uint32) << 8 | raw[2].astype(np.uint32) << 16
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the number of the sorted partition and the ids before each document in it."""
-    part, before = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.column(1).to_numpy()
-        ends = before + np.cumsum(n)
-        columns = [pa.array(np.full(len(n), part), pa.int32()), pa.array(ends - n, pa.int64()), *batch.columns]
-        before = int(ends[-1]) if len(n) else before
-        yield pa.RecordBatch.from_arrays(columns, ["part", "before", "doc_id", "n", "ids"])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
@@ -201,18 +199,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end: int, id_c
     """Tokenize the whole texts, append ``end`` to each, and write token files below ``path``.
 
     A text that is null or empty has the end id alone. Documents are written in
-    ascending id order, null ids first; repeated ids in the order of their ids'
-    number and value. An empty table writes ``ranks`` and no blocks. The driver
+    ascending id order, null ids first; repeated ids in the order of a hash of
+    their texts. Texts are sorted before they become ids, for a range partitioning
+    evaluates its input twice. An empty table writes ``ranks`` and no blocks. The driver
     sees one count per used id and one sum per written partition.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     placed = scratch.write(
-        rows.mapInArrow(_tokenize(tokenizer_path, end), "doc_id long, n long, ids binary")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "n", "ids")
-        .mapInArrow(_place, "part int, before long, doc_id long, n long, ids binary"),
+        rows.repartitionByRange("doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .mapInArrow(_tokenize(tokenizer_path, end), "part int, before long, doc_id long, n long, ids binary"),
         "ids",
     )
     sums = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
