@@ -333,6 +333,40 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(rows.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("prefix", [None, 5])
+def test_embedding_links_in_a_dense_region(spark, prefix):
+    """A third of the rows in a cone where almost only the planted pairs link: the region does not cost recall."""
+    rng = np.random.default_rng(12)
+    n, width = 6000, 256
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axis = x[0].copy()
+    x[: n // 3] = np.sqrt(0.8) * axis + np.sqrt(0.2) * x[: n // 3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 600, 2):
+        away = rng.normal(size=width)
+        away -= (away @ x[i]) * x[i]
+        x[i + 1] = 0.92 * x[i] + np.sqrt(1 - 0.92**2) * away / np.linalg.norm(away)
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, 0)
+    links = (cosines >= 0.9).sum(axis=1)
+    assert 600 <= links.sum() < 1200
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(rows, "vec_id", "embedding", **({"prefix": prefix} if prefix else {})).collect()}
+    found = sum(got.values()) / links.sum()
+    assert all(got[i] <= links[i] for i in range(n)) and found >= 0.98
+
+
+def test_code_length_follows_density():
+    uniform = {p: 2.0**-p for p in range(41)}
+    dense = {p: max(2.0**-p, 0.1 * 0.9**p) for p in range(41)}
+    assert embedding_dedup.cheapest_prefix(3000, uniform, 0.9, 0.99) == 0
+    few, more = (embedding_dedup.cheapest_prefix(n, uniform, 0.9, 0.99) for n in (100_000, 10_000_000))
+    assert 0 < few < more
+    assert embedding_dedup.cheapest_prefix(10_000_000, dense, 0.9, 0.99) != more
+    assert embedding_dedup.passes_for(0, 0.9, 0.99) == 1
+
+
 def test_licences(spark):
     files = [
         ("a/LICENSE", "Released under the MIT License."),
