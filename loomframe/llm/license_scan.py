@@ -53,11 +53,10 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def document_frequency(files: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of files and, for each term of the vocabulary, of those that have it."""
-    has = F.explode(F.array_intersect(_terms(F.coalesce(text_col, F.lit(""))), _array(vocabulary)))
-    counts = files.select(has.alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
-    return files.count(), {r.term: r.n for r in counts}
+def document_frequency(files: DataFrame, text_col: str) -> DataFrame:
+    """``(term, n)``: the number of files that have each term."""
+    has = F.explode(F.array_distinct(_terms(F.coalesce(text_col, F.lit("")))))
+    return files.select(has.alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def _weights(templates, idf: dict[str, float]) -> list[dict[str, float]]:
@@ -87,11 +86,15 @@ def anchors(weights: list[dict[str, float]], at_least: float) -> list[str]:
     return sorted(found)
 
 
-def _scored(units: DataFrame, templates, idf: dict[str, float], unseen: float, weights, at_least: float) -> DataFrame:
+def _scored(units: DataFrame, templates, frequency: DataFrame, total: int, weights, at_least: float) -> DataFrame:
     """``units(unit)`` to ``(unit, license, score)`` for those that reach a template; the best one, then by name."""
-    idf_of = F.create_map(*[F.lit(x) for t, v in idf.items() for x in (t, v)])
     counts = units.select("unit", F.explode(_terms("unit")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    weighted = counts.withColumn("w", F.col("tf") * F.coalesce(F.element_at(idf_of, F.col("term")), F.lit(unseen)))
+    used = frequency.join(counts.select("term").distinct(), "term", "left_semi")
+    # a term that most units share is spread by the salt
+    spread = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALT)).cast("int"))
+    idf = F.log((F.lit(total) + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1
+    weighted = salted.join(spread, ["term", "salt"], "left").withColumn("w", F.col("tf") * idf)
     # one sum per template; a term outside a template adds nothing
     dots = []
     for k, w in enumerate(weights):
@@ -117,18 +120,19 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     of the licence file in the nearest ancestor directory (its own directory
     first), else null with no licence. The best score counts, then the licence's
     name; of several licence files in a directory the best, then the first path.
-    Inverse document frequency counts over all files; a term outside the templates
-    weighs as one that no file has. A text that is null or empty has no licence of
+    Inverse document frequency counts over all files, for every term, so a common
+    word beside a template's weighs little in a table of any size. A text that is null or empty has no licence of
     its own. Several rows of one path are one file. Rows without a path take no
     part; an empty table gives an empty result.
     """
     scratch = Scratch(files.sparkSession)
     files = files.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("path is not null")
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    total, df = document_frequency(files, "text", vocabulary)
+    total = files.count()
+    frequency = scratch.write(document_frequency(files, "text"), "frequency")
+    df = {r.term: r.n for r in frequency.filter(F.col("term").isin(vocabulary)).collect()}
     idf = {t: math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
     weights = _weights(templates, idf)
-    unseen = math.log(total + 1) + 1
     anchored = _array(anchors(weights, at_least))
     name = F.regexp_extract("path", r"[^/]*$", 0)
     lines = F.split("text", "\n")
@@ -139,7 +143,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
         .filter(F.arrays_overlap(_terms("unit"), anchored)),
         "units",
     )
-    scored = scratch.write(_scored(units.select("unit").distinct(), templates, idf, unseen, weights, at_least), "scored")
+    scored = scratch.write(_scored(units.select("unit").distinct(), templates, frequency, total, weights, at_least), "scored")
     # a line that a third of all files share is spread by the salt
     spread = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     hits = units.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).join(spread, ["unit", "salt"])
@@ -164,7 +168,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     result = own.select("path", "license", "score", F.lit("own").alias("origin"), F.col("path").alias("from_path")).unionByName(
         rest.select("path", "license", "score", origin.alias("origin"), "from_path")
     )
-    scratch.drop(units, scored)
+    scratch.drop(units, scored, frequency)
     return result
 
 

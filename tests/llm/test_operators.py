@@ -386,6 +386,19 @@ def test_licences(spark):
     assert license_scan.scan(rows.limit(0)).count() == 0
 
 
+def test_licence_lines_keep_their_score_in_a_larger_table(spark):
+    """A header with a word that most files have is found in a table of any size, with nearly the same score."""
+    header = "# File released under the MIT License, see the file."
+    scores = []
+    for n in (200, 20_000):
+        other = spark.range(n).select(F.concat(F.lit("d/"), "id").alias("path"), F.expr("if(id % 2 = 0, 'some file and see the like', 'words')").alias("text"))
+        licensed = spark.range(n // 100).select(F.concat(F.lit("m/"), "id").alias("path"), F.lit(header).alias("text"))
+        got = license_scan.scan(other.unionByName(licensed)).filter("path = 'm/0'").first()
+        assert got.license == "MIT"
+        scores.append(got.score)
+    assert abs(scores[0] - scores[1]) < 0.01
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
