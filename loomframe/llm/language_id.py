@@ -286,6 +286,9 @@ def label_texts(texts: pa.Array, model: LanguageModel) -> tuple[list, np.ndarray
     mine = labels == best[words.text]
     weight = np.bincount(words.text[mine], (sure * words.length)[mine], n)
     score = np.divide(weight, total, out=np.zeros(n), where=total > 0)
+    # letters of scripts that no language uses tell nothing; a text with mostly such letters scores 0
+    foreign = np.bincount(words.text, words.length * ~model.uses[words.script].any(axis=1), n)
+    score = np.where(2 * foreign <= total, score, 0.0)
     names = [model.languages[j] if t else None for j, t in zip(best.tolist(), total.tolist())]
     change = np.ones(len(labels), bool)
     change[1:] = (labels[1:] != labels[:-1]) | (words.text[1:] != words.text[:-1])
@@ -308,9 +311,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     ``score`` is the mean probability of the predicted language over all letters
     (0 for letters in another language's span). A text that is null, empty or
     without a letter, or any text when nothing was learned, gets ``und``, 0 and
-    no spans. Ties go to the language with more training rows, then by name. An
-    existing column of one of these names is kept; the new one then gets an
-    underscore before it.
+    no spans; one with most of its letters in scripts that no learned language
+    uses gets ``und`` and 0 beside its spans. Ties go to the language with more
+    training rows, then by name. An existing column of one of these names is
+    kept; the new one then gets an underscore before it.
     """
     names = [free_name(docs, c) for c in ("lang_pred", "score", "spans")]
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
@@ -323,7 +327,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             for a, b in text_slices(texts, SLICE_BYTES * 16 // max(16, len(held.value.languages) ** 2)):
                 lang, score, spans = label_texts(texts.slice(a, b - a), held.value)
                 extra = [
-                    pa.array(["und" if x is None else x for x in lang], pa.string()),
+                    pa.array(["und" if x is None or not s else x for x, s in zip(lang, score.tolist())], pa.string()),
                     pa.array(score, pa.float64()),
                     pa.array(spans, _SPANS),
                 ]

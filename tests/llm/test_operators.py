@@ -146,6 +146,20 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert total and right >= 0.95 * total
 
 
+@pytest.mark.parametrize("k", [3, 4, 5])
+def test_unlearned_scripts_are_undetermined(spark, k):
+    """Whatever the number of learned languages, a text in a script of none of them goes."""
+    texts = ["the house and the garden", "das haus und der garten", "la maison et le jardin", "la casa y el huerto", "huset og hagen deres"][:k]
+    learned = spark.createDataFrame([(i, t * 20, f"l{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(learned, "doc_id", "text", "lang")
+    assert len(model.languages) == k
+    rows = [(1, "今天天气很好我们去公园"), (2, "сегодня хорошая погода"), (3, "the house 今天天气很好我们去公园散步吧"), (4, "the house and the garden 今天"), (5, "the garden"), (6, "12")]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in language_id.keep_identified(mixed, model, 0.25).collect()} == {4, 5}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(mixed, model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 6))
+
+
 def test_toxicity(spark, docs):
     good, bad = "the quiet river runs along the meadow", "you are a zzgarble fool zzgarble"
     rows = [(i, (bad if i % 5 == 0 else good) + f" n{i}") for i in range(200)]
