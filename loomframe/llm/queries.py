@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomframe.core.session import new_path
-from loomframe.llm import byte_bpe, embedding_dedup, hilbert, jaccard_join, language_id, length_buckets, license_scan, token_binary, topk_search, toxicity
+from loomframe.llm import byte_bpe, embedding_dedup, fill_middle, hilbert, jaccard_join, language_id, length_buckets, license_scan
+from loomframe.llm import scaled_sketch, token_binary, topk_search, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +190,117 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "path").join(found, "path", "left").select(
         "doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "from_path"
     )
+
+
+@query(
+    "op11_fill_middle",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(units) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+e AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+         WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM e),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN string_split(output, '<S>')[1][4:] || string_split(output, '<M>')[2] || string_split(string_split(output, '<S>')[2], '<M>')[1]
+    ELSE string_split(string_split(output, '<P>')[2], '<M>')[1] || string_split(output, '<M>')[2] || string_split(output, '<P>')[1][4:] END) AS restored_sha256
+FROM o
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    arranged = fill_middle.fill_in_middle(docs, keep=["doc_id"])
+    kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "fim_sha256", "restored_sha256"]
+    restored = fill_middle.restore(arranged, keep=[c for c in arranged.columns if c != "fim_text"]).select(*kept)
+    return restored.withColumnRenamed("fim_sha256", "output_sha256")
+
+
+def _codes_sql(parts: int = 4, width: int = 16, size: int = 256, rounds: int = 4) -> str:
+    """Assignments and updates of all rounds, unrolled."""
+    squared = "(c.cc - 2 * list_inner_product(p.x, c.c))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, {squared} * {size}::DOUBLE + entry) AS entry, min({squared}) + any_value(p.xx) AS d
+  FROM parts p JOIN c{k} c USING (part) GROUP BY vec_id, part)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (SELECT part, entry, list(m ORDER BY i) AS c FROM (SELECT a.part, a.entry, i, floor(sum(p.x[i]) / count(*)) AS m
+  FROM a{k} a JOIN parts p USING (vec_id, part), range(1, {width + 1}) g(i) GROUP BY ALL) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, c, list_inner_product(c, c) AS cc FROM (SELECT part, entry, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (part, entry)))"""
+            )
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS (SELECT vec_id, part, v[part * {width} + 1:(part + 1) * {width}] AS x FROM kept, range({parts}) g(part)),
+parts AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM cut),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c, xx AS cc FROM parts
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {size}),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS digest
+  FROM (SELECT part, entry, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM c{rounds})),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    codes, books = vector_codes.encode(rows, parts=4, size=256, rounds=4, scale=1024)
+    return codes.withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
+
+
+_SKETCH = scaled_sketch.Sketch()
+
+
+def _sketch_sql(text: str) -> str:
+    """The sketch of a text: hashes below the threshold, else the least one."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    hashes = f"""list_transform(range(1, greatest(len(w) - {_SKETCH.words - 1}, 1) + 1), lambda i: substr(md5(array_to_string(w[i:i + {_SKETCH.words - 1}], ' ')), 1, {_SKETCH.digits}))"""
+    below = f"list_sort(list_distinct(list_filter(h, lambda x: x < '{_SKETCH.threshold}')))"
+    return f"""(SELECT CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(b) > 0 THEN b ELSE [list_min(h)] END
+    FROM (SELECT w, h, {below} AS b FROM (SELECT w, {hashes} AS h FROM (SELECT {words} AS w))))"""
+
+
+def _shared_sql(a: str, b: str, of: str) -> str:
+    return f"CASE WHEN {of} = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({a}, {b}))::DOUBLE / {of}, 9) END"
+
+
+_EITHER = "len(list_distinct(list_concat({0}, {1})))"
+
+
+@query(
+    "op13_scaled_sketch",
+    f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST), first(text) OVER (ORDER BY doc_id NULLS FIRST)) AS next_text FROM d),
+e AS (SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM n),
+s AS (SELECT *, {_sketch_sql("text")} AS a, {_sketch_sql("edited")} AS b, {_sketch_sql("next_text")} AS c FROM e)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '.') AS fingerprint, array_to_string(b, '.') AS edited_fingerprint,
+  {_shared_sql("a", "b", _EITHER.format("a", "b"))} AS near_edited, {_shared_sql("a", "c", _EITHER.format("a", "c"))} AS near_next,
+  {_shared_sql("a", "b", "len(a)")} AS held_by_edited, {_shared_sql("a", "c", "len(a)")} AS held_by_next
+FROM s
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scaled_sketch.compare_edits(table(spark, sf_dir, "documents"), sketch=_SKETCH)
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        scaled_sketch.fingerprint(a).alias("fingerprint"),
+        scaled_sketch.fingerprint(b).alias("edited_fingerprint"),
+        F.round(scaled_sketch.jaccard(a, b), 9).alias("near_edited"),
+        F.round(scaled_sketch.jaccard(a, c), 9).alias("near_next"),
+        F.round(scaled_sketch.containment(a, b), 9).alias("held_by_edited"),
+        F.round(scaled_sketch.containment(a, c), 9).alias("held_by_next"),
+    )
