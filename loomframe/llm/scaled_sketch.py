@@ -45,21 +45,23 @@ class Sketch:
         return f"{-(-(HEX**self.digits) // self.one_in):0{self.digits}x}"
 
     def hashes(self, text: Column) -> Column:
-        """All shingle hashes of a text, in reading order: the first digits of the MD5 of its lower-case words joined by spaces.
+        """All shingle hashes of a text, in reading order: the MD5 of its lower-case words joined by spaces.
 
         A text with fewer words has its whole sequence as one shingle; a null or blank text has none.
         """
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        digest = lambda shingle: F.substring(F.md5(F.array_join(shingle, " ")), 1, self.digits)
-        starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (self.words - 1), F.lit(1)))
-        each = lambda w: F.transform(starts(w), lambda i: digest(F.slice(w, i, self.words)))
+        starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - self.words, F.lit(0)))
+        # places past the last word are null and join to nothing
+        shingle = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(self.words)])
+        each = lambda w: F.transform(starts(w), lambda i: F.md5(shingle(w, i)))
         return let(words, lambda w: F.when(F.size(w) > 0, each(w)).otherwise(F.array().cast("array<string>")))
 
     def _settled(self, hashes: Column) -> Column:
-        """Distinct hashes below the threshold, ascending; if there is none, the least one."""
-        below = lambda all_: F.array_sort(F.array_distinct(F.filter(all_, lambda x: x < self.threshold)))
-        least = lambda all_: F.filter(F.array(F.array_min(all_)), lambda x: x.isNotNull())
-        return let(hashes, lambda h: let(below(h), lambda b: F.when(F.size(b) > 0, b).otherwise(least(h))))
+        """The first digits of the distinct hashes below the threshold, ascending; if there is none, those of the least one."""
+        below = lambda h: F.filter(h, lambda x: x < self.threshold)
+        least = lambda h: F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull())
+        found = let(hashes, lambda h: let(below(h), lambda b: F.when(F.size(b) > 0, b).otherwise(least(h))))
+        return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.substring(x, 1, self.digits))))
 
     def of(self, text: Column) -> Column:
         """The sketch of a text, an ascending array of hex strings."""
