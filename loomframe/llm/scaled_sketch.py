@@ -100,9 +100,11 @@ def hashes_of(printed: Column) -> Column:
     return F.filter(F.split(printed, r"\."), lambda x: x != "")
 
 
-def with_next(df: DataFrame, key: str, tie: Column, columns: list[str], per_partition: int = 8) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: Column, columns: list[str], derived: dict[str, Column] | None = None, per_partition: int = 8) -> DataFrame:
     """``df`` with ``next_<column>`` of the row after it in ascending ``key``; after the last row comes the first.
 
+    ``derived`` are costly columns to add to ``df``: they are computed once per row, when the ranges are known.
+
     Rows are dealt by the key into ranges of about equal counts, ``per_partition``
     for each shuffle partition, and each range also gets a copy of the row that
     opens the next range, so one exchange serves and no window spans more than a
@@ -123,8 +125,9 @@ def with_next(df: DataFrame, key: str, tie: Column, columns: list[str], per_part
     dealt = keyed.withColumn(at, place)
     first = F.struct(F.col(key).alias("k"), F.col(order).alias("t"))
     opening = {r[at]: r["o"] for r in dealt.groupBy(at).agg(F.min(first).alias("o")).collect()}  # a row per range
+    derived = derived or {}
     if not opening:
-        return df.select("*", *[F.col(c).alias(free_name(df, f"next_{c}")) for c in columns])
+        return df.withColumns(derived).select("*", *[F.col(c).alias(free_name(df, f"next_{c}")) for c in columns])
     used = sorted(opening)
     before = {r: used[i - 1] for i, r in enumerate(used)}
     spark = df.sparkSession
@@ -133,7 +136,7 @@ def with_next(df: DataFrame, key: str, tie: Column, columns: list[str], per_part
     )
     opens = dealt.join(F.broadcast(edges), (F.col(at) == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_t")))
     copies = opens.dropDuplicates([at]).select(*df.columns, F.col(order), F.col("_into").alias(at), F.lit(1).alias(halo))
-    rows = dealt.withColumn(halo, F.lit(0)).unionByName(copies)
+    rows = dealt.withColumn(halo, F.lit(0)).unionByName(copies).withColumns(derived)
     line = Window.partitionBy(at).orderBy(halo, key, order)
     named = {free_name(df, f"next_{c}"): F.lead(c).over(line) for c in columns}
     return rows.withColumns(named).filter(F.col(halo) == 0).drop(at, halo, order)
@@ -149,8 +152,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of one id are ordered by their texts' hashes; repeated rows each get a row.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_print", fingerprint(sketch.of(F.col("_text"))))
-    both = with_next(rows, id_col, F.xxhash64("_text"), ["_text", "_print"])
+    both = with_next(rows, id_col, F.xxhash64("_text"), ["_text", "_print"], {"_print": fingerprint(sketch.of(F.col("_text")))})
     keep, cut = F.length("_text") - F.floor(F.length("_text") / 4), F.floor(F.length("_text") / 4)
     edited = F.concat(F.substring("_text", F.lit(1), keep.cast("int")), F.substring("next__text", F.lit(1), cut.cast("int")))
     texts = both.withColumn("_edited", edited)
