@@ -198,8 +198,9 @@ def restored_pieces(texts: pa.Array, forms: list, sentinels=SENTINELS) -> list[t
 
 def _mapped(df: DataFrame, make, fields: list[tuple[str, T.DataType]], text_col: str, other_col: str, keep: list[str] | None) -> DataFrame:
     text, other = df.columns.index(text_col), df.columns.index(other_col)
-    kept = [df.columns.index(c) for c in (df.columns if keep is None else keep)]
-    names = [free_name(df, n) for n, _ in fields]
+    keep = df.columns if keep is None else keep
+    kept = [df.columns.index(c) for c in keep]
+    names = [free_name(df.select(*keep), n) for n, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +224,8 @@ def fill_in_middle(
     units. A text that is null or empty, holds a sentinel, or is drawn to stay has
     the form ``plain``, its own text (empty for null) and null lengths; lengths
     count code points. Draws depend on the id alone, so repeated rows get equal
-    results; a null id draws as an empty one. A column of ``docs`` that has one
-    of the new names is kept; the new one then gets an underscore before it. An
+    results; a null id draws as an empty one. A kept column that has one
+    of the new names stays; the new one then gets an underscore before it. An
     empty table gives an empty result.
     """
     whole, long = T.StringType(), T.LongType()

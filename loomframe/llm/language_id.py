@@ -268,12 +268,12 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-def label_texts(texts: pa.Array, model: LanguageModel) -> tuple[list, np.ndarray, list]:
-    """Per text: its language (or None), the confidence, and its spans (start, end, language) in code points."""
+def label_texts(texts: pa.Array, model: LanguageModel) -> tuple[list, np.ndarray, list, np.ndarray]:
+    """Per text: its language (or None), the confidence, its spans (start, end, language) in code points, and the share of letters in scripts that no language uses."""
     words, begins = words_of(texts)
     n, k = len(texts), len(model.languages)
     if not k:
-        return [None] * n, np.zeros(n), [[] for _ in range(n)]
+        return [None] * n, np.zeros(n), [[] for _ in range(n)], np.bincount(words.text, minlength=n)[:n].astype(bool).astype(float)
     ends = np.searchsorted(words.text, np.arange(n), side="right")
     scores = word_scores(words, model)
     labels = viterbi(scores, ends, model.switch)
@@ -286,9 +286,8 @@ def label_texts(texts: pa.Array, model: LanguageModel) -> tuple[list, np.ndarray
     mine = labels == best[words.text]
     weight = np.bincount(words.text[mine], (sure * words.length)[mine], n)
     score = np.divide(weight, total, out=np.zeros(n), where=total > 0)
-    # letters of scripts that no language uses tell nothing; a text with mostly such letters scores 0
-    foreign = np.bincount(words.text, words.length * ~model.uses[words.script].any(axis=1), n)
-    score = np.where(2 * foreign <= total, score, 0.0)
+    unused = np.bincount(words.text, words.length * ~model.uses[words.script].any(axis=1), n)
+    foreign = np.divide(unused, total, out=np.zeros(n), where=total > 0)
     names = [model.languages[j] if t else None for j, t in zip(best.tolist(), total.tolist())]
     change = np.ones(len(labels), bool)
     change[1:] = (labels[1:] != labels[:-1]) | (words.text[1:] != words.text[:-1])
@@ -299,48 +298,52 @@ def label_texts(texts: pa.Array, model: LanguageModel) -> tuple[list, np.ndarray
     for o, c in zip(opens.tolist(), closes.tolist()):
         t = int(words.text[o])
         spans[t].append((int(words.start[o] - begins[t]), int(finish[c] - begins[t]), model.languages[labels[o]]))
-    return names, np.clip(score, 0.0, 1.0), spans
+    return names, np.clip(score, 0.0, 1.0), spans, foreign
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``spans`` of the whole text.
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``spans`` and ``foreign`` of the whole text.
 
     ``score`` is the mean probability of the predicted language over all letters
-    (0 for letters in another language's span). A text that is null, empty or
-    without a letter, or any text when nothing was learned, gets ``und``, 0 and
-    no spans; one with most of its letters in scripts that no learned language
-    uses gets ``und`` and 0 beside its spans. Ties go to the language with more
+    (0 for letters in another language's span). ``foreign`` is the share of its
+    letters in scripts that no learned language uses; they tell nothing, so a text
+    of such letters alone gets the language with most training rows and an equal
+    score for each. A text that is null, empty or without a letter, or any text
+    when nothing was learned, gets ``und``, 0 and no spans. Ties go to the language with more
     training rows, then by name. An existing column of one of these names is
     kept; the new one then gets an underscore before it.
     """
-    names = [free_name(docs, c) for c in ("lang_pred", "score", "spans")]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
+    names = [free_name(docs, c) for c in ("lang_pred", "score", "spans", "foreign")]
+    # languages x BUCKETS numbers; plain arrays, which executors without this package can read
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p, model.uses, model.log_prior, model.switch))
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = LanguageModel(*held.value)
         for batch in batches:
             texts = plain_text(batch.column(position))
             # paths through a chunk take languages x languages numbers a word
-            for a, b in text_slices(texts, SLICE_BYTES * 16 // max(16, len(held.value.languages) ** 2)):
-                lang, score, spans = label_texts(texts.slice(a, b - a), held.value)
+            for a, b in text_slices(texts, SLICE_BYTES * 16 // max(16, len(learned.languages) ** 2)):
+                lang, score, spans, foreign = label_texts(texts.slice(a, b - a), learned)
                 extra = [
-                    pa.array(["und" if x is None or not s else x for x, s in zip(lang, score.tolist())], pa.string()),
+                    pa.array(["und" if x is None else x for x in lang], pa.string()),
                     pa.array(score, pa.float64()),
                     pa.array(spans, _SPANS),
+                    pa.array(foreign, pa.float64()),
                 ]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, *names])
 
     span = T.StructType().add("start", "integer").add("end", "integer").add("lang", "string")
-    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.ArrayType(span))]
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.ArrayType(span)), T.StructField(names[3], T.DoubleType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, same columns, whose language is determined with at least ``min_score``."""
+    """The rows of ``docs``, same columns, whose language is determined with at least ``min_score`` and whose letters are mostly of scripts that a learned language uses."""
     scored = identify(docs, model, text_col)
-    lang, score = scored.columns[len(docs.columns) : len(docs.columns) + 2]
-    return scored.filter((F.col(lang) != "und") & (F.col(score) >= min_score)).select(docs.columns)
+    lang, score, _, foreign = scored.columns[len(docs.columns) :]
+    return scored.filter((F.col(lang) != "und") & (F.col(score) >= min_score) & (F.col(foreign) <= 0.5)).select(docs.columns)

@@ -87,12 +87,15 @@ def anchors(weights: list[dict[str, float]], at_least: float) -> list[str]:
 
 
 def _scored(units: DataFrame, templates, frequency: DataFrame, total: int, weights, at_least: float) -> DataFrame:
-    """``units(unit)`` to ``(unit, license, score)`` for those that reach a template; the best one, then by name."""
-    counts = units.select("unit", F.explode(_terms("unit")).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    """``units(key, unit)`` to ``(key, license, score)`` for those that reach a template; the best one, then by name.
+
+    Terms carry the key of their unit and not its text, so bytes grow with a unit's length and not with its square.
+    """
+    counts = units.select("key", F.explode(_terms("unit")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     used = frequency.join(counts.select("term").distinct(), "term", "left_semi")
     # a term that most units share is spread by the salt
     spread = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALT)).cast("int"))
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int"))
     idf = F.log((F.lit(total) + 1) / (F.coalesce("n", F.lit(0)) + 1)) + 1
     weighted = salted.join(spread, ["term", "salt"], "left").withColumn("w", F.col("tf") * idf)
     # one sum per template; a term outside a template adds nothing
@@ -100,13 +103,13 @@ def _scored(units: DataFrame, templates, frequency: DataFrame, total: int, weigh
     for k, w in enumerate(weights):
         of = F.create_map(*[F.lit(x) for t, v in w.items() for x in (t, v)])
         dots.append(F.sum(F.col("w") * F.coalesce(F.element_at(of, F.col("term")), F.lit(0.0))).alias(f"d{k}"))
-    sums = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    sums = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     each = F.array(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 9).alias("score"), F.lit(name).alias("license")) for k, (name, _) in enumerate(templates)])
     best = F.array_sort(
         each, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["license"] < b["license"], -1).otherwise(1)
     )
     first = F.element_at(best, 1)
-    return sums.select("unit", first["license"].alias("license"), first["score"].alias("score")).filter(F.col("score") >= at_least)
+    return sums.select("key", first["license"].alias("license"), first["score"].alias("score")).filter(F.col("score") >= at_least)
 
 
 def _parent(path) -> Column:
@@ -140,13 +143,14 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     units = scratch.write(
         files.filter(F.arrays_overlap(_terms("text"), anchored))
         .select("path", F.explode(whole).alias("unit"))
-        .filter(F.arrays_overlap(_terms("unit"), anchored)),
+        .filter(F.arrays_overlap(_terms("unit"), anchored))
+        .select("path", F.md5("unit").alias("key"), "unit"),
         "units",
     )
-    scored = scratch.write(_scored(units.select("unit").distinct(), templates, frequency, total, weights, at_least), "scored")
+    scored = scratch.write(_scored(units.select("key", "unit").dropDuplicates(["key"]), templates, frequency, total, weights, at_least), "scored")
     # a line that a third of all files share is spread by the salt
     spread = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    hits = units.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).join(spread, ["unit", "salt"])
+    hits = units.select("path", "key").withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).join(spread, ["key", "salt"])
     own = scratch.write(_best(hits.select("path", "license", "score"), "path"), "own")
     licensed = own.filter(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE)).select(
         _parent("path").alias("dir"), "license", "score", F.col("path").alias("from_path")

@@ -151,18 +151,17 @@ files AS (SELECT doc_id, {_PATH_SQL} AS path, coalesce(text, '') AS text FROM do
 t_tf AS (SELECT license, term, count(*) AS tf FROM (
   SELECT license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL),
 df AS (SELECT term, count(*) AS n FROM (
-  SELECT DISTINCT path, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM files)
-  WHERE term IN (SELECT term FROM t_tf) GROUP BY 1),
+  SELECT DISTINCT path, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM files) GROUP BY 1),
 total AS (SELECT count(*) AS n FROM files),
 idf AS (SELECT term, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM t_tf) LEFT JOIN df USING (term), total),
+  FROM (SELECT term FROM t_tf UNION SELECT term FROM df) LEFT JOIN df USING (term), total),
 t_w AS (SELECT license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS w FROM t_tf JOIN idf USING (term)),
 named AS (SELECT *, regexp_matches(regexp_extract(path, '[^/]*$'), '^(licen[cs]e|copying|copyright|notice|unlicense)(\..*)?$', 'i') AS licence_file FROM files),
 units AS (SELECT DISTINCT path, unnest(string_split(text, chr(10))) AS unit FROM named
   UNION SELECT path, text FROM named WHERE licence_file),
 terms AS (SELECT unit, term, count(*) AS tf FROM (
   SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT unit FROM units)) GROUP BY ALL),
-u_w AS (SELECT unit, term, tf * coalesce(idf, ln(total.n + 1) + 1) AS w FROM terms LEFT JOIN idf USING (term), total),
+u_w AS (SELECT unit, term, tf * idf AS w FROM terms JOIN idf USING (term)),
 norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM u_w GROUP BY 1),
 cosines AS (SELECT u_w.unit, license, sum(u_w.w * t_w.w) / any_value(norm) AS score
   FROM u_w JOIN t_w USING (term) JOIN norms ON norms.unit = u_w.unit GROUP BY ALL),

@@ -217,13 +217,15 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     underscore before it.
     """
     name = free_name(docs, "score")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    # BUCKETS numbers; plain arrays, which executors without this package can read
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     position = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = ToxicityModel(*held.value)
         for batch in batches:
             texts = plain_text(batch.column(position))
-            parts = [score_texts(texts.slice(a, b - a), held.value) for a, b in text_slices(texts)]
+            parts = [score_texts(texts.slice(a, b - a), learned) for a, b in text_slices(texts)]
             values = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 

@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -128,11 +130,11 @@ def test_language_spans_and_edges(spark, docs):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of the king", "en"), ("das haus und der garten des königs", "de"), ("дом и сад", "ru")] * 5)]
     model = language_id.fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     mixed = "the king and the house " * 6 + "das haus und der garten " * 6
-    names, score, spans = language_id.label_texts(pa.array([mixed, "", "сад", "漢字", "1 2"], pa.large_string()), model)
+    names, score, spans, _ = language_id.label_texts(pa.array([mixed, "", "сад", "漢字", "1 2"], pa.large_string()), model)
     assert names[1] is None and names[2] == "ru" and names[3] in model.languages and names[4] is None
     assert [s[2] for s in spans[0]] == ["en", "de"] and 0 <= score.min() and score.max() <= 1
     out = language_id.identify(docs, model)
-    assert out.columns == [*docs.columns, "lang_pred", "_score", "_spans"] and out.count() == docs.count()
+    assert out.columns == [*docs.columns, "lang_pred", "_score", "_spans", "foreign"] and out.count() == docs.count()
     assert {r.lang_pred for r in out.filter("text is null or text = '' or doc_id = 10").collect()} == {"und"}
     kept = language_id.keep_identified(docs, model, 0.25)
     assert kept.columns == docs.columns
@@ -156,8 +158,11 @@ def test_unlearned_scripts_are_undetermined(spark, k):
     rows = [(1, "今天天气很好我们去公园"), (2, "сегодня хорошая погода"), (3, "the house 今天天气很好我们去公园散步吧"), (4, "the house and the garden 今天"), (5, "the garden"), (6, "12")]
     mixed = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in language_id.keep_identified(mixed, model, 0.25).collect()} == {4, 5}
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(mixed, model).collect()}
-    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 6))
+    got = {r.doc_id: r for r in language_id.identify(mixed, model).collect()}
+    # ``und`` is for texts without letters; others get a learned language, and the share of letters that tell nothing
+    assert (got[6].lang_pred, got[6].score, got[6].foreign) == ("und", 0.0, 0.0)
+    assert all(got[i].lang_pred in model.languages for i in (1, 2, 3, 4, 5))
+    assert got[1].foreign == got[2].foreign == 1.0 and 0.5 < got[3].foreign < 1 and 0 < got[4].foreign < 0.5 and got[5].foreign == 0
 
 
 def test_toxicity(spark, docs):
@@ -424,3 +429,33 @@ def test_pipeline(spark, sf_dir):
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute_components(texts, 5, 80).items() if i == c}
     assert json.dumps([name for name, _ in corpus_pipeline.STAGES]) == '["language", "toxicity", "near_duplicates", "packing"]'
+
+
+def test_models_reach_workers_that_lack_the_package(tmp_path):
+    """Scoring in a session whose Python workers can't import the package."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from loomframe.core.session import build_session
+spark = build_session(2, spark__checkpoint__dir={str(tmp_path / "shared")!r})
+def absent(_):
+    import importlib.util
+    yield importlib.util.find_spec("loomframe") is None
+assert all(spark.sparkContext.parallelize([1], 1).mapPartitions(absent).collect())
+for name in ("op3_language_id", "op8_toxicity"):
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == 200
+print("scored")
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "scored" in run.stdout, run.stderr[-3000:]
+
+
+def test_very_long_licence_line(spark):
+    line = "Released under the MIT License. " + " ".join(f"t{i}" for i in range(150_000))
+    files = spark.createDataFrame([("a/LICENSE", line), ("a/b.txt", "x"), ("c/d.txt", "Released under the MIT License.")], "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(files).collect()}
+    assert got == {"a/LICENSE": (None, None), "a/b.txt": (None, None), "c/d.txt": ("MIT", "own")}
