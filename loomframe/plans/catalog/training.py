@@ -10,7 +10,8 @@ from loomframe.core.keyed import keyed_hash
 from loomframe.core.order import row_index
 from loomframe.core.session import materialize
 from loomframe.functions import text as T, vectors as V
-from loomframe.operators import features as X, fit as FT, inference as I, optimizers as O, sampling as SA, schedules as S
+from loomframe.operators import features as X, fit as FT, inference as I, optimizers as O, sampling as SA, schedules as S, text_classify as TC
+from loomframe.plans.catalog.text import CHAIN
 from loomframe.plans.registry import LONG_EMBEDDINGS, Tables, h, query, r, register
 
 # optimizers: weights, gradients and states from entries of the vectors --------------
@@ -241,54 +242,64 @@ def _tabular(t: Tables):
 
 def _reviews(t: Tables):
     return t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select(
-        "doc_id", T.text_chain(F.col("text")).alias("tokens"), F.col("quality").cast("double").alias("label")
+        "doc_id", T.text_chain(F.col("text")).alias("tokens"), F.col("quality").cast("string").alias("label")
     )
 
 
-def _text_model(df):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, NGram
-
-    both = Pipeline(
-        stages=[
-            NGram(n=2, inputCol="tokens", outputCol="bigrams"),
-            HashingTF(inputCol="tokens", outputCol="one", numFeatures=1 << 12),
-            HashingTF(inputCol="bigrams", outputCol="two", numFeatures=1 << 12),
-            _assembler(),
-            LogisticRegression(maxIter=8, regParam=0.01, elasticNetParam=0.0),
-        ]
-    )
-    return both.fit(df)
-
-
-def _assembler():
-    from pyspark.ml.feature import VectorAssembler
+_TEXT = TC.Options(epochs=3, learning_rate=40.0, word_ngrams=2, min_count=2, buckets=4096, seed=11)
+
+
+def _text_sql(result: str) -> str:
+    """Two-label softmax regression on hashed n-grams, its three steps unrolled."""
+    steps = []
+    for k in range(_TEXT.epochs):
+        rate = _TEXT.learning_rate * (1 - k / _TEXT.epochs)
+        scored = f"SELECT doc_id, sum(x * p) AS p, sum(x * q) AS q FROM f JOIN w{k} USING (b) GROUP BY 1"
+        steps.append(
+            f"""s{k} AS MATERIALIZED (SELECT doc_id, y, exp(p) / (exp(p) + exp(q)) AS p, exp(q) / (exp(p) + exp(q)) AS q
+  FROM (SELECT d.doc_id, y, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM d LEFT JOIN ({scored}) USING (doc_id))),
+l{k} AS (SELECT {k} AS epoch, count(*) AS rows, avg(-ln(CASE WHEN y = 0 THEN p ELSE q END)) AS loss FROM s{k}),
+w{k + 1} AS MATERIALIZED (SELECT b, any_value(w.p) - {rate} * sum(x * (s.p - (y = 0)::INT)) / any_value(rows) AS p, any_value(w.q) - {rate} * sum(x * (s.q - (y = 1)::INT)) / any_value(rows) AS q
+  FROM f JOIN s{k} s USING (doc_id) JOIN w{k} w USING (b), l{k} GROUP BY b),
+h{k} AS (SELECT l{k}.*, weight FROM l{k}, (SELECT sum(abs(p) + abs(q)) AS weight FROM w{k + 1}))"""
+        )
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, quality AS y, {CHAIN} AS t FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+g AS (SELECT doc_id, unnest(t) AS g FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d),
+o AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % {_TEXT.buckets} AS b FROM g),
+k AS (SELECT b FROM o GROUP BY b HAVING count(*) >= {_TEXT.min_count}),
+f AS MATERIALIZED (SELECT doc_id, b, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS x FROM o JOIN k USING (b) GROUP BY doc_id, b),
+w0 AS (SELECT b, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM k),
+{", ".join(steps)}
+{result}"""
 
-    return VectorAssembler(inputCols=["one", "two"], outputCol="features")
 
-
-@query("text_classify_fit")
+@query(
+    "text_classify_fit",
+    _text_sql(" UNION ALL ".join(f"SELECT epoch, rows, {r('loss')} AS loss, {r('weight', 4)} AS weight FROM h{k}" for k in range(_TEXT.epochs))),
+)
 def _text_fit(t: Tables):
-    """Bag of word uni- and bigrams in hash buckets; the training accuracy per label."""
-    df = materialize(_reviews(t), "reviews")
-    out = _text_model(df).transform(df)
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    return out.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("accuracy"))
+    """Bag of hashed word uni- and bigrams: the loss and the size of the weights by epoch."""
+    model = TC.fit(_reviews(t), F.col("tokens"), F.col("label"), _TEXT)
+    rows = [(x["epoch"], x["rows"], round(x["loss"], 6), round(x["weight"], 4)) for x in model.history]
+    return t.spark.createDataFrame(rows, "epoch int, rows long, loss double, weight double")
 
 
-@query("text_classify_predict")
+@query(
+    "text_classify_predict",
+    _text_sql(
+        f"""SELECT doc_id, rank, '__label__' || CASE WHEN (p >= q) = (rank = 0) THEN 0 ELSE 1 END AS class,
+  {r('CASE WHEN rank = 0 THEN greatest(p, q) ELSE least(p, q) END')} AS prob
+FROM (SELECT doc_id, exp(p) / (exp(p) + exp(q)) AS p, exp(q) / (exp(p) + exp(q)) AS q
+  FROM (SELECT d.doc_id, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM d
+    LEFT JOIN (SELECT doc_id, sum(x * p) AS p, sum(x * q) AS q FROM f JOIN w{_TEXT.epochs} USING (b) GROUP BY 1) USING (doc_id))), (VALUES (0), (1)) AS v(rank)"""
+    ),
+)
 def _text_predict(t: Tables):
-    from pyspark.ml.functions import vector_to_array
-
-    from loomframe.operators.topk import topk
-
-    df = materialize(_reviews(t), "reviews")
-    scored = _text_model(df).transform(df).select("doc_id", vector_to_array("probability").alias("p"))
-    top = topk(F.col("p"), ["__label__low", "__label__high"], 2)
-    return scored.select("doc_id", F.posexplode(top).alias("rank", "c")).select(
-        "doc_id", "rank", "c.class", F.round("c.prob", 6).alias("prob")
-    )
+    df = _reviews(t).filter("label is not null")
+    model = TC.fit(df, F.col("tokens"), F.col("label"), _TEXT)
+    top = model.predict(df, F.col("tokens"), 2).select("doc_id", F.posexplode("classes").alias("rank", "c"))
+    return top.select("doc_id", "rank", "c.class", F.round("c.prob", 6).alias("prob"))
 
 
 @query("word2vec_fit")
