@@ -145,6 +145,8 @@ def _log_sigmoid(z: np.ndarray) -> np.ndarray:
 
 def log_probabilities(scores: np.ndarray, loss: str, tree: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Log probability of each label (rows x labels) from the outputs' scores."""
+    if loss != "hs" and not scores.shape[1]:
+        return scores
     if loss == "softmax":
         top = scores.max(axis=1, keepdims=True)
         return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
@@ -222,6 +224,8 @@ class TextModel:
 
     def predict(self, df: DataFrame, tokens: Column, k: int = 1, out: str = "classes") -> DataFrame:
         """``df`` with the ``k`` most probable labels (prefixed) and their probabilities; ties by label order."""
+        if not self.labels:
+            return df.withColumn(out, F.array().cast("array<struct<class:string,prob:double>>"))
         scored = self.probabilities(df, tokens, "_p")
         names = [f"{self.options.label_prefix}{x}" for x in self.labels]
         return scored.withColumn(out, topk(F.col("_p"), names, k)).drop("_p")
@@ -261,6 +265,8 @@ def _gradient(rows: DataFrame, weights: np.ndarray, kept, loss: str, tree) -> tu
             sparse = _sparse(batch.column("x"), kept)
             each, error = losses_and_errors(_scores(sparse, w, len(y)), y, loss, tree)
             n, total = n + len(y), total + float(each.sum())
+            if not w.shape[1]:
+                continue
             row, bucket, value = sparse
             used, at = np.unique(bucket, return_inverse=True)
             sums = np.stack([np.bincount(at, error[row, k] * value, len(used)) for k in range(w.shape[1])], axis=1)

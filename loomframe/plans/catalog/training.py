@@ -10,7 +10,7 @@ from loomframe.core.keyed import keyed_hash
 from loomframe.core.order import row_index
 from loomframe.core.session import materialize
 from loomframe.functions import text as T, vectors as V
-from loomframe.operators import features as X, fit as FT, inference as I, optimizers as O, sampling as SA, schedules as S, text_classify as TC
+from loomframe.operators import features as X, fit as FT, inference as I, optimizers as O, sampling as SA, schedules as S, text_classify as TC, trees as TR, word_vectors as WV
 from loomframe.plans.catalog.text import CHAIN
 from loomframe.plans.registry import LONG_EMBEDDINGS, Tables, h, query, r, register
 
@@ -228,16 +228,66 @@ def _udf_translator(t: Tables):
     return I.batch_predict(t.embeddings.select("vec_id", "embedding"), MeanDirection(), schema, batch_size=100)
 
 
-@query("tabular_predict")
-def _tabular(t: Tables):
-    """Softmax regression over the vectors, trained and scored by Spark ML."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+# a boosted ensemble from a rule: 30 trees of depth 3, node n has the children 2n + 1 and 2n + 2
+_DEPTH, _TREES = 3, 30
+_F, _TH, _VALUE = "((tree * 7 + node * 5) % 64)", "((tree * 3 + node * 11) % 7 - 3) / 20.0", "((tree * 5 + node * 3) % 11 - 5) / 10.0"
+
 
-    df = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(V.doubles("embedding")).alias("features"))
-    model = LogisticRegression(maxIter=10, regParam=0.01, family="multinomial").fit(df)
-    out = model.transform(df)
-    return out.select("vec_id", "prediction", F.round(F.array_max(vector_to_array("probability")), 6).alias("probability"))
+def _given_trees(t: Tables):
+    first_leaf = 2**_DEPTH - 1
+    nodes = t.spark.range(_TREES * (2 * first_leaf + 1)).select(
+        F.floor(F.col("id") / (2 * first_leaf + 1)).cast("int").alias("tree"), (F.col("id") % (2 * first_leaf + 1)).cast("int").alias("node")
+    )
+    inner = F.col("node") < first_leaf
+    return nodes.select(
+        "tree",
+        "node",
+        F.when(inner, F.expr(_F)).cast("int").alias("feature"),
+        F.when(inner, F.expr(_TH)).cast("double").alias("threshold"),
+        F.when(inner, 2 * F.col("node") + 1).cast("int").alias("left"),
+        F.when(inner, 2 * F.col("node") + 2).cast("int").alias("right"),
+        F.lit(True).alias("missing_left"),
+        F.when(~inner, F.expr(_VALUE)).cast("double").alias("value"),
+    )
+
+
+def _walk_sql() -> str:
+    step = lambda of: f"SELECT vec_id, v, tree, 2 * node + CASE WHEN v[{_F} + 1] < {_TH} THEN 1 ELSE 2 END AS node FROM ({of})"
+    at = f"SELECT vec_id, embedding::DOUBLE[] AS v, tree, 0 AS node FROM embeddings, range({_TREES}) g(tree)"
+    for _ in range(_DEPTH):
+        at = step(at)
+    return f"SELECT vec_id, tree, {_VALUE} AS y FROM ({at})"
+
+
+@query(
+    "tabular_predict",
+    f"""
+WITH w AS MATERIALIZED ({_walk_sql()}),
+c AS (SELECT vec_id, tree % 3 AS k, sum(y) + 0.5 AS z FROM w GROUP BY 1, 2),
+p AS (SELECT vec_id, k, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM c),
+l AS (SELECT vec_id, k, sum(x * ((pos * 5 + k * 3) % 7 - 3) / 4.0) + (k - 1) / 10.0 AS z FROM {LONG_EMBEDDINGS}, range(3) g(k) GROUP BY 1, 2),
+q AS (SELECT vec_id, k, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM l)
+SELECT vec_id, 'regression' AS form, 0 AS output, {r('sum(y) + 0.5')} AS score FROM w GROUP BY 1
+UNION ALL SELECT vec_id, 'logistic', 0, {r('1 / (1 + exp(-(sum(y) + 0.5)))')} FROM w GROUP BY 1
+UNION ALL SELECT vec_id, 'mean', 0, {r('avg(y) + 0.5')} FROM w GROUP BY 1
+UNION ALL SELECT vec_id, 'softmax', k::INT, {r('p')} FROM p
+UNION ALL SELECT vec_id, 'linear', k::INT, {r('p')} FROM q""",
+)
+def _tabular(t: Tables):
+    """A given boosted ensemble under each objective, and a given softmax regression."""
+    df = t.embeddings.select("vec_id", "embedding")
+    nodes = _given_trees(t)
+    parts = []
+    for form in TR.OBJECTIVES:
+        model = TR.TreeEnsemble.from_table(nodes, form, 3 if form == "softmax" else 1, 0.5)
+        parts.append(TR.predict(df, "embedding", model).select("vec_id", F.lit(form).alias("form"), F.posexplode("scores").alias("output", "score")))
+    weights = [[((pos * 5 + k * 3) % 7 - 3) / 4.0 for pos in range(64)] for k in range(3)]
+    p = TR.softmax_regression(F.col("embedding"), weights, [(k - 1) / 10.0 for k in range(3)])
+    parts.append(df.select("vec_id", F.lit("linear").alias("form"), F.posexplode(p).alias("output", "score")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("score", F.round("score", 6) + 0.0)
 
 
 def _reviews(t: Tables):
@@ -304,11 +354,13 @@ def _text_predict(t: Tables):
 
 @query("word2vec_fit")
 def _word2vec(t: Tables):
-    from pyspark.ml.feature import Word2Vec
-
-    df = materialize(t.documents.select(T.text_chain(F.col("text")).alias("tokens")), "sentences")
-    model = Word2Vec(vectorSize=8, minCount=50, maxIter=1, seed=7, numPartitions=4, inputCol="tokens", outputCol="v").fit(df)
-    return model.getVectors().select("word", F.size(F.split(F.col("vector").cast("string"), ",")).alias("width"))
+    """Skip-gram and bag-of-words vectors of all words with 50 occurrences."""
+    df = t.documents.select("doc_id", T.text_chain(F.col("text")).alias("tokens"))
+    parts = []
+    for mode in WV.MODES:
+        options = WV.Options(mode=mode, dimensions=16, epochs=2, min_count=50, seed=7)
+        parts.append(WV.fit(df, F.col("tokens"), ["doc_id"], options).select(F.lit(mode).alias("mode"), "word", "n", "vector"))
+    return parts[0].unionByName(parts[1])
 
 
 # user functions ----------------------------------------------------------------------------
