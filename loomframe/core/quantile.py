@@ -1,109 +1,135 @@
-"""Exact order statistics per group without sorting the group.
-
-``percentile`` keeps every distinct value of a group in one reducer. Here a
-sketch (``percentile_approx``) only proposes cut values around each wanted
-rank. The rows between cuts are counted, which tells exactly which narrow bin
-holds a rank, and just that bin, about 4n / accuracy rows, is ranked, with a
-range-partitioned running count so that even it spreads over tasks. The result
-does not depend on the quality of the sketch.
+"""Exact order statistics per group by radix selection: a fixed number of counting passes.
+
+Values map to 64-bit whole numbers in the same order. A pass counts, for every
+wanted rank, the rows under each next 16 bits of the numbers that share the bits
+found so far; the bin that holds the rank gives the next bits. After four passes
+all 64 bits of the value at the rank are known. Counting is combined in the tasks,
+so a group with a third of all rows sends at most 65,536 counts per task, and no
+group is sorted or held by one reducer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from loomframe.core.order import group_prefix_sum
 from loomframe.core.session import materialize
 
+DIGIT = 16
+#: What a group's keys, a rank's name and its numbers may take in memory.
+ROW_BYTES = 256
+_ALL_BUT_SIGN = np.int64(0x7FFF_FFFF_FFFF_FFFF)
+
+
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """The order of doubles as whole numbers, and back: magnitudes of negative numbers are turned over."""
+    return bits ^ ((bits >> np.int64(63)) & _ALL_BUT_SIGN)
+
+
+@F.arrow_udf("long")
+def _bits_of_doubles(v: pa.Array) -> pa.Array:
+    x = v.to_numpy(zero_copy_only=False) + 0.0  # the two zeros are one value
+    x = np.where(np.isnan(x), np.nan, x)  # one NaN, above all numbers
+    return pa.array(_turned(x.view(np.int64)))
+
+
+@F.arrow_udf("double")
+def _doubles_of_bits(v: pa.Array) -> pa.Array:
+    return pa.array(_turned(v.to_numpy(zero_copy_only=False)).view(np.float64))
+
+
+def _ordered_bits(kind: T.DataType) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """From values of a type to whole numbers in the same order, and back."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return lambda v: _bits_of_doubles(v.cast("double")), lambda b: _doubles_of_bits(b).cast(kind)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return lambda v: v.cast("long"), lambda b: b.cast(kind)
+    if isinstance(kind, T.DateType):
+        return lambda v: F.unix_date(v).cast("long"), lambda b: F.date_from_unix_date(b.cast("int"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros, F.timestamp_micros
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        one = 10**kind.scale
+        return lambda v: (v * F.lit(one)).cast("long"), lambda b: (b.cast("decimal(20,0)") / F.lit(one)).cast(kind)
+    raise TypeError(f"values of type {kind.simpleString()} have no 64-bit order")
+
+
+def _broadcast_bytes(spark: SparkSession) -> int:
+    """Spark's own bound for broadcast tables; below zero it is switched off."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """An inner join in which a null key is a key; the keys come from the left."""
+    named = right.select(*[F.col(k).alias(f"{k}_r") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]
+    return left.join(named, on).drop(*[f"{k}_r" for k in keys])
 
-def select_ranks(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    wanted: dict[str, tuple[float, Callable[[Column], Column]]],
-    accuracy: int = 10000,
-) -> DataFrame:
-    """One row per (group, name): the value at an exact 0-based rank.
 
-    ``wanted`` maps a result name to (fraction, rank as a function of n); the
-    fraction only says where to look for the rank.
+def _selected(df: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows ``(_k0, _k1, ..., name, value, n)``: the value at each rank, and the group's rows."""
+    keys = [f"_k{i}" for i in range(len(group))]
+    to_bits, from_bits = _ordered_bits(df.schema[value].dataType)
+    chosen = df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], to_bits(F.col(value)).alias("_bits"))
+    base = materialize(chosen, "bits")
+    first = base.groupBy(*keys, F.shiftright("_bits", 64 - DIGIT).alias("_p")).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*keys)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("_rank")) for name, rank in ranks.items()])
+    upto = lambda w: F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    holds = (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c"))
+    left = (F.col("_rank") - (F.col("_end") - F.col("_c"))).alias("_rank")
+    counted = first.withColumn("n", F.sum("_c").over(whole)).withColumn("_end", upto(whole))
+    found = counted.select("*", F.inline(wanted)).filter(holds).select(*keys, "name", "n", "_p", left)
+    # every pass keeps a row per group and rank: their number decides how they meet the rows
+    small = True
+    if keys:
+        found = materialize(found, "found")
+        small = found.count() * ROW_BYTES <= _broadcast_bytes(df.sparkSession)
+    for shift in (32, 16, 0):
+        if not small:
+            found = materialize(found, "found")
+        # ranks that share their bits so far are counted side by side
+        open_ = found.withColumnRenamed("_p", "_q")
+        inside = _joined(base.withColumn("_q", F.shiftright("_bits", shift + DIGIT)), F.broadcast(open_) if small else open_, [*keys, "_q"])
+        of = [*keys, "name", "n", "_rank"]
+        counts = inside.groupBy(*of, F.shiftright("_bits", shift).alias("_p")).agg(F.count("*").alias("_c"))
+        found = counts.withColumn("_end", upto(Window.partitionBy(*of))).filter(holds).select(*keys, "name", "n", "_p", left)
+    return found.select(*keys, "name", from_bits(F.col("_p")).alias("value"), "n")
+
+
+def select_ranks(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per (group, name): the value at an exact 0-based rank; nulls are not counted.
+
+    ``wanted`` maps a result name to the rank as a function of the group's number of
+    rows. NaN is above all numbers, the two zeros are one value, and a null group is
+    a group; without any row there is no group. Numbers, dates and timestamps have an order.
     """
-    group = list(group)
-    key = group or ["_all"]
-    base = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    if not group:
-        base = base.withColumn("_all", F.lit(1))
-    slack = 2.0 / accuracy
-    points = sorted({min(max(p + d, 0.0), 1.0) for p, _ in wanted.values() for d in (-slack, slack)})
-    # one row per group; the file size decides how the join below runs
-    cuts = materialize(
-        base.groupBy(*key).agg(
-            F.array_sort(F.array_distinct(F.percentile_approx("_v", points, accuracy))).alias("_cuts")
-        ),
-        "cuts",
-    )
-    bin_of = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
-    binned = base.join(cuts, key).withColumn("_bin", bin_of).drop("_cuts")
-    bins = materialize(binned.groupBy(*key, "_bin").agg(F.count("*").alias("_c")), "bins")
-    # a group has at most 2 * len(wanted) + 1 bins
-    upto = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    placed = bins.withColumn("_end", F.sum("_c").over(upto))
-    sizes = bins.groupBy(*key).agg(F.sum("_c").alias("_n"))
-    ranks = F.array(
-        *[
-            F.struct(F.lit(name).alias("_name"), rank_of(F.col("_n")).cast("bigint").alias("_rank"))
-            for name, (_, rank_of) in wanted.items()
-        ]
-    )
-    targets = materialize(
-        sizes.select(*key, F.inline(ranks))
-        .join(placed, key)
-        .filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
-        .select(*key, "_bin", "_name", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_r")),
-        "targets",
-    )
-    # equal values fold into one row before they are ranked
-    detail = (
-        binned.join(targets.select(*key, "_bin").distinct(), [*key, "_bin"])
-        .groupBy(*key, "_bin", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    running = group_prefix_sum(detail, "_c", [*key, "_bin"], ["_v"], "_upto")
-    hit = (F.col("_upto") > F.col("_r")) & (F.col("_upto") - F.col("_c") <= F.col("_r"))
-    return running.join(targets, [*key, "_bin"]).filter(hit).select(
-        *group, F.col("_name").alias("name"), F.col("_v").alias("value")
-    )
+    out = _selected(df, group, value, wanted)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(group)], "name", "value")
 
 
-def interpolated(
-    df: DataFrame, group: Sequence[str], value: str, fractions: dict[str, float]
-) -> DataFrame:
+def interpolated(df: DataFrame, group: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation percentiles, one row per (group, name)."""
-    wanted: dict[str, tuple[float, Callable[[Column], Column]]] = {}
+    wanted: dict[str, Callable[[Column], Column]] = {}
+
+    def rank(p: float, edge: Callable) -> Callable[[Column], Column]:
+        return lambda n: edge((n - 1) * F.lit(float(p)))
+
     for name, p in fractions.items():
-        wanted[f"{name}|lo"] = (p, lambda n, p=p: F.floor((n - 1) * F.lit(p)))
-        wanted[f"{name}|hi"] = (p, lambda n, p=p: F.ceil((n - 1) * F.lit(p)))
-    picked = select_ranks(df, group, value, wanted)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
-    both = picked.withColumn("side", F.element_at(F.split("name", r"\|"), -1)).withColumn(
-        "name", F.element_at(F.split("name", r"\|"), 1)
-    )
-    wide = both.groupBy(*group, "name").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"),
+        wanted[f"{name}|lo"] = rank(p, F.floor)
+        wanted[f"{name}|hi"] = rank(p, F.ceil)
+    picked = _selected(df, group, value, wanted)
+    keys = [f"_k{i}" for i in range(len(group))]
+    side, plain = F.substring_index("name", "|", -1), F.substring_index("name", "|", 1)
+    wide = picked.groupBy(*keys, plain.alias("name")).agg(
+        F.max(F.when(side == "lo", F.col("value"))).alias("lo"), F.max(F.when(side == "hi", F.col("value"))).alias("hi"), F.max("n").alias("n")
     )
     share = F.lit(None).cast("double")
     for name, p in fractions.items():
         share = F.when(F.col("name") == name, F.lit(float(p))).otherwise(share)
-    if group:
-        wide = wide.join(sizes, list(group))
-    else:
-        wide = wide.withColumn("_n", sizes.scalar())
-    at = (F.col("_n") - 1) * share
-    return wide.select(
-        *group,
-        "name",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("value"),
-    )
+    at = (F.col("n") - 1) * share
+    between = F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))
+    return wide.select(*[F.col(k).alias(c) for c, k in zip(group, keys)], "name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(between).alias("value"))

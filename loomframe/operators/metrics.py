@@ -20,7 +20,7 @@ def rank_at(n: Column, percent: int) -> Column:
 
 def percentile(df: DataFrame, group: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
     """Rows (group, percent, value): the sorted value at ``rank_at``."""
-    wanted = {f"{p}": (p / 100.0, lambda n, p=p: rank_at(n, p)) for p in percents}
+    wanted = {f"{p}": lambda n, p=p: rank_at(n, p) for p in percents}
     # the group columns may be called name and value themselves
     keys = {c: f"_g{i}" for i, c in enumerate(group)}
     frame = df.select(*[F.col(c).alias(k) for c, k in keys.items()], F.col(value).alias("_x"))

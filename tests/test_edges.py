@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,42 @@ def test_categories_in_another_order_are_one_table(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text(json.dumps({"images": [], "annotations": [], "categories": order}))
     categories = readers.read_annotations_json(spark, str(tmp_path))["categories"].collect()
     assert sorted((r.id, r.name) for r in categories) == [(1, "a"), (2, "b")]
+
+
+def test_exact_ranks_of_every_kind_of_number(spark):
+    from loomframe.core.quantile import interpolated, select_ranks
+
+    rng = np.random.default_rng(9)
+    values = [*(rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300)).tolist(), -0.0, 0.0, 0.0, float("inf"), float("-inf"), 5e-324, None, *[1.5] * 200]
+    groups = [None if i % 3 == 0 else "ab"[i % 2] for i in range(len(values))]
+    df = spark.createDataFrame(list(zip(groups, values)), "g string, x double")
+    wanted = {"first": lambda n: n * 0, "mid": lambda n: n / 2, "last": lambda n: n - 1}
+    got = {(r.g, r.name): r.value for r in select_ranks(df, ["g"], "x", wanted).collect()}
+    for g in (None, "a", "b"):
+        held = sorted(x for h, x in zip(groups, values) if h == g and x is not None)
+        assert [got[g, n] for n in wanted] == [held[0], held[len(held) // 2], held[-1]]
+    whole = [r.value for r in interpolated(df.filter("abs(x) < 1e9"), [], "x", {"p": 0.37}).collect()]
+    assert np.isclose(whole[0], np.quantile([x for x in values if x is not None and abs(x) < 1e9], 0.37), rtol=1e-12)
+    assert select_ranks(df.limit(0), [], "x", wanted).count() == 0
+    nan = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    assert np.isnan(select_ranks(nan, [], "x", {"last": lambda n: n - 1}).first().value)
+    typed = df.select(F.lit(-7).cast("int").alias("i"), F.lit("2024-02-29").cast("date").alias("d"), F.lit("-12.34").cast("decimal(9,2)").alias("m"), F.lit(2**62).alias("l"))
+    for c, v in typed.first().asDict().items():
+        assert select_ranks(typed, [], c, {"r": lambda n: n - 1}).first().value == v
+    with pytest.raises(TypeError, match="no 64-bit order"):
+        select_ranks(df, [], "g", wanted)
+
+
+@pytest.mark.parametrize("bound", ["10485760", "-1"])
+def test_ranks_with_and_without_broadcasts(spark, bound):
+    from loomframe.core.quantile import interpolated
+
+    df = spark.range(20_000).selectExpr("id % 7 as g", "cast(hash(id) as double) as x")
+    held = {g: sorted(r.x for r in df.filter(F.col("g") == g).collect()) for g in (0, 3)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    try:
+        got = {(r.g, r.name): r.value for r in interpolated(df, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 0.9}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 21
+    assert all(np.isclose(got[g, n], np.quantile(x, p)) for g, x in held.items() for n, p in (("a", 0.1), ("b", 0.5), ("c", 0.9)))
