@@ -12,7 +12,7 @@ SELU_SCALE = 1.0507009873554805
 
 
 def relu(x: Column) -> Column:
-    return F.greatest(x, F.lit(0.0))
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -25,7 +25,7 @@ def tanh(x: Column) -> Column:
 
 def softplus(x: Column) -> Column:
     """log(1 + e^x) without overflow."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return relu(x) + F.log1p(F.exp(-F.abs(x)))
 
 
 def softsign(x: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomframe.functions.activations import array_sum, log_softmax, softplus
+from loomframe.functions.activations import array_sum, log_softmax, relu, softplus
 from loomframe.functions.vectors import argmax, pick
 
 EPS = 1e-5
@@ -32,12 +32,12 @@ def l2(label: Column, pred: Column, weight: float = 0.5) -> Column:
 
 
 def hinge(label: Column, pred: Column, margin: float = 1.0, weight: float = 1.0) -> Column:
-    return F.greatest(F.lit(margin) - label * pred, F.lit(0.0)) * weight
+    return relu(F.lit(margin) - label * pred) * weight
 
 
 def sigmoid_bce(label: Column, pred: Column, weight: float = 1.0, from_logits: bool = True) -> Column:
     if from_logits:
-        loss = F.greatest(pred, F.lit(0.0)) - pred * label + softplus(-F.abs(pred))
+        loss = relu(pred) - pred * label + softplus(-F.abs(pred))
     else:
         loss = -(label * F.log(pred + EPS) + (1.0 - label) * F.log(1.0 - pred + EPS))
     return loss * weight

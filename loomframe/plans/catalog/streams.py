@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomframe.core.session import new_path
 from loomframe.operators.inference import batch_predict
 from loomframe.plans.catalog.training import _DIRECTION, MeanDirection
 from loomframe.plans.registry import Tables, query, r
-from loomframe.streaming import ops as ST
+from loomframe.streaming import ops as ST, stateful as SF
 
 
 def event_stream(t: Tables):
@@ -86,11 +87,14 @@ def _accumulator(t: Tables):
     "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k FROM events) WHERE k <= 64",
 )
 def _replay(t: Tables):
-    stream = event_stream(t).select("event_type", "event_id", "ts", "value")
-    return ST.drain_table(stream, ST.keep_recent(64, ["event_type"], "ts"), "replay").drop("ts")
+    """Events dealt by a hash into files out of time order, one micro-batch each."""
+    path = new_path(t.spark, "dealt")
+    t.events.repartition(3, F.xxhash64("event_id")).write.parquet(path)
+    stream = ST.read_events(t.spark, path, t.events.schema)
+    rows = stream.select("event_type", "event_id", F.unix_micros(ST.event_time()).alias("at"), "value")
+    return SF.drain_recent(rows, ["event_type"], "at", 64, "replay").select("event_type", "event_id", "value")
 
 
 @query("stream_vocabulary", "SELECT user_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS index FROM events GROUP BY 1")
 def _vocabulary(t: Tables):
-    stream = event_stream(t).select("user_id", "event_id")
-    return ST.drain_log(stream, ST.grow_vocabulary("user_id", "event_id"), "vocabulary")
+    return SF.drain_vocabulary(event_stream(t).select("user_id", "event_id"), "user_id", "event_id", "vocabulary")
