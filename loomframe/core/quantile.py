@@ -29,14 +29,12 @@ def _turned(bits: np.ndarray) -> np.ndarray:
     return bits ^ ((bits >> np.int64(63)) & _ALL_BUT_SIGN)
 
 
-@F.arrow_udf("long")
 def _bits_of_doubles(v: pa.Array) -> pa.Array:
     x = v.to_numpy(zero_copy_only=False) + 0.0  # the two zeros are one value
     x = np.where(np.isnan(x), np.nan, x)  # one NaN, above all numbers
     return pa.array(_turned(x.view(np.int64)))
 
 
-@F.arrow_udf("double")
 def _doubles_of_bits(v: pa.Array) -> pa.Array:
     return pa.array(_turned(v.to_numpy(zero_copy_only=False)).view(np.float64))
 
@@ -44,7 +42,8 @@ def _doubles_of_bits(v: pa.Array) -> pa.Array:
 def _ordered_bits(kind: T.DataType) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """From values of a type to whole numbers in the same order, and back."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return lambda v: _bits_of_doubles(v.cast("double")), lambda b: _doubles_of_bits(b).cast(kind)
+        to_bits, from_bits = F.arrow_udf(_bits_of_doubles, "long"), F.arrow_udf(_doubles_of_bits, "double")
+        return lambda v: to_bits(v.cast("double")), lambda b: from_bits(b).cast(kind)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return lambda v: v.cast("long"), lambda b: b.cast(kind)
     if isinstance(kind, T.DateType):
