@@ -89,7 +89,7 @@ def shard_by_curve(df: DataFrame, dimensions: dict[str, Column], ties: Sequence[
     spread = df.withColumns(dict(zip(names, dimensions.values())))
     cuts = quantile_cuts(spread, [F.col(n) for n in names], bits)
     index, place = free_name(spread, "_curve"), free_name(spread, "_place")
-    ordered = row_index(with_curve_index(spread, names, cuts, bits, index), [index, *ties], place)
+    ordered = row_index(with_curve_index(spread, names, cuts, bits, index), [index, *ties], place, unique=False)
     total = ordered.count()
     each, more = divmod(total, shards)
     long_rows = more * (each + 1)

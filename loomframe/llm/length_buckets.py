@@ -79,7 +79,7 @@ def pack(docs: DataFrame, id_col: str, length_col: str, buckets: int = 16, budge
         bounds = [0]
     every = literal_array(bounds, "bigint")
     placed = rows.withColumn("bucket", F.size(F.filter(every, lambda b: b < F.col("_n")))).withColumn("_h", F.xxhash64("_id"))
-    ranked = group_rank(placed, ["bucket"], ["_h", "_id", "_n"], "_rank")
+    ranked = group_rank(placed, ["bucket"], ["_h", "_id", "_n"], "_rank", unique=False)
     bound = F.element_at(every, F.col("bucket") + 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bound", F.lit(1))))
     return ranked.withColumn("bound", bound).select(
