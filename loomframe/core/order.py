@@ -68,17 +68,17 @@ def _changes(columns: list[pa.Array], before: list[pa.Array] | None) -> np.ndarr
     return out
 
 
-_SCANNED = [("_pid", T.LongType()), ("_pos", T.LongType()), ("_rank", T.LongType()), ("_sum", T.DoubleType()), ("_opens", T.BooleanType()), ("_edge", T.IntegerType())]
+_SCANNED = [("_scan_pid", T.LongType()), ("_scan_pos", T.LongType()), ("_scan_rank", T.LongType()), ("_scan_sum", T.DoubleType()), ("_scan_opens", T.BooleanType()), ("_scan_edge", T.IntegerType())]
 _FIRST, _LAST = 1, 2
 
 
 def _freeze_range(df: DataFrame, order_by, group: Sequence[str] = (), value: str | None = None, unique: bool = True) -> DataFrame:
     """Range-partition, sort, scan and write in one pass.
 
-    Beside its columns a row gets the partition and its place there (``_pid``, ``_pos``),
+    Beside its columns a row gets the partition and its place there (``_scan_pid``, ``_scan_pos``),
     its place in its group's run and the running sum of ``value`` over the run within
-    the partition (``_rank``, ``_sum``; null before the first value), whether that run opens the partition
-    (``_opens``), and whether the row is the partition's first or last (``_edge``). A
+    the partition (``_scan_rank``, ``_scan_sum``; null before the first value), whether that run opens the partition
+    (``_scan_opens``), and whether the row is the partition's first or last (``_scan_edge``). A
     neighbour with the same key is an error if the key must be unique; a key with
     sort expressions in it isn't checked.
     """
@@ -99,9 +99,9 @@ def _freeze_range(df: DataFrame, order_by, group: Sequence[str] = (), value: str
 
         def marked(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
             edge = np.zeros(batch.num_rows, np.int32)
-            edge[0] += _FIRST * (batch.column("_pos")[0].as_py() == 0)
+            edge[0] += _FIRST * (batch.column("_scan_pos")[0].as_py() == 0)
             edge[-1] += _LAST * last
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], [*batch.schema.names, "_edge"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge)], [*batch.schema.names, "_scan_edge"])
 
         for batch in batches:
             n = batch.num_rows
@@ -180,7 +180,7 @@ def _without_scan(df: DataFrame) -> DataFrame:
 
 def _edges(frozen: DataFrame, edge: int, *columns) -> list:
     """The first or last row of each partition: one row a partition reaches the driver."""
-    return frozen.filter(F.col("_edge").bitwiseAND(edge) > 0).select("_pid", *columns).orderBy("_pid").collect()
+    return frozen.filter(F.col("_scan_edge").bitwiseAND(edge) > 0).select("_scan_pid", *columns).orderBy("_scan_pid").collect()
 
 
 def row_index(df: DataFrame, order_by, name: str = "idx", unique: bool = True) -> DataFrame:
@@ -190,17 +190,17 @@ def row_index(df: DataFrame, order_by, name: str = "idx", unique: bool = True) -
     numbered anyhow.
     """
     frozen = _freeze_range(df, order_by, unique=unique)
-    counts = {r._pid: r._pos + 1 for r in _edges(frozen, _LAST, "_pos")}
-    offset = _at(_offsets(counts, 0), "bigint", F.col("_pid"))
-    return _without_scan(frozen.withColumn(name, offset + F.col("_pos")))
+    counts = {r._scan_pid: r._scan_pos + 1 for r in _edges(frozen, _LAST, "_scan_pos")}
+    offset = _at(_offsets(counts, 0), "bigint", F.col("_scan_pid"))
+    return _without_scan(frozen.withColumn(name, offset + F.col("_scan_pos")))
 
 
 def prefix_sum(df: DataFrame, value: str, order_by, name: str = "running", unique: bool = True) -> DataFrame:
     """Inclusive running sum of ``value`` over the whole table in ``order_by``; nulls add nothing."""
     frozen = _freeze_range(df, order_by, value=value, unique=unique)
-    sums = {r._pid: r._sum or 0.0 for r in _edges(frozen, _LAST, "_sum")}
-    offset = _at(_offsets(sums, 0.0), "double", F.col("_pid"))
-    return _without_scan(frozen.withColumn(name, offset + F.coalesce("_sum", F.lit(0.0))))
+    sums = {r._scan_pid: r._scan_sum or 0.0 for r in _edges(frozen, _LAST, "_scan_sum")}
+    offset = _at(_offsets(sums, 0.0), "double", F.col("_scan_pid"))
+    return _without_scan(frozen.withColumn(name, offset + F.coalesce("_scan_sum", F.lit(0.0))))
 
 
 def _carries(frozen: DataFrame, group: Sequence[str], measure: Column) -> dict[int, float]:
@@ -209,12 +209,12 @@ def _carries(frozen: DataFrame, group: Sequence[str], measure: Column) -> dict[i
     Only the first and last run of a partition can span partitions.
     """
     key = F.to_json(F.struct(*group)).alias("key")
-    first = {r._pid: r.key for r in _edges(frozen, _FIRST, key)}
+    first = {r._scan_pid: r.key for r in _edges(frozen, _FIRST, key)}
     carries: dict[int, float] = {}
     open_key, open_m = None, None
-    for r in _edges(frozen, _LAST, key, "_opens", measure.alias("m")):
-        carries[r._pid] = open_m if first[r._pid] == open_key else None
-        inherited = carries[r._pid] if r._opens else None
+    for r in _edges(frozen, _LAST, key, "_scan_opens", measure.alias("m")):
+        carries[r._scan_pid] = open_m if first[r._scan_pid] == open_key else None
+        inherited = carries[r._scan_pid] if r._scan_opens else None
         open_key, open_m = r.key, r.m if inherited is None else inherited + (r.m or 0)
     return carries
 
@@ -222,7 +222,7 @@ def _carries(frozen: DataFrame, group: Sequence[str], measure: Column) -> dict[i
 def _carried(frozen: DataFrame, group: Sequence[str], measure: Column, element_type: str) -> Column:
     carries = _carries(frozen, group, measure)
     dense = [carries.get(i) for i in range(max(carries, default=0) + 1)]
-    return F.when(F.col("_opens"), _at(dense, element_type, F.col("_pid")))
+    return F.when(F.col("_scan_opens"), _at(dense, element_type, F.col("_scan_pid")))
 
 
 def group_rank(df: DataFrame, group: Sequence[str], order_by, name: str = "rank", unique: bool = True) -> DataFrame:
@@ -230,8 +230,8 @@ def group_rank(df: DataFrame, group: Sequence[str], order_by, name: str = "rank"
     if not group:
         return row_index(df, order_by, name, unique)
     frozen = _freeze_range(df, order_by, group, unique=unique)
-    carry = _carried(frozen, group, F.col("_rank") + 1, "bigint")
-    return _without_scan(frozen.withColumn(name, F.col("_rank") + F.coalesce(carry, F.lit(0))))
+    carry = _carried(frozen, group, F.col("_scan_rank") + 1, "bigint")
+    return _without_scan(frozen.withColumn(name, F.col("_scan_rank") + F.coalesce(carry, F.lit(0))))
 
 
 def group_prefix_sum(
@@ -239,8 +239,8 @@ def group_prefix_sum(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` inside each group, skew-safe; null before a group's first value."""
     frozen = _freeze_range(df, order_by, group, value, unique)
-    carry = _carried(frozen, group, F.col("_sum"), "double")
-    both = F.coalesce(F.col("_sum") + carry, F.col("_sum"), carry)
+    carry = _carried(frozen, group, F.col("_scan_sum"), "double")
+    both = F.coalesce(F.col("_scan_sum") + carry, F.col("_scan_sum"), carry)
     return _without_scan(frozen.withColumn(name, both))
 
 
