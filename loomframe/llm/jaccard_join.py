@@ -12,14 +12,17 @@ first ``c`` shared members lie among the first ``n - o + c`` of each set.
 * The boundary is the size with the least estimated cost, from the histogram of
   all set sizes and the list lengths that the counts of all members foretell.
 
-Lists are scanned in rounds. The first proposes, for each posting, only the one
-before it and the first of its list, a number of pairs that is linear in the
-list; verified pairs are united. Further rounds do so with a few neighbours in a
-random order of each list, where the components differ. The last scan proposes all pairs inside a list
-whose sets are still in different components, so a group of thousands of near
-copies never becomes all its pairs and yet no link between components is lost.
-Proposed pairs pass an exact parity-bitmap bound on the symmetric
-difference, and what remains is verified on the sets of the whole texts.
+Lists are scanned three times. The first scan proposes, for each posting, only
+the one before it and the first of its list, a number of pairs that is linear in
+the list; verified pairs are united. The second looks, in a part of the lists that
+still hold several components, at a few neighbours in random order. The last
+compares all sets of a list that are still in different components, so a group of
+thousands of near copies never becomes all its pairs and yet no link between
+components is lost. Both later scans carry a parity bitmap with each posting and
+propose a pair only where sizes and bitmaps leave the similarity possible; a list
+longer than a block is dealt in blocks, in the last scan in pairs of blocks, so no
+list is one task. What they propose passes the same bound on the full bitmaps and
+is verified on the sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -38,11 +41,15 @@ from loomframe.llm.shingles import set_keys, shingle_sets
 #: Counters of the member order; any number gives right results, more of them a finer order.
 COUNTER_BITS = 18
 COUNTERS = 1 << COUNTER_BITS
-#: Further rounds, each over its share of the lists, and how many neighbours they propose; what
-#: they leave in different components, the last scan compares in full.
-ROUNDS, REACH = 3, 8
+#: The second scan reads one in so many open lists and looks at so many neighbours; what it
+#: leaves in different components, the last scan compares in full.
+SHARE, REACH = 3, 4
+#: Postings of a list that meet in one task, about; longer lists are dealt in blocks.
+BLOCK = 1024
+#: Bytes of the bitmap that travels with a posting, the full one folded.
+BRIEF = 128
 _PAIR = np.uint64(0x8CB92BA72F3D8DD7)
-_SETS = "kind int, doc_id long, hi long, lo long, n int, bits array<long>"
+_SETS = "kind int, doc_id long, hi long, lo long, n int, bits array<long>, brief binary"
 
 
 def _needed(n, percent: int):
@@ -55,8 +62,8 @@ def _counter(members: np.ndarray) -> np.ndarray:
 
 
 def _parity(members: np.ndarray) -> np.ndarray:
-    """One bit per hash class, set when an odd number of members falls into it; n to 2n bits, in longs."""
-    width = max(64, 1 << int(len(members) - 1).bit_length())
+    """One bit per hash class, set when an odd number of members falls into it; n to 2n bits, 1,024 at least, in longs."""
+    width = max(8 * BRIEF, 1 << int(len(members) - 1).bit_length())
     odd = np.bincount((mix(members) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -84,8 +91,10 @@ def _describe(words: int) -> Callable:
 
 
 def _sets_batch(kind, ids, hi, lo, n, bits) -> pa.RecordBatch:
-    columns = [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), hi, lo, pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "hi", "lo", "n", "bits"])
+    brief = [None if x is None else np.bitwise_xor.reduce(x.reshape(-1, BRIEF // 8), axis=0).tobytes() for x in bits]
+    columns = [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), hi, lo, pa.array(n, pa.int32())]
+    columns += [pa.array(bits, pa.list_(pa.int64())), pa.array(brief, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "hi", "lo", "n", "bits", "brief"])
 
 
 def boundary(sizes: dict[int, int], counts: np.ndarray, percent: int) -> int:
@@ -207,28 +216,69 @@ def _scan(rows, opened, before, percent: int, last: bool):
     return result, opened, after, rows[:, size - 1 :]
 
 
-def _reach_back(percent: int) -> Callable:
-    """Scan postings sorted by sig, shuffled inside it: pairs of different components at most ``REACH`` places apart."""
+def _compare(percent: int, reach: int | None) -> Callable:
+    """Scan postings sorted by (sig, tile): pairs of different components that sizes and bitmaps let reach the similarity.
+
+    Compared are sets at most ``reach`` places apart in a tile, or, without it, all
+    of a tile, which are then sorted by size; in a tile of two blocks only those
+    of different blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        rows, bits = np.zeros((6, 0), np.int64), np.zeros((0, BRIEF // 8), np.uint64)
         for batch in batches:
-            own = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            sig, ids, n, root = rows = np.concatenate((held, own), axis=1)
-            pairs = [np.zeros((2, 0), np.int64)]
-            for step in range(1, REACH + 1):
-                at = np.arange(max(held.shape[1], step), len(sig))
-                at = at[(sig[at] == sig[at - step]) & (root[at] != root[at - step])]
-                x, y = n[at], n[at - step]
-                at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
-                pairs.append(np.stack((ids[at], ids[at - step])))
-            a, b = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            held = rows[:, -REACH:]
+            rows = np.concatenate((rows, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)])), axis=1)
+            bits = np.concatenate((bits, _briefs(batch.column(6))))
+            if rows.shape[1]:
+                # the last tile may go on in the next batch
+                change = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+                done = int(change[-1]) + 1 if len(change) else 0
+                yield from _near_pairs(rows[:, :done], bits[:done], percent, reach)
+                rows, bits = rows[:, done:], bits[done:]
+        yield from _near_pairs(rows, bits, percent, reach)
 
     return run
 
 
+def _briefs(column) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, BRIEF // 8), np.uint64)
+    data, offsets = column.buffers()[2], column.buffers()[1]
+    width = 8 if pa.types.is_large_binary(column.type) else 4
+    start = int(np.frombuffer(offsets, np.int64 if width == 8 else np.int32)[column.offset])
+    return np.frombuffer(data, np.uint64, len(column) * BRIEF // 8, start).reshape(-1, BRIEF // 8)
+
+
+def _near_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, reach: int | None) -> Iterator[pa.RecordBatch]:
+    size = rows.shape[1]
+    if size < 2:
+        return
+    sig, tile, block, ids, n, root = rows
+    new = np.ones(size, bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (tile[1:] != tile[:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+    at, step, found = np.arange(size), 0, []
+    while reach is None or step < reach:
+        step += 1
+        at = at[at - step >= start[at]]
+        if reach is None:
+            at = at[100 * n[at - step] >= percent * n[at]]  # smaller sets further on fail too
+        if not len(at):
+            break
+        x, y = at, at - step
+        apart = root[x] != root[y]
+        if reach is None:
+            apart &= (tile[x] % 2 == 0) | (block[x] != block[y])
+        apart &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        x, y = x[apart], y[apart]
+        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        may = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        found.append(np.stack((ids[x[may]], ids[y[may]])))
+    a, b = np.unique(np.sort(np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1), axis=0), axis=1)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _may_reach(left: str, right: str, n: str, m: str, percent: int) -> Column:
     """Whether two parity bitmaps leave the similarity possible.
 
@@ -292,7 +342,7 @@ def jaccard_components(
     classes = scratch.write(
         rows.filter("n > 0 and doc_id is not null")
         .groupBy("lo", "hi", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")),
+        .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("brief").alias("brief")),
         "classes",
     )
     counters = described.filter("kind = 1").groupBy("hi").agg(F.sum("lo").alias("c")).toArrow()
@@ -331,53 +381,76 @@ def jaccard_components(
         scratch.drop(close, found)
         return result
 
-    def all_of(tables: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, tables)
+    def tested() -> DataFrame:
+        return reduce(DataFrame.unionByName, tried)
 
-    def unlinked(tables: list[DataFrame]) -> DataFrame:
-        """Postings, with their sets' components, of the lists that still have several components."""
-        united = scratch.write(components(all_of(tables).filter("linked").select("a", "b"), scratch), "united")
+    def open_postings(stars: DataFrame) -> DataFrame:
+        """Postings of the lists that hold several components, with component and bitmap, and in how many blocks their list is dealt."""
         labelled = scratch.write(
-            lists.join(united.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root")),
+            lists.join(stars.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root")),
             "labelled",
         )
-        mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("sig")
-        result = scratch.write(labelled.join(mixed, "sig"), "open")
-        scratch.drop(united, labelled)
+        mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("c"))
+        blocks = F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")
+        several = labelled.join(mixed.filter("p <> q").select("sig", blocks), "sig")
+        result = scratch.write(several.join(classes.select(F.col("lo").alias("id"), "brief"), "id"), "open")
+        scratch.drop(labelled)
         return result
 
+    def united(links: DataFrame) -> DataFrame:
+        return scratch.write(components(links, scratch), "united")
+
+    columns = ["sig", "tile", "block", "id", "n", "root", "brief"]
     proposed = lists.select("id", F.explode(F.array("near", "far")).alias("b")).filter("b is not null")
     tried = [verified(proposed.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())]
-    for round_ in range(ROUNDS):
-        open_lists = unlinked(tried)
-        some = open_lists.filter(F.pmod(F.xxhash64("sig"), F.lit(ROUNDS)) == round_)
-        nearby = some.repartition("sig").sortWithinPartitions("sig", F.xxhash64("sig", "id")).mapInArrow(_reach_back(percent), "a long, b long")
-        tried.append(verified(nearby.distinct().join(all_of(tried).select("a", "b"), ["a", "b"], "left_anti")))
-        scratch.drop(open_lists)
-    open_lists = unlinked(tried)
-    with_bits = scratch.write(open_lists.join(classes.select(F.col("lo").alias("id"), "bits"), "id"), "open-bits")
-    x, y = with_bits.alias("x"), with_bits.alias("y")
-    across = x.join(
-        y,
-        F.expr(
-            "x.sig = y.sig and x.root <> y.root and (x.n < y.n or (x.n = y.n and x.id < y.id)) "
-            f"and 100 * cast(x.n as long) >= {percent} * cast(y.n as long)"
-        )
-        & _may_reach("x.bits", "y.bits", "x.n", "y.n", percent),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried.append(verified(rest.join(all_of(tried).select("a", "b"), ["a", "b"], "left_anti")))
-    links = all_of(tried).filter("linked").select("a", "b")
-    stars = scratch.write(components(links, scratch), "stars")
+    stars = united(tried[0].filter("linked").select("a", "b"))
+    block = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).alias("block")
+    # second scan: neighbours in random order inside random blocks
+    postings = open_postings(stars)
+    nearby = (
+        postings.filter(F.pmod(F.xxhash64("sig"), F.lit(SHARE)) == 0)
+        .select("*", block)
+        .withColumn("tile", F.col("block"))
+        .select(columns)
+        .repartition("sig", "tile")
+        .sortWithinPartitions("sig", "tile", F.xxhash64("id", "tile"))
+        .mapInArrow(_compare(percent, REACH), "a long, b long")
+    )
+    tried.append(verified(nearby.distinct().join(tested().select("a", "b"), ["a", "b"], "left_anti")))
+    scratch.drop(postings)
+    before = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = scratch.write(before.union(tried[1].filter("linked").select("a", "b")), "links")
+    scratch.drop(stars)
+    stars = united(links)
+    scratch.drop(links)
+    # last scan: every block of a list with every other and with itself; odd tiles hold two blocks
+    postings = open_postings(stars)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    tiles = postings.select("*", block).select("*", other).withColumn(
+        "tile",
+        (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")) * 2 + (F.col("block") != F.col("other")).cast("long"),
+    )
+    across = (
+        tiles.select(columns)
+        .repartition("sig", "tile")
+        .sortWithinPartitions("sig", "tile", "n", "id")
+        .mapInArrow(_compare(percent, None), "a long, b long")
+    )
+    tried.append(verified(across.distinct().join(tested().select("a", "b"), ["a", "b"], "left_anti")))
+    scratch.drop(postings)
+    before = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = scratch.write(before.union(tried[2].filter("linked").select("a", "b")), "links")
+    scratch.drop(stars)
+    stars = united(links)
     roots = classes.join(stars.withColumnRenamed("node", "lo"), "lo", "left").select(
         "lo", "hi", "n", "rep", F.coalesce("root", "lo").alias("root")
     )
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_set = scratch.write(roots.join(smallest, "root").select("lo", "hi", "n", "component_id"), "of-set")
     order.unpersist()
-    scratch.drop(classes, lists, open_lists, with_bits, *tried, stars)
+    scratch.drop(classes, lists, links, *tried, stars)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.drop("bits").join(of_set, ["lo", "hi", "n"], "left").select(
+    return rows.drop("bits", "brief").join(of_set, ["lo", "hi", "n"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")
     )
 
