@@ -86,6 +86,47 @@ def test_jaccard_matches_brute_force(spark, words, percent):
     assert got == brute_components(texts, words, percent)
 
 
+def test_jaccard_long_lists_are_dealt_in_blocks(spark, monkeypatch):
+    """Lists of many blocks, none of whose sets need be neighbours: no link between components is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "REACH", 1)
+    texts = near_copies(90, seed=5)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(rows).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def passages_of_a_pool(n, seed=1):
+    """Documents of 26 passages out of 40: every shingle is common and next to nothing links."""
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(40)]
+    return [" ".join(pool[i] for i in np.sort(rng.choice(40, 26, replace=False))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("reach", [4, None])
+def test_jaccard_common_passages_propose_next_to_nothing(reach):
+    texts = passages_of_a_pool(400) + [passages_of_a_pool(1)[0] + " and a tail"]
+    sets = [r for b in jaccard_join._describe(4)([pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array(texts)], ["a", "b"])]) for r in b.to_pylist()]
+    sets = sorted((r for r in sets if r["kind"] == 0), key=lambda r: (r["n"], r["doc_id"]))
+    n = [r["n"] for r in sets]
+    ids = list(range(len(n)))
+    columns = [[7] * len(n), [0] * len(n), [0] * len(n), ids, n, ids]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r["brief"] for r in sets])], list("abcdefg"))
+    # one list in two batches, as a task may get it
+    found = [tuple(p.values()) for b in jaccard_join._compare(85, reach)(iter([batch.slice(0, 150), batch.slice(150)])) for p in b.to_pylist()]
+    exact = [shingles(texts[r["doc_id"]], 4) for r in sets]
+    links = {(a, b) for b in ids for a in range(b) if 100 * len(exact[a] & exact[b]) >= 85 * len(exact[a] | exact[b])}
+    assert len(found) <= 8 < len(n)
+    if reach is None:
+        assert links and links <= set(found)
+
+
+def test_jaccard_bitmaps_fold_to_one_width():
+    for size in (1, 900, 5000):
+        members = np.unique(np.random.default_rng(size).integers(0, 1 << 63, size, dtype=np.uint64))
+        assert len(jaccard_join._parity(members)) * 8 % jaccard_join.BRIEF == 0
+
+
 def test_jaccard_edges(spark, docs):
     rows = jaccard_join.jaccard_components(docs).collect()
     assert len(rows) == docs.count()
