@@ -121,6 +121,8 @@ def boundary(sizes: dict[int, int], counts: np.ndarray, percent: int) -> int:
 
 
 def _signatures(words: int, percent: int, order, cut: int) -> Callable:
+    """Postings; ``rest`` is the most that a set can share with another whose first shared members these are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         for batch in batches:
@@ -130,7 +132,7 @@ def _signatures(words: int, percent: int, order, cut: int) -> Callable:
                 _, lo = set_keys(members, offsets)
                 sizes = np.diff(offsets)
                 _, first = np.unique(lo, return_index=True)
-                out, of = [], []
+                out, of, rest = [], [], []
                 for i in first.tolist():
                     n = int(sizes[i])
                     least = _needed(n, percent)
@@ -143,26 +145,29 @@ def _signatures(words: int, percent: int, order, cut: int) -> Callable:
                         x, y = np.triu_indices(len(own), 1)
                         out.append(mix(own[x] + own[y] * _PAIR) | np.uint64(1))
                         of += [i] * len(x)
+                        rest.append(n + 1 - y)
                     if n >= cut * percent // 100:
                         out.append(own[: n - least + 1] & ~np.uint64(1))
                         of += [i] * (n - least + 1)
+                        rest.append(n - np.arange(n - least + 1))
                 if of:
                     at = np.array(of)
                     columns = [signed(np.concatenate(out)), signed(lo[at]), pa.array(sizes[at], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, ["sig", "id", "n"])
+                    columns.append(pa.array(np.concatenate(rest), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "id", "n", "rest"])
 
     return run
 
 
 def _lists(percent: int) -> Callable:
-    """Scan postings sorted by (sig, n, id): drop repeats and lists of one, name the neighbours to compare."""
+    """Scan postings sorted by (sig, n, id), most rest first: drop repeats and lists of one, name the neighbours to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((4, 0), np.int64)
         opened = (None, 0, 0)  # sig, id and n of the first set of the list that the held posting is in
         before = None  # the posting before the held one, when it is in the same list
         for batch in batches:
-            rows = np.concatenate((held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])), axis=1)
+            rows = np.concatenate((held, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])), axis=1)
             again = np.zeros(rows.shape[1], bool)
             again[1:] = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
             rows = rows[:, ~again]
@@ -178,7 +183,7 @@ def _lists(percent: int) -> Callable:
 
 
 def _scan(rows, opened, before, percent: int, last: bool):
-    sig, ids, n = rows
+    sig, ids, n, rest = rows
     size = rows.shape[1]
     if not size or (size == 1 and not last):
         return None, opened, before, rows
@@ -205,6 +210,7 @@ def _scan(rows, opened, before, percent: int, last: bool):
         pa.array(sig[:done][keep]),
         pa.array(ids[:done][keep]),
         pa.array(n[:done][keep].astype(np.int32)),
+        pa.array(rest[:done][keep].astype(np.int32)),
         pa.array(prev_id[:done][keep], mask=~near[:done][keep]),
         pa.array(head_id[:done][keep], mask=~far[:done][keep]),
     ]
@@ -212,7 +218,7 @@ def _scan(rows, opened, before, percent: int, last: bool):
     if not last:
         opened = (int(sig[-1]), int(head_id[-1]), int(head_n[-1]))
         after = (int(prev_id[-1]), int(prev_n[-1])) if has[-1] else None
-    result = pa.RecordBatch.from_arrays(columns, ["sig", "id", "n", "near", "far"]) if keep.any() else None
+    result = pa.RecordBatch.from_arrays(columns, ["sig", "id", "n", "rest", "near", "far"]) if keep.any() else None
     return result, opened, after, rows[:, size - 1 :]
 
 
@@ -225,10 +231,10 @@ def _compare(percent: int, reach: int | None) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, bits = np.zeros((6, 0), np.int64), np.zeros((0, BRIEF // 8), np.uint64)
+        rows, bits = np.zeros((7, 0), np.int64), np.zeros((0, BRIEF // 8), np.uint64)
         for batch in batches:
-            rows = np.concatenate((rows, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)])), axis=1)
-            bits = np.concatenate((bits, _briefs(batch.column(6))))
+            rows = np.concatenate((rows, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])), axis=1)
+            bits = np.concatenate((bits, _briefs(batch.column(7))))
             if rows.shape[1]:
                 # the last tile may go on in the next batch
                 change = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
@@ -253,7 +259,7 @@ def _near_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, reach: int | N
     size = rows.shape[1]
     if size < 2:
         return
-    sig, tile, block, ids, n, root = rows
+    sig, tile, block, ids, n, rest, root = rows
     new = np.ones(size, bool)
     new[1:] = (sig[1:] != sig[:-1]) | (tile[1:] != tile[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(size), 0))
@@ -269,6 +275,8 @@ def _near_pairs(rows: np.ndarray, bits: np.ndarray, percent: int, reach: int | N
         apart = root[x] != root[y]
         if reach is None:
             apart &= (tile[x] % 2 == 0) | (block[x] != block[y])
+            # a pair is met in the list of its first shared members, where the rest of both bounds what it shares
+            apart &= (100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (n[x] + n[y])
         apart &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
         x, y = x[apart], y[apart]
         differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
@@ -354,10 +362,10 @@ def jaccard_components(
     lists = scratch.write(
         docs.filter("doc_id is not null")
         .select("text")
-        .mapInArrow(_signatures(words, percent, order, cut), "sig long, id long, n int")
+        .mapInArrow(_signatures(words, percent, order, cut), "sig long, id long, n int, rest int")
         .repartition("sig")
-        .sortWithinPartitions("sig", "n", "id")
-        .mapInArrow(_lists(percent), "sig long, id long, n int, near long, far long"),
+        .sortWithinPartitions("sig", "n", "id", F.desc("rest"))
+        .mapInArrow(_lists(percent), "sig long, id long, n int, rest int, near long, far long"),
         "lists",
     )
 
@@ -387,7 +395,7 @@ def jaccard_components(
     def open_postings(stars: DataFrame) -> DataFrame:
         """Postings of the lists that hold several components, with component and bitmap, and in how many blocks their list is dealt."""
         labelled = scratch.write(
-            lists.join(stars.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root")),
+            lists.join(stars.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", "rest", F.coalesce("root", "id").alias("root")),
             "labelled",
         )
         mixed = labelled.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("c"))
@@ -400,7 +408,7 @@ def jaccard_components(
     def united(links: DataFrame) -> DataFrame:
         return scratch.write(components(links, scratch), "united")
 
-    columns = ["sig", "tile", "block", "id", "n", "root", "brief"]
+    columns = ["sig", "tile", "block", "id", "n", "rest", "root", "brief"]
     proposed = lists.select("id", F.explode(F.array("near", "far")).alias("b")).filter("b is not null")
     tried = [verified(proposed.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())]
     stars = united(tried[0].filter("linked").select("a", "b"))

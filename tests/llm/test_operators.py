@@ -110,8 +110,8 @@ def test_jaccard_common_passages_propose_next_to_nothing(reach):
     sets = sorted((r for r in sets if r["kind"] == 0), key=lambda r: (r["n"], r["doc_id"]))
     n = [r["n"] for r in sets]
     ids = list(range(len(n)))
-    columns = [[7] * len(n), [0] * len(n), [0] * len(n), ids, n, ids]
-    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r["brief"] for r in sets])], list("abcdefg"))
+    columns = [[7] * len(n), [0] * len(n), [0] * len(n), ids, n, n, ids]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r["brief"] for r in sets])], list("abcdefgh"))
     # one list in two batches, as a task may get it
     found = [tuple(p.values()) for b in jaccard_join._compare(85, reach)(iter([batch.slice(0, 150), batch.slice(150)])) for p in b.to_pylist()]
     exact = [shingles(texts[r["doc_id"]], 4) for r in sets]
