@@ -246,7 +246,27 @@ def test_length_bounds_are_optimal():
         for k in (1, 2, 3):
             cost = lambda bounds: sum(c * (min(b for b in bounds if b >= t) - t) for t, c in zip(top.tolist(), n.tolist()))
             best = min(cost([*c, int(top[-1])]) for r in range(k) for c in itertools.combinations(top[:-1].tolist(), r))
-            assert cost(length_buckets.best_bounds(top, n, top * n, k)) == best
+            assert cost(length_buckets.best_bounds(top, n, k)) == best
+
+
+def test_long_length_bounds_are_optimal(spark):
+    rng = np.random.default_rng(9)
+    lengths = np.concatenate((rng.integers(300, 3000, 400), rng.integers(1, 40, 300), np.full(350, 777), [60_000]))
+    top, n = np.unique(lengths, return_counts=True)
+    for k in (1, 4, 16):
+        # least padding of the first j lengths in at most k buckets, all splits tried
+        best = np.concatenate(([0], np.full(len(top), 1 << 60)))
+        for _ in range(k):
+            cost = lambda i, j: int(best[i]) + int((n[i:j] * (top[j - 1] - top[i:j])).sum())
+            best = np.array([0, *(min(int(best[j]), min(cost(i, j) for i in range(j))) for j in range(1, len(top) + 1))])
+        bounds = length_buckets.best_bounds(top, n, k)
+        assert len(bounds) <= k
+        assert sum(min(b for b in bounds if b >= x) - x for x in lengths.tolist()) == best[-1]
+        if k == 16:
+            rows = length_buckets.pack(spark.createDataFrame([(i, x) for i, x in enumerate(lengths.tolist())], "slot long, n long"), "slot", "n")
+            assert sorted(rows.columns) == ["batch", "bound", "bucket", "id", "n", "padding", "slot"]
+            assert rows.agg({"padding": "sum"}).first()[0] == best[-1]
+    assert length_buckets.best_bounds(np.full(1, 5), np.full(1, 3), 4) == [5] and length_buckets.best_bounds(top[:0], n[:0], 4) == []
 
 
 def test_packing(spark, docs):
