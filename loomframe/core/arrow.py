@@ -23,11 +23,14 @@ def vectors(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel(), pa.float64()))
 
 
-def blocks(cells, size: int) -> np.ndarray:
-    """A list<struct<r, c, v>> column as (n, size, size) dense tiles."""
+def blocks(cells, size: int, axis: str) -> tuple[np.ndarray, np.ndarray]:
+    """A list<struct<r, c, v>> column as (n, size, size) dense tiles, and which places of ``axis`` ("r" or "c") hold a cell."""
     lengths = np.diff(cells.offsets.to_numpy(zero_copy_only=False))
     flat = cells.flatten()
     field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
     out = np.zeros((len(cells), size, size))
-    out[np.repeat(np.arange(len(cells)), lengths), field("r"), field("c")] = field("v")
-    return out
+    of = np.repeat(np.arange(len(cells)), lengths)
+    out[of, field("r"), field("c")] = field("v")
+    held = np.zeros((len(cells), size), bool)
+    held[of, field(axis)] = True
+    return out, held

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.core.order import row_index
 from loomframe.core.session import materialize
 from loomframe.functions import elementwise as E
-
-FEW_VALUES = 100_000
+from loomframe.operators.joins import lookup_join
 
 
 def select_features_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -29,20 +28,17 @@ def first_seen_index(df: DataFrame, col: str, order_by: Sequence[str]) -> DataFr
     """(value, index): distinct values numbered by their first occurrence.
 
     The running map of a sequential reader becomes a min-key aggregate, which
-    combines map-side whatever the skew of the values.
+    combines map-side whatever the skew of the values. Values that are first seen
+    at one key are an error: the order does not tell them apart.
     """
-    first = materialize(df.groupBy(col).agg(F.min(F.struct(*order_by)).alias("_first")), "first-seen")
-    if first.count() > FEW_VALUES:
-        return row_index(first, "_first", "index").select(col, "index")
-    # few distinct values (counted): one task numbers them
-    return first.select(col, (F.row_number().over(Window.orderBy("_first")) - 1).cast("bigint").alias("index"))
+    first = df.groupBy(col).agg(F.min(F.struct(*order_by)).alias("_first"))
+    return row_index(first, "_first", "index").select(col, "index")
 
 
 def categorical_index_auto(df: DataFrame, col: str, order_by: Sequence[str], out: str) -> DataFrame:
-    """Append the first-seen index of ``col``; NULL is a category like any other."""
+    """Append the first-seen index of ``col``; NULL is a category like any other, hot categories are split."""
     mapping = materialize(first_seen_index(df, col, order_by), "categories")
-    mapping = mapping.select(F.col(col).alias("_category"), F.col("index").alias(out))
-    return df.join(mapping, F.col(col).eqNullSafe(F.col("_category")), "left").drop("_category")
+    return lookup_join(df, mapping.withColumnRenamed("index", out), col, null_safe=True)
 
 
 def categorical_index_map(df: DataFrame, col: str, mapping: dict[str, int], out: str) -> DataFrame:

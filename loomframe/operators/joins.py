@@ -8,26 +8,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomframe.core import skew
 from loomframe.core.arrow import matrix as as_matrix
 from loomframe.core.order import row_index
 
-BROADCAST_ROWS = 500_000  # narrow lookup tables: tens of megabytes at most
-SALTS = 16
 
-
-def lookup_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", salt_from: Sequence[str] = ()) -> DataFrame:
+def lookup_join(
+    df: DataFrame, table: DataFrame, key: str, how: str = "left", salt_from: Sequence[str] = (), null_safe: bool = False
+) -> DataFrame:
     """Equi join of a large, possibly skewed ``df`` with a unique-key ``table``.
 
-    A table of at most ``BROADCAST_ROWS`` rows (counted, from Parquet footers
-    when it was written) is broadcast. A larger one is replicated over salts so
-    that a token holding a third of all rows is spread over ``SALTS`` tasks.
+    A table of at most ``skew.BROADCAST_BYTES`` (counted) is broadcast. For a larger one
+    a summary finds the hot keys of ``df``, and only those are salted: a token
+    holding a third of all rows is spread over ``skew.SALTS`` tasks while all other
+    rows of the table are shuffled once. With ``null_safe`` a null key meets a null key.
     """
-    if table.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table), key, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(salt_from or df.columns)), F.lit(SALTS)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    other = skew.free_name("_key", df, table)
+    if skew.fits_broadcast(table):
+        if not null_safe:
+            return df.join(F.broadcast(table), key, how)
+        return df.join(F.broadcast(table.withColumnRenamed(key, other)), F.col(key).eqNullSafe(F.col(other)), how).drop(other)
+    salt = skew.free_name("_salt", df, table)
+    left, right = skew.salted(df, table, [key], salt, salt_from)
+    if not null_safe:
+        return left.join(right, [key, salt], how).drop(salt)
+    copy = skew.free_name("_copy", df, table)
+    right = right.withColumnsRenamed({key: other, salt: copy})
+    same = F.col(key).eqNullSafe(F.col(other)) & (F.col(salt) == F.col(copy))
+    return left.join(right, same, how).drop(other, salt, copy)
 
 
 def explode_tokens(df: DataFrame, key: Sequence[str], tokens: str | Column) -> DataFrame:
@@ -53,7 +61,8 @@ def recollect(df: DataFrame, key: Sequence[str], value: str, out: str, pos: str
 
 
 def vocabulary_contains(df: DataFrame, vocabulary: DataFrame, present: bool = True) -> DataFrame:
-    return df.join(vocabulary.select("token"), "token", "left_semi" if present else "left_anti")
+    """Rows whose token is in the vocabulary, or those whose token (or null) is not; hot tokens are split."""
+    return lookup_join(df, vocabulary.select("token"), "token", "left_semi" if present else "left_anti")
 
 
 def embedding_lookup(

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomframe.core import skew
 from loomframe.core.keyed import keyed_hash, keyed_uniform
 from loomframe.core.order import random_rank, row_index
 from loomframe.core.session import materialize
-from loomframe.operators import joins
 from loomframe.operators.joins import lookup_join
 from loomframe.operators.topk import topk_rows
 
@@ -48,11 +48,11 @@ def build_vocabulary(
 def wordpiece(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
     """(token, pieces) for the distinct tokens: greedy longest match from the left.
 
-    A vocabulary of at most ``BROADCAST_ROWS`` pieces (counted) goes to the tasks
+    A vocabulary of at most ``skew.BROADCAST_BYTES`` (counted) goes to the tasks
     as a set; a larger one is never copied, see ``wordpiece_join``.
     """
     pieces = materialize(vocabulary.select("token").distinct(), "pieces")
-    if pieces.count() > joins.BROADCAST_ROWS:
+    if not skew.fits_broadcast(pieces):
         return wordpiece_join(tokens, pieces, unknown, max_chars)
     known = {row.token for row in pieces.collect()}
     shipped = tokens.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=0)))

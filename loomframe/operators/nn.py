@@ -79,7 +79,8 @@ def mlp_score(
                 h = squash(h)
         return vectors(h)
 
-    return df.withColumn(out, score(F.col(vector)))
+    # a generator over the result would let the optimizer score once more in a filter
+    return df.withColumn(out, score.asNondeterministic()(F.col(vector)))
 
 
 # attention -----------------------------------------------------------------------------

@@ -7,7 +7,7 @@ distributed matrices are block joins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.core.arrow import blocks, matrix, vectors
 from loomframe.core.keyed import keyed_normal, keyed_uniform
+from loomframe.core.session import materialize
 
 
 def to_long(df: DataFrame, row: str, vector: str) -> DataFrame:
@@ -118,17 +119,17 @@ def to_sparse(df: DataFrame, row: str, vector: str, form: str = "coo") -> DataFr
 def to_dense(coo: DataFrame, width: int, out: str = "v") -> DataFrame:
     """(i, j, v) to full rows; a row is an array of ``width``, absent entries 0."""
 
-    @F.pandas_udf("array<double>")
-    def scatter(positions: pd.Series, values: pd.Series) -> pd.Series:
-        rows = []
-        for j, v in zip(positions, values):
-            row = np.zeros(width)
-            row[np.asarray(j, dtype=np.int64)] = v
-            rows.append(row)
-        return pd.Series(rows, dtype=object)
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(1)
+            rows = np.zeros((len(cells), width))
+            flat = cells.flatten()
+            at = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy(zero_copy_only=False)))
+            rows[at, flat.field("j").to_numpy(zero_copy_only=False)] = flat.field("v").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors(rows)], ["i", out])
 
     grouped = coo.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("_c"))
-    return grouped.select("i", scatter(F.col("_c.j"), F.col("_c.v")).alias(out))
+    return grouped.mapInArrow(scatter, f"i {dict(coo.dtypes)['i']}, `{out}` array<double>")
 
 
 def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
@@ -156,50 +157,77 @@ def gram(df: DataFrame, vector: str, other: str | None = None) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+#: Cells of the products that a task holds at a time.
+PRODUCT_CELLS = 1 << 20
+
+
+def inner_splits(left: DataFrame, right: DataFrame, keys: Sequence[str], tasks: int) -> dict[int, int]:
+    """Hash of the inner block to the number of parts its tile pairs are dealt in; blocks of one part are left out.
+
+    A block with more than 1 / ``tasks`` of all tile pairs is split; there are fewer
+    than ``tasks`` of those, and only they come to the driver.
+    """
+    of = lambda m, name: m.groupBy(*keys).agg(F.count("*").alias(name))
+    met = of(left, "_l").join(of(right, "_r"), list(keys)).select(
+        F.xxhash64(*keys).alias("k"), (F.col("_l").cast("double") * F.col("_r")).alias("pairs"), F.greatest("_l", "_r").alias("most")
+    )
+    part = met.agg(F.sum("pairs") / tasks).scalar()
+    parts = F.least(F.ceil(F.col("pairs") / part), F.col("most"), F.lit(tasks)).cast("int")
+    return {r.k: r.n for r in met.filter(F.col("pairs") > part).select("k", parts.alias("n")).collect() if r.n > 1}
+
+
 def mat_mul(a: DataFrame, b: DataFrame, block: int = 64, batch: Sequence[str] = (), sparse: bool = False) -> DataFrame:
     """Product of two long matrices, optionally one per batch key.
 
     Every cell of a row of ``a`` and a column of ``b`` comes out, zeros included;
-    ``sparse`` leaves out the cells whose value is zero.
+    ``sparse`` leaves out the cells whose value is zero. Cells of one position add up
+    only across inner blocks, so (i, j) must not repeat.
 
-    Cells are packed into ``block`` x ``block`` tiles, tiles meet in one join on
-    the inner block index, each pair is one dense product, and products of the
-    same output tile are added up as whole tiles.
+    Cells are packed into ``block`` x ``block`` tiles that meet in one join on the
+    inner block index. An inner block that holds a large share of all tile pairs is
+    dealt in parts: tiles of the side that has more go each to one part, those of the
+    other side to all. Tasks multiply stacks of tile pairs and return cells.
     """
     batch = list(batch)
+    keys = [*batch, "_inner"]
 
-    def tiles(m: DataFrame, row: str, col: str, name: str, outer: str) -> DataFrame:
+    def tiles(m: DataFrame, name: str, inner: str, outer: str, out: str) -> DataFrame:
         cells = F.collect_list(
-            F.struct(F.pmod(F.col(row), F.lit(block)).alias("r"), F.pmod(F.col(col), F.lit(block)).alias("c"), "v")
+            F.struct(F.pmod(F.col("i"), F.lit(block)).alias("r"), F.pmod(F.col("j"), F.lit(block)).alias("c"), "v")
         )
-        keys = [F.floor(F.col(row) / block).alias("_rb"), F.floor(F.col(col) / block).alias("_cb")]
-        inner, out = ("_cb", "_rb") if outer == "row" else ("_rb", "_cb")
-        present = F.collect_set(F.pmod(F.col(row if outer == "row" else col), F.lit(block)).cast("bigint"))
-        packed = m.groupBy(*batch, *keys).agg(cells.alias(name), present.alias(f"_has_{outer}"))
-        return packed.withColumnsRenamed({inner: "_inner", out: f"_{outer}"})
-
-    left = tiles(a, "i", "j", "_a", "row")
-    right = tiles(b, "i", "j", "_b", "col")
-
-    @F.arrow_udf("array<double>")
-    def product(x: pa.Array, y: pa.Array) -> pa.Array:
-        return vectors((blocks(x, block) @ blocks(y, block)).reshape(len(x), block * block))
-
-    joined = left.join(right, [*batch, "_inner"]).select(
-        *batch, "_row", "_col", "_has_row", "_has_col", product("_a", "_b").alias("_p")
-    )
-    cells = joined.select(*batch, "_row", "_col", "_has_row", "_has_col", F.posexplode("_p").alias("_k", "_v")).filter(
-        F.array_contains("_has_row", F.floor(F.col("_k") / block).cast("bigint"))
-        & F.array_contains("_has_col", F.pmod(F.col("_k"), F.lit(block)).cast("bigint"))
-    )
-    out = (
-        cells.groupBy(
-            *batch,
-            (F.col("_row") * block + F.floor(F.col("_k") / block)).alias("i"),
-            (F.col("_col") * block + F.pmod(F.col("_k"), F.lit(block))).alias("j"),
-        )
-        .agg(F.sum("_v").alias("v"))
-    )
+        at = [F.floor(F.col(inner) / block).alias("_inner"), F.floor(F.col(outer) / block).alias(out)]
+        return materialize(m.groupBy(*batch, *at).agg(cells.alias(name)), "tiles")
+
+    left, right = tiles(a, "_a", "j", "i", "_row"), tiles(b, "_b", "i", "j", "_col")
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = inner_splits(left, right, keys, tasks)
+    if splits:
+        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kn in splits.items() for x in kn]), F.xxhash64(*keys)), F.lit(1))
+        dealt = lambda m, out: m.withColumn("_part", F.pmod(F.xxhash64(out), parts))
+        copied = lambda m: m.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+        if left.count() >= right.count():
+            left, right = dealt(left, "_row"), copied(right)
+        else:
+            left, right = copied(left), dealt(right, "_col")
+        keys.append("_part")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PRODUCT_CELLS // (block * block))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
+                x, has_row = blocks(part["_a"], block, "r")
+                y, has_col = blocks(part["_b"], block, "c")
+                which, r, c = np.nonzero(has_row[:, :, None] & has_col[:, None, :])
+                row, col = (part[name].to_numpy()[which] * block for name in ("_row", "_col"))
+                of = pa.array(which)
+                cells = [pa.array(row + r), pa.array(col + c), pa.array((x @ y)[which, r, c])]
+                yield pa.RecordBatch.from_arrays([*(part[k].take(of) for k in batch), *cells], [*batch, "i", "j", "v"])
+
+    kinds = dict(a.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in batch), "i bigint, j bigint, v double"])
+    joined = left.join(right, keys).select(*batch, "_row", "_col", "_a", "_b")
+    out = joined.mapInArrow(products, schema).groupBy(*batch, "i", "j").agg(F.sum("v").alias("v"))
     return out.filter(F.col("v") != 0) if sparse else out
 
 
@@ -212,7 +240,8 @@ def mat_vec(df: DataFrame, vector: str, weights, out: str, bias=None) -> DataFra
     def product(x: pa.Array) -> pa.Array:
         return vectors(matrix(x).reshape(len(x), w.shape[1]) @ w.T + b)
 
-    return df.withColumn(out, product(F.col(vector)))
+    # a generator over the result would let the optimizer run the product once more in a filter
+    return df.withColumn(out, product.asNondeterministic()(F.col(vector)))
 
 
 # creation ---------------------------------------------------------------------------

@@ -176,7 +176,7 @@ def test_lookup_join_salted_equals_broadcast(spark, monkeypatch):
     tokens = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("token"))
     vocab = spark.createDataFrame([("hot", 1), ("5", 2), ("7", 3)], "token string, index long")
     plain = sorted(map(tuple, J.token_lookup(tokens, vocab, 0).select("id", "token", "index").collect()))
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(J.skew, "BROADCAST_BYTES", 1)
     salted = sorted(map(tuple, J.token_lookup(tokens, vocab, 0).select("id", "token", "index").collect()))
     assert plain == salted
 
@@ -218,12 +218,10 @@ def test_unknown_category_is_an_error(spark):
         X.categorical_index_map(df, "c", {"a": 0}, "i").collect()
 
 
-def test_first_seen_index_of_few_and_many_values(spark, monkeypatch):
+def test_first_seen_index(spark):
     df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (4, "a"), (5, "c")], "pos int, c string")
     want = {"c": 0, "b": 1, "a": 2}
     assert {r.c: r["index"] for r in X.first_seen_index(df, "c", ["pos"]).collect()} == want
-    monkeypatch.setattr(X, "FEW_VALUES", 1)
-    assert {r.c: r["index"] for r in X.first_seen_index(df, "c", ["pos"]).collect()} == want
 
 
 def test_feature_and_label_are_needed(spark):
