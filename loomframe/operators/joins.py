@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loomframe.core import skew
 from loomframe.core.arrow import matrix as as_matrix
 from loomframe.core.order import row_index
+from loomframe.core.session import materialize
 
 
 def lookup_join(
@@ -88,54 +89,76 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
-def _cells(low: str, high: str, grid: int) -> Column:
+#: An image of more boxes is cut into grid cells; one of fewer is a single cell, so its boxes move once.
+ONE_CELL = 512
+
+
+def _cells(low: str, high: str, grid: Column) -> Column:
     cell = lambda c: F.floor(F.col(c) * grid).cast("bigint")
     return F.sequence(cell(low), cell(high))
 
 
-def with_cells(df: DataFrame, grid: int) -> DataFrame:
+def with_cells(df: DataFrame, grid: int | Column, corners: Sequence[str] = CORNERS) -> DataFrame:
     """One row per grid cell a box touches (``_cx``, ``_cy``)."""
-    return df.withColumn("_cx", F.explode(_cells("x1", "x2", grid))).withColumn(
-        "_cy", F.explode(_cells("y1", "y2", grid))
-    )
+    x1, y1, x2, y2 = corners
+    grid = F.lit(grid) if isinstance(grid, int) else grid
+    return df.withColumn("_cx", F.explode(_cells(x1, x2, grid))).withColumn("_cy", F.explode(_cells(y1, y2, grid)))
+
+
+def _large_images(anchors: DataFrame, truths: DataFrame, image: list[str], limit: int) -> DataFrame:
+    """Images of more than ``limit`` boxes: at most one for so many rows."""
+    both = anchors.select(*image).unionByName(truths.select(*image))
+    counted = both.groupBy(*image).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    return materialize(counted.select(*image, F.lit(1).alias("_large")), "large-images")
 
 
 def iou_join(
-    anchors: DataFrame, truths: DataFrame, image: Sequence[str], threshold: float = 0.0, grid: int = 8
+    anchors: DataFrame, truths: DataFrame, image: Sequence[str], threshold: float = 0.0, grid: int = 8, one_cell: int = ONE_CELL
 ) -> DataFrame:
     """Pairs of overlapping boxes of one image with ``iou`` > threshold.
 
-    The pairs of an image are never enumerated: boxes meet only in the grid
-    cells they touch, a pair is counted in the cell of its intersection's lower
-    corner, and a positive threshold also needs areas within a factor of 1 / t.
-    Columns of ``truths`` other than the keys come back with the prefix ``t_``.
+    The pairs of an image of more than ``one_cell`` boxes are never enumerated:
+    its boxes meet only in the grid cells they touch, a pair is counted in the cell of
+    its intersection's lower corner, and a positive threshold also needs areas within a
+    factor of 1 / t. A smaller image is one cell, and none of its boxes is copied.
+    The copies are shuffled and sorted, never broadcast: a plan knows the size of
+    the boxes, not that of their copies. Columns of ``truths`` other than the keys
+    come back with the prefix ``t_``.
     """
     image = list(image)
     right = truths.select(*image, *[F.col(c).alias(f"t_{c}") for c in truths.columns if c not in image])
-    left = with_cells(anchors, grid)
-    cells = lambda lo, hi: F.sequence(
-        F.floor(F.col(lo) * grid).cast("bigint"), F.floor(F.col(hi) * grid).cast("bigint")
-    )
-    right = right.withColumn("_cx", F.explode(cells("t_x1", "t_x2"))).withColumn(
-        "_cy", F.explode(cells("t_y1", "t_y2"))
-    )
+    large = _large_images(anchors, truths, image, one_cell)
+    if large.isEmpty():
+        left, cells_a_side = anchors.withColumn("_large", F.lit(None).cast("int")), F.lit(0)
+        right = right.withColumn("_large", F.lit(None).cast("int"))
+    else:
+        if skew.fits_broadcast(large):
+            large = F.broadcast(large)
+        left, right = anchors.join(large, image, "left"), right.join(large, image, "left")
+        cells_a_side = F.when(F.col("_large").isNotNull(), grid).otherwise(0)
+    left = with_cells(left, cells_a_side)
+    right = with_cells(right, cells_a_side, [f"t_{c}" for c in CORNERS])
     keys = [*image, "_cx", "_cy"]
     if threshold > 0:
         def band(x1, y1, x2, y2):
             area = (F.col(x2) - F.col(x1)) * (F.col(y2) - F.col(y1))
             return F.floor(F.log(area) / F.lit(float(np.log(1.0 / threshold)))).cast("bigint")
 
-        left = left.withColumn("_band", band("x1", "y1", "x2", "y2"))
+        # a box without an area has no band and no pairs
+        left = left.withColumn("_band", band("x1", "y1", "x2", "y2")).filter("_band is not null")
         near = band("t_x1", "t_y1", "t_x2", "t_y2")
-        right = right.withColumn("_band", F.explode(F.sequence(near - 1, near + 1)))
+        bands = F.when(F.col("_large").isNotNull(), F.sequence(near - 1, near + 1)).otherwise(F.array(near * 0))
+        left = left.withColumn("_band", F.when(F.col("_large").isNotNull(), F.col("_band")).otherwise(0))
+        right = right.filter(near.isNotNull()).withColumn("_band", F.explode(bands))
         keys.append("_band")
     a = {c: F.col(c) for c in CORNERS}
     b = {c: F.col(f"t_{c}") for c in CORNERS}
-    home_x = F.floor(F.greatest(a["x1"], b["x1"]) * grid)
-    home_y = F.floor(F.greatest(a["y1"], b["y1"]) * grid)
-    pairs = left.join(right, keys).filter((F.col("_cx") == home_x) & (F.col("_cy") == home_y))
+    side = F.when(F.col("_large").isNotNull(), grid).otherwise(0)
+    home_x = F.floor(F.greatest(a["x1"], b["x1"]) * side)
+    home_y = F.floor(F.greatest(a["y1"], b["y1"]) * side)
+    pairs = left.join(right.drop("_large").hint("merge"), keys).filter((F.col("_cx") == home_x) & (F.col("_cy") == home_y))
     return pairs.withColumn("iou", iou(a, b)).filter(F.col("iou") > threshold).drop(
-        *[k for k in keys if k not in image]
+        "_large", *[k for k in keys if k not in image]
     )
 
 
