@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import tempfile
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -226,6 +229,55 @@ def assemble_instances(
     )
 
 
+def subword_seeds(words: Iterable[tuple[str, int]], longest: int = 16) -> list[tuple[str, int]]:
+    """``(piece, count)``: the parts of two to ``longest`` characters that more than one character, or end, follows, by falling count.
+
+    The end of the last word counts as one of its own, as the trainer has it.
+
+    The trainer finds the same parts itself, from a text with each word written
+    as often as it occurs: its memory then grows with the corpus. Given the parts, it
+    works on the words and their counts alone.
+    """
+    counts: Counter[str] = Counter()
+    followed: dict[str, set[str]] = defaultdict(set)
+    last = ""
+    for last, n in words:
+        for a in range(len(last)):
+            for b in range(a + 2, min(len(last), a + longest) + 1):
+                counts[last[a:b]] += n
+                followed[last[a:b]].add(last[b : b + 1])
+    for a in range(max(len(last) - longest, 0), len(last) - 1):
+        followed[last[a:]].add("end")
+    return sorted(((p, n) for p, n in counts.items() if len(followed[p]) > 1), key=lambda x: (-x[1], x[0]))
+
+
+def train_subwords(words: Sequence[tuple[str, int]], vocab_size: int) -> bytes:
+    """A sentence-piece model of ``(word, count)``; memory by the words, whatever their counts."""
+    import io
+
+    import sentencepiece as spm
+
+    model = io.BytesIO()
+    normalizer = spm.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    marked = [("▁" + part, n) for word, n in words for part in normalizer.normalize(word).split()]
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "seeds.tsv")
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(f"{piece}\t{n}\n" for piece, n in subword_seeds(marked))
+        given = {"seed_sentencepieces_file": path} if os.path.getsize(path) else {}
+        spm.SentencePieceTrainer.train(
+            sentence_iterator=iter(f"{word}\t{n}" for word, n in words),
+            model_writer=model,
+            input_format="tsv",
+            vocab_size=vocab_size,
+            hard_vocab_limit=False,
+            num_threads=1,
+            minloglevel=2,
+            **given,
+        )
+    return model.getvalue()
+
+
 def subword_tokenize(df: DataFrame, text: str, model: bytes, out: str = "pieces") -> DataFrame:
     """Sentence-piece encoding with a given model, loaded once per task."""
     shipped = df.sparkSession.sparkContext.broadcast(model)

@@ -428,24 +428,11 @@ def _review(t: Tables):
 @query("subword_tokenize")
 def _subword(t: Tables):
     """Sentence pieces with a model made from the 2,000 most frequent words."""
-    import io
-
-    import sentencepiece as spm
-
     counts = R.token_frequency(token_rows(t).select("token"))
     # at most 2,000 (word, count) rows reach the driver
     top = counts.orderBy(F.desc("n"), "token").limit(2000).collect()
-    model = io.BytesIO()
-    spm.SentencePieceTrainer.train(
-        sentence_iterator=iter(f"{row.token}\t{row.n}" for row in top),
-        model_writer=model,
-        input_format="tsv",
-        vocab_size=600,
-        hard_vocab_limit=False,
-        num_threads=1,
-        minloglevel=2,
-    )
-    out = L.subword_tokenize(t.documents.select("doc_id", "text"), "text", model.getvalue())
+    model = L.train_subwords([(row.token, row.n) for row in top], 600)
+    out = L.subword_tokenize(t.documents.select("doc_id", "text"), "text", model)
     return out.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n"), F.length(L.subword_decode(F.col("pieces"))).cast("bigint").alias("chars")
     )

@@ -1,12 +1,16 @@
 """Operators that must not grow faster than their input: plans, bounds and equal results of their paths."""
 
+import io
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import detection as D, joins as J
+from loomframe.operators import detection as D, joins as J, language as L
 
 BOX = "image int, box_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -56,3 +60,33 @@ def test_box_without_an_area_overlaps_nothing(spark):
         for threshold in (0.0, 0.2):
             got = J.iou_join(df, df, ["image"], threshold, one_cell=one_cell).collect()
             assert [(r.box_id, r.t_box_id) for r in got] == [(1, 1)]
+
+
+_TRAIN = """
+import resource, sys
+sys.path.insert(0, {repo!r})
+from loomframe.operators import language as L
+words = [(a + b, 2_000_000 // (i + 1)) for i, (a, b) in enumerate((a, b) for a in ("run", "walk", "jump", "talk") for b in ("", "s", "ing", "ed", "er", "ers"))]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+model = L.train_subwords(words, 40)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, len(model))
+"""
+
+
+def test_subword_training_does_not_grow_with_the_counts():
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", _TRAIN.format(repo=repo)], capture_output=True, text=True, check=True, timeout=120).stdout
+    grown, size = map(int, out.split()[-2:])
+    # the trainer's own search for parts took 120 bytes for each occurrence: 900 MB here
+    assert grown < 200 << 10 and size > 0
+
+
+def test_subword_model_is_the_one_of_the_trainers_own_parts():
+    spm = pytest.importorskip("sentencepiece")
+    words = [(a + b, 60 // (i + 1) + 1) for i, (a, b) in enumerate((a, b) for b in ("", "s", "ing", "ed", "er", "ers") for a in ("run", "walk", "jump", "talk"))]
+    model = io.BytesIO()
+    spm.SentencePieceTrainer.train(
+        sentence_iterator=iter(f"{w}\t{n}" for w, n in words), model_writer=model, input_format="tsv", vocab_size=40, hard_vocab_limit=False, num_threads=1, minloglevel=2
+    )
+    pieces = lambda m: (lambda p: {p.id_to_piece(i) for i in range(len(p))})(spm.SentencePieceProcessor(model_proto=m))
+    assert pieces(L.train_subwords(words, 40)) == pieces(model.getvalue())
