@@ -1,6 +1,6 @@
-"""Near duplicates among embeddings by passes of random projections.
+"""Near duplicates among embeddings: all pairs in blocks, or passes of random projections.
 
-A pass gives each vector a code, the signs of ``prefix`` random projections, and
+All pairs are compared in blocks, unless a caller asks for passes. A pass gives each vector a code, the signs of ``prefix`` random projections, and
 compares all vectors of one code with each other, in blocks. Whether two vectors
 share a code depends on the angle between them alone, not on what lies around
 them, so a number of independent passes, taken from ``prefix``, brings each pair
@@ -28,7 +28,7 @@ from loomframe.llm.components import components
 #: Longest code.
 BITS = 40
 #: Rows of a block: at most the last, fewer where a table would fill less than ``SPREAD`` of them.
-LEAST_ROWS, GROUP_ROWS, SPREAD = 64, 4096, 16
+LEAST_ROWS, GROUP_ROWS, SPREAD = 64, 8192, 16
 #: Pairs that can be compared while a row is dealt out once.
 ROW_COST = 2000
 SAMPLE_ROWS, PROBES, PROBE_FROM = 100_000, 4, 1 << 20
@@ -203,7 +203,7 @@ def _usable(column: str) -> Column:
 
 
 def near_duplicates(
-    rows: DataFrame, id_col: str, vec_col: str, at_least: float = 0.9, recall: float = 0.99, prefix: int | None = None, seed: int = 11
+    rows: DataFrame, id_col: str, vec_col: str, at_least: float = 0.9, recall: float = 0.99, prefix: int | None = 0, seed: int = 11
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)``: one row per row.
 
@@ -215,8 +215,9 @@ def near_duplicates(
     compared once and count as often as they occur; repeated rows (same id and
     vector) count once and give equal rows. A row without an id links with nothing
     and has a null component; an id with several vectors joins what each links to.
-    A link is found with probability ``recall`` or more; ``prefix`` sets the length
-    of the codes, 0 finds every link.
+    All pairs of vectors are compared, in blocks, whatever their number, so every link
+    is found. A ``prefix`` above 0 sets the length of the codes instead, and None
+    the one of least work: then a link is found with probability ``recall`` or more.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
@@ -236,7 +237,7 @@ def near_duplicates(
     total = classes.count()
     block_rows = min(GROUP_ROWS, max(LEAST_ROWS, math.ceil(total / SPREAD)))
     if prefix is None:
-        prefix = 0 if total <= GROUP_ROWS else cheapest_prefix(total, _sharing(vectors, total, seed), at_least, recall)
+        prefix = cheapest_prefix(total, _sharing(vectors, total, seed), at_least, recall)
     number = passes_for(prefix, at_least, recall)
     if number is None:
         raise ValueError(f"vectors at cosine {at_least} do not share codes of {prefix} signs")

@@ -7,10 +7,12 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import detection as D, joins as J, language as L
+from loomframe.llm import embedding_dedup
+from loomframe.operators import detection as D, joins as J, language as L, text_classify as TC
 
 BOX = "image int, box_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -90,3 +92,36 @@ def test_subword_model_is_the_one_of_the_trainers_own_parts():
     )
     pieces = lambda m: (lambda p: {p.id_to_piece(i) for i in range(len(p))})(spm.SentencePieceProcessor(model_proto=m))
     assert pieces(L.train_subwords(words, 40)) == pieces(model.getvalue())
+
+
+def test_text_rows_are_spread_a_slice_at_a_time():
+    column = pa.array([[1] * 5, [], [2, 3], [4] * 9, [5]], pa.list_(pa.int32())).slice(1)
+    assert list(TC._slices(column, 4)) == [(0, 2), (2, 3), (3, 4)]
+    assert [TC._sparse(column.slice(a, b - a), None)[1].tolist() for a, b in TC._slices(column, 4)] == [[2, 3], [4] * 9, [5]]
+
+
+def test_text_model_does_not_depend_on_the_slices(spark, monkeypatch):
+    rows = [(i, [f"w{(i * 7 + j) % 23}" for j in range(1 + i % 6)], "a" if i % 3 else "b") for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>, label string").coalesce(1)
+    options = TC.Options(epochs=3, learning_rate=5.0, word_ngrams=2, buckets=256)
+    got = []
+    for limit in (1 << 18, 3):
+        monkeypatch.setattr(TC, "SLICE_FEATURES", limit)
+        model = TC.fit(df, F.col("tokens"), F.col("label"), options)
+        top = {r.k: r.classes[0].prob for r in model.predict(df, F.col("tokens")).collect()}
+        got.append(([h["loss"] for h in model.history], [top[k] for k in sorted(top)]))
+    assert got[0][0] == pytest.approx(got[1][0]) and got[0][1] == pytest.approx(got[1][1])
+
+
+def test_all_links_are_found_whatever_the_number_of_rows(spark, monkeypatch):
+    # beyond GROUP_ROWS rows links were found with a probability only
+    monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", 128)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((300, 16))
+    x = np.concatenate([centres, centres + 0.45 * rng.standard_normal((300, 16))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, "id", "v").collect()}
+    assert near.sum() > 200 and got == dict(enumerate(near.sum(axis=1).tolist()))
