@@ -28,6 +28,8 @@ from loomframe.operators.topk import topk
 
 #: A model is broadcast at each step; a larger one needs fewer buckets.
 MAX_MODEL_BYTES = 256 << 20
+#: Features that a task spreads into arrays of their own at a time; a longer single row is one slice.
+SLICE_FEATURES = 1 << 18
 LOSSES = ("softmax", "ova", "hs")
 
 
@@ -188,6 +190,17 @@ def _sparse(column: pa.Array, kept: np.ndarray | None) -> tuple[np.ndarray, np.n
     return row, bucket, 1.0 / np.maximum(size, 1)[row]
 
 
+def _slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of a list column that hold about ``limit`` features; at least one row each."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    start, limit = 0, limit or SLICE_FEATURES
+    while start < len(column):
+        stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
+        stop = min(max(stop, start + 1), len(column))
+        yield start, stop
+        start = stop
+
+
 def _scores(sparse, weights: np.ndarray, n: int) -> np.ndarray:
     row, bucket, value = sparse
     return np.stack([np.bincount(row, weights[bucket, k] * value, n) for k in range(weights.shape[1])], axis=1) if weights.shape[1] else np.zeros((n, 0))
@@ -214,8 +227,9 @@ class TextModel:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, kept, loss, tree = held.value
             for batch in batches:
-                n = batch.num_rows
-                p = np.exp(log_probabilities(_scores(_sparse(batch.column("_x"), kept), weights, n), loss, tree))
+                n, x = batch.num_rows, batch.column("_x")
+                scores = [_scores(_sparse(x.slice(a, b - a), kept), weights, b - a) for a, b in _slices(x)]
+                p = np.exp(log_probabilities(np.concatenate([np.zeros((0, weights.shape[1])), *scores]), loss, tree))
                 made = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
                 rest = [c for c in batch.schema.names if c != "_x"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], made], [*rest, out])
@@ -261,17 +275,19 @@ def _gradient(rows: DataFrame, weights: np.ndarray, kept, loss: str, tree) -> tu
         w, kept, loss, tree = held.value
         n, total = 0, 0.0
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            sparse = _sparse(batch.column("x"), kept)
-            each, error = losses_and_errors(_scores(sparse, w, len(y)), y, loss, tree)
-            n, total = n + len(y), total + float(each.sum())
-            if not w.shape[1]:
-                continue
-            row, bucket, value = sparse
-            used, at = np.unique(bucket, return_inverse=True)
-            sums = np.stack([np.bincount(at, error[row, k] * value, len(used)) for k in range(w.shape[1])], axis=1)
-            i, k = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(used[i].astype(np.int64) * w.shape[1] + k), pa.array(sums[i, k])], ["cell", "v"])
+            whole, labels = batch.column("x"), batch.column("y").to_numpy(zero_copy_only=False)
+            for a, b in _slices(whole):
+                y = labels[a:b]
+                sparse = _sparse(whole.slice(a, b - a), kept)
+                each, error = losses_and_errors(_scores(sparse, w, len(y)), y, loss, tree)
+                n, total = n + len(y), total + float(each.sum())
+                if not w.shape[1]:
+                    continue
+                row, bucket, value = sparse
+                used, at = np.unique(bucket, return_inverse=True)
+                sums = np.stack([np.bincount(at, error[row, k] * value, len(used)) for k in range(w.shape[1])], axis=1)
+                i, k = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(used[i].astype(np.int64) * w.shape[1] + k), pa.array(sums[i, k])], ["cell", "v"])
         # the number of rows and their loss, as two more cells
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1], pa.int64()), pa.array([float(n), total])], ["cell", "v"])
 
