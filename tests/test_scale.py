@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from loomframe.llm import embedding_dedup
 from loomframe.operators import detection as D, joins as J, language as L, text_classify as TC
+from loomframe.plans.catalog import text
+from loomframe.plans.registry import Tables
 
 BOX = "image int, box_id int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -125,3 +127,29 @@ def test_all_links_are_found_whatever_the_number_of_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, "id", "v").collect()}
     assert near.sum() > 200 and got == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_matrices_are_those_of_a_lookup_of_every_id(spark, monkeypatch):
+    # ids without a vector, with several, a null id and a null key among them
+    ids = [(d, p, None if (d, p) == (2, 1) else ((d or 0) * 3 + p * p) % 9) for d in (0, 1, 2, None) for p in range(1 + 5 * (d or 0))] + [(1, 2, 0)]
+    rows = spark.createDataFrame(ids, "doc long, pos int, k long")
+    vectors = [(k, [float(k), 1.0]) for k in range(7)] + [(4, [2.0, None]), (5, None), (None, [9.0, 9.0])]
+    table = spark.createDataFrame(vectors, "k long, v array<double>")
+    want = {r.doc: r.m for r in J.recollect(J.embedding_lookup(rows, table, "k", "v"), ["doc"], "v", "m").collect()}
+    placed = rows.select("doc", "pos", F.struct("pos", "k").alias("id"))
+    for block in (100_000, 4):
+        monkeypatch.setattr(J, "BLOCK_IDS", block)
+        made = J.embedding_matrices(J.recollect(placed, ["doc"], "id", "ids"), table, "ids", "k", "v")
+        assert {r.doc: r.matrix for r in made.collect()} == want
+    assert J.embedding_matrices(J.recollect(placed.limit(0), ["doc"], "id", "ids"), table, "ids", "k", "v").count() == 0
+
+
+def test_regrouping_by_document_moves_texts_and_not_tokens(spark, tmp_path):
+    rows = [(i % 90, f"some words of text {i}", "x") for i in range(180)]
+    # more pieces than there are cores: these were left where they lay, and their tokens moved
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tables(spark, str(tmp_path))
+    lists = J.recollect(text.document_rows(t), ["doc_id"], "token", "tokens")
+    plan = _plan(lists)
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
+    assert {r.doc_id: len(r.tokens) for r in lists.collect()} == {i: 10 for i in range(90)}
