@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.core.order import row_index
@@ -27,6 +28,8 @@ from loomframe.core.session import materialize
 MAX_SAMPLER_BYTES = 512 << 20
 #: Pairs that are scored against the same state of the vectors, at most; a block of few words takes fewer.
 STEP = 512
+#: Blocks that a task takes up together, with one copy of the vectors of all their words, while those of the whole vocabulary stay within the bytes.
+BUNDLE, BUNDLE_BYTES = 32, 64 << 20
 MODES = ("skipgram", "cbow")
 
 
@@ -206,7 +209,9 @@ def fit(df: DataFrame, tokens: Column, key: Sequence[str], options: Options = Op
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((stays, alias_table(counts**o.power)))
     blocks = max(1, -(-int(total) // o.block_tokens))
-    dealt = materialize(sentences(df, tokens, key, words, o, blocks), "sentences")
+    together = max(1, min(BUNDLE, blocks // (2 * spark.sparkContext.defaultParallelism))) if size * d * 16 <= BUNDLE_BYTES else 1
+    bundle = F.floor(F.col("block") / together).cast("int").alias("bundle")
+    dealt = materialize(sentences(df, tokens, key, words, o, blocks).select(bundle, "*"), "sentences")
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,32 +229,46 @@ def fit(df: DataFrame, tokens: Column, key: Sequence[str], options: Options = Op
     def round_of(epoch: int, rate: float):
         """The two functions of a round: which words a block touches, and how it changes them."""
 
+        def plans(table: pa.Table):
+            """Block by block what its sentences use, and the words it touches."""
+            for block in sorted(pc.unique(table.column("block")).to_pylist()):
+                plan = planned(table.filter(pc.equal(table.column("block"), block)), block, epoch)
+                yield block, plan, np.unique(np.concatenate((plan[0], plan[3].ravel())))
+
         def touched(table: pa.Table) -> pa.Table:
-            block = table.column("block")[0].as_py()
-            kept, _, _, against = planned(table, block, epoch)
-            ids = np.unique(np.concatenate((kept, against.ravel())))
-            return pa.table({"block": pa.array(np.full(len(ids), block), pa.int32()), "id": pa.array(ids, pa.int64())})
+            ids = np.zeros(0, np.int64)
+            for _, _, used in plans(table):
+                ids = np.union1d(ids, used)
+            return pa.table({"bundle": pa.array(np.full(len(ids), table.column("bundle")[0].as_py()), pa.int32()), "id": pa.array(ids, pa.int64())})
 
         def trained(table: pa.Table, current: pa.Table) -> pa.Table:
             none = pa.table({"id": pa.array([], pa.int64()), "uses": pa.array([], pa.float64()), "vin": pa.array([], pa.list_(pa.float64())), "vout": pa.array([], pa.list_(pa.float64()))})
             if not len(table) or not len(current):
                 return none
-            block = table.column("block")[0].as_py()
-            kept, centre, other, against = planned(table, block, epoch)
             current = current.sort_by("id")
-            ids = current.column("id").to_numpy()
-            vin, vout = _rows(current.column("vin"), d), _rows(current.column("vout"), d)
-            new_in, new_out = _train(kept, centre, other, against, ids, vin, vout, o, rate, [o.seed, epoch, block, 1])
-            uses = np.bincount(np.searchsorted(ids, kept), minlength=len(ids)) + 1e-3
-            return pa.table({"id": ids, "uses": uses, "vin": _lists(new_in - vin), "vout": _lists(new_out - vout)})
+            every = current.column("id").to_numpy()
+            all_in, all_out = _rows(current.column("vin"), d), _rows(current.column("vout"), d)
+            total, moved_in, moved_out = np.zeros(len(every)), np.zeros_like(all_in), np.zeros_like(all_out)
+            for block, (kept, centre, other, against), ids in plans(table):
+                at = np.searchsorted(every, ids)
+                # each block starts from the round's vectors, as if it were alone
+                vin, vout = all_in[at], all_out[at]
+                new_in, new_out = _train(kept, centre, other, against, ids, vin, vout, o, rate, [o.seed, epoch, block, 1])
+                uses = np.bincount(np.searchsorted(ids, kept), minlength=len(ids)) + 1e-3
+                total[at] += uses
+                # the mean of the blocks' changes, weighted by their uses
+                share = (uses / total[at])[:, None]
+                moved_in[at] += (new_in - vin - moved_in[at]) * share
+                moved_out[at] += (new_out - vout - moved_out[at]) * share
+            return pa.table({"id": every, "uses": total, "vin": _lists(moved_in), "vout": _lists(moved_out)})
 
         return touched, trained
 
     for epoch in range(o.epochs):
         touched, trained = round_of(epoch, o.learning_rate * (1.0 - epoch / o.epochs))
-        routes = dealt.groupBy("block").applyInArrow(touched, "block int, id long")
-        current = routes.join(vectors, "id").select("block", "id", "vin", "vout")
-        changes = dealt.groupBy("block").cogroup(current.groupBy("block")).applyInArrow(trained, "id long, uses double, vin array<double>, vout array<double>")
+        routes = dealt.groupBy("bundle").applyInArrow(touched, "bundle int, id long")
+        current = routes.join(vectors, "id").select("bundle", "id", "vin", "vout")
+        changes = dealt.groupBy("bundle").cogroup(current.groupBy("bundle")).applyInArrow(trained, "id long, uses double, vin array<double>, vout array<double>")
         vectors = materialize(_moved(vectors, changes, d), "vectors")
     return words.join(vectors, "id").select("word", "n", F.col("vin").alias("vector"))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.llm import embedding_dedup
-from loomframe.operators import detection as D, joins as J, language as L, text_classify as TC
+from loomframe.operators import detection as D, joins as J, language as L, text_classify as TC, word_vectors as WV
 from loomframe.plans.catalog import text
 from loomframe.plans.registry import Tables
 
@@ -153,3 +153,18 @@ def test_regrouping_by_document_moves_texts_and_not_tokens(spark, tmp_path):
     plan = _plan(lists)
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") > plan.index("Generate")
     assert {r.doc_id: len(r.tokens) for r in lists.collect()} == {i: 10 for i in range(90)}
+
+
+@pytest.mark.parametrize("mode", WV.MODES)
+def test_word_vectors_do_not_depend_on_the_bundles(spark, monkeypatch, mode):
+    rng = random.Random(2)
+    rows = [(i, [f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(30)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    options = WV.Options(mode=mode, dimensions=4, epochs=2, min_count=2, block_tokens=120, seed=3)
+    got = []
+    for bundle in (1, 32):
+        monkeypatch.setattr(WV, "BUNDLE", bundle)
+        got.append({r.word: r.vector for r in WV.fit(df, F.col("tokens"), ["k"], options).collect()})
+    assert got[0].keys() == got[1].keys()
+    for word, vector in got[0].items():
+        assert vector == pytest.approx(got[1][word], rel=1e-9, abs=1e-12)
