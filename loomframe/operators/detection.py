@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomframe.core.session import materialize
 from loomframe.functions.vectors import argmax
@@ -14,6 +14,7 @@ from loomframe.operators.joins import CORNERS, iou, iou_join, with_cells
 from loomframe.operators.topk import topk_rows
 
 LOCAL_BOXES = 20_000  # a group up to this size is suppressed inside one task
+TASK_BOXES = 1 << 16  # boxes whose copies, one a cell, a task sorts in memory
 
 
 def threshold_filter(df: DataFrame, threshold: float, width: Column, height: Column, cls: str = "class", score: str = "score") -> DataFrame:
@@ -76,7 +77,7 @@ def nms(
     small = df.join(large_groups, group, "left_anti")
     large = df.join(large_groups, group, "left_semi")
     kept = _nms_local(small.select(*df.columns), group, box_id, score, threshold)
-    return kept.unionByName(nms_rounds(large.select(*df.columns), group, box_id, score, threshold, grid))
+    return kept.unionByName(nms_rounds(large.select(*df.columns), group, box_id, score, threshold, grid, local_boxes))
 
 
 def _nms_local(df: DataFrame, group: list[str], box_id: str, score: str, threshold: float) -> DataFrame:
@@ -125,41 +126,90 @@ def _greedy(pdf: pd.DataFrame, starts: np.ndarray, threshold: float) -> pd.DataF
     return pdf[alive]
 
 
-def nms_rounds(df: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, grid: int = 16) -> DataFrame:
+def nms_rounds(
+    df: DataFrame, group: Sequence[str], box_id: str, score: str, threshold: float, grid: int = 16, one_task: int = LOCAL_BOXES
+) -> DataFrame:
     """The same greedy result by rounds over grid cells.
 
     A box that leads every cell it touches overlaps no better open box, so greedy
     keeps it; the boxes it suppresses share a cell with it. A round keeps all
     such leaders and drops what they suppress. Cells have one leader each, so
-    the joins are linear in the open boxes.
+    a round is linear in the open boxes.
+
+    The cells of a group of at most ``one_task`` boxes lie in one task: a box moves
+    once a round and its copies never do. Those of a larger group are dealt over all tasks.
+    A box without a group, an id or corners is in no result.
     """
     group = list(group)
-    columns = df.columns
-    rest, kept = df, None
-    while True:
-        rest = materialize(rest, "nms-open")
-        if rest.isEmpty():
-            return kept if kept is not None else df.limit(0)
-        cells = with_cells(rest, grid)
-        order = F.struct((-F.col(score)).alias("s"), F.col(box_id).alias("id"))
-        leaders = cells.groupBy(*group, "_cx", "_cy").agg(F.min(order).alias("_lead"))
-        led = cells.join(leaders, [*group, "_cx", "_cy"]).withColumn("_is", F.col("_lead.id") == F.col(box_id))
-        winners = (
-            led.groupBy(*group, box_id).agg(F.bool_and("_is").alias("_all")).filter("_all").select(*group, box_id)
-        )
-        fresh = materialize(rest.join(winners, [*group, box_id]).select(*columns), "nms-kept")
-        kept = fresh if kept is None else kept.unionByName(fresh)
-        lead = with_cells(fresh, grid).select(
-            *group, "_cx", "_cy", F.col(box_id).alias("_w"), *[F.col(c).alias(f"_{c}") for c in CORNERS]
-        )
-        overlap = iou({c: F.col(c) for c in CORNERS}, {c: F.col(f"_{c}") for c in CORNERS})
-        dropped = (
-            cells.join(lead, [*group, "_cx", "_cy"])
-            .filter(((overlap > 0) & (overlap >= threshold)) | (F.col("_w") == F.col(box_id)))
-            .select(*group, box_id)
-            .distinct()
-        )
-        rest = rest.join(dropped, [*group, box_id], "left_anti").select(*columns)
+    named = df.filter(" and ".join(f"`{c}` is not null" for c in [*group, box_id]))
+    sizes = named.groupBy(*group).agg(F.count("*").alias("_n"))
+    above = F.col("_n") > one_task
+    total, dealt = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("_n"))), F.lit(0))).first()
+    terms = (group, box_id, score, threshold, grid)
+    if not dealt:
+        return _rounds(named, total, _round_in_groups, *terms)
+    # sizes are counted, so the joins know how large their side is
+    large = materialize(sizes.filter(above).select(*group), "nms-large")
+    small = named.join(large, group, "left_anti").select(*df.columns)
+    boxes = materialize(named.join(large, group, "left_semi").select(*df.columns), "nms-open")
+    return _rounds(small, total - dealt, _round_in_groups, *terms).unionByName(_rounds(boxes, dealt, _round_in_cells, *terms))
+
+
+def _rounds(df: DataFrame, boxes: int, one_round, *terms) -> DataFrame:
+    rest, kept = df, df.limit(0)
+    while boxes:
+        fresh, rest = one_round(rest, boxes, *terms)
+        kept = kept.unionByName(fresh)
+        boxes = rest.count()
+    return kept
+
+
+def _round_in_groups(
+    rest: DataFrame, boxes: int, group: list[str], box_id: str, score: str, threshold: float, grid: int
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, still open), written as one table; every step after the move by group stays in its task."""
+    columns = rest.columns
+    cores = rest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-boxes // TASK_BOXES), min(cores, boxes))
+    cell, box = Window.partitionBy(*group, "_cx", "_cy"), Window.partitionBy(*group, box_id)
+    order = F.struct((-F.col(score)).alias("s"), F.col(box_id).alias("id"), *CORNERS)
+    led = with_cells(rest.repartition(tasks, *group), grid).withColumn("_lead", F.min(order).over(cell))
+    overlap = iou({c: F.col(c) for c in CORNERS}, {c: F.col(f"_lead.{c}") for c in CORNERS})
+    hit = F.coalesce((overlap > 0) & (overlap >= threshold), F.lit(False))
+    marked = led.select(*columns, "_cx", "_cy", (F.col("_lead.id") == F.col(box_id)).alias("_is"), hit.alias("_hit"))
+    won = marked.withColumn("_kept", F.bool_and("_is").over(box)).withColumn("_won", F.bool_or(F.col("_is") & F.col("_kept")).over(cell))
+    decided = won.withColumn("_out", F.bool_or(F.col("_hit") & F.col("_won")).over(box))
+    first = (F.col("_cx") == F.floor(F.col("x1") * grid)) & (F.col("_cy") == F.floor(F.col("y1") * grid))
+    left = decided.filter(first & (F.col("_kept") | ~F.col("_out"))).select(*columns, "_kept")
+    written = materialize(left, "nms-round")
+    return written.filter("_kept").select(*columns), written.filter("not _kept").select(*columns)
+
+
+def _round_in_cells(
+    rest: DataFrame, boxes: int, group: list[str], box_id: str, score: str, threshold: float, grid: int
+) -> tuple[DataFrame, DataFrame]:
+    """The same for groups that no task could hold: the cells of a group meet wherever their keys send them."""
+    columns = rest.columns
+    cells = with_cells(rest, grid)
+    order = F.struct((-F.col(score)).alias("s"), F.col(box_id).alias("id"))
+    leaders = cells.groupBy(*group, "_cx", "_cy").agg(F.min(order).alias("_lead"))
+    led = cells.join(leaders, [*group, "_cx", "_cy"]).withColumn("_is", F.col("_lead.id") == F.col(box_id))
+    winners = (
+        led.groupBy(*group, box_id).agg(F.bool_and("_is").alias("_all")).filter("_all").select(*group, box_id)
+    )
+    fresh = materialize(rest.join(winners, [*group, box_id]).select(*columns), "nms-kept")
+    lead = with_cells(fresh, grid).select(
+        *group, "_cx", "_cy", F.col(box_id).alias("_w"), *[F.col(c).alias(f"_{c}") for c in CORNERS]
+    )
+    overlap = iou({c: F.col(c) for c in CORNERS}, {c: F.col(f"_{c}") for c in CORNERS})
+    dropped = (
+        cells.join(lead, [*group, "_cx", "_cy"])
+        .filter(((overlap > 0) & (overlap >= threshold)) | (F.col("_w") == F.col(box_id)))
+        .select(*group, box_id)
+        .distinct()
+    )
+    left = rest.filter(" and ".join(f"`{c}` is not null" for c in CORNERS)).join(dropped, [*group, box_id], "left_anti")
+    return fresh, materialize(left.select(*columns), "nms-open")
 
 
 def nms_topk(df: DataFrame, image: Sequence[str], score: str, box_id: str, k: int) -> DataFrame:

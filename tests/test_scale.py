@@ -168,3 +168,31 @@ def test_word_vectors_do_not_depend_on_the_bundles(spark, monkeypatch, mode):
     assert got[0].keys() == got[1].keys()
     for word, vector in got[0].items():
         assert vector == pytest.approx(got[1][word], rel=1e-9, abs=1e-12)
+
+
+def _kept(rows, threshold):
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        if all(k[0] != r[0] or _iou(r, k) < threshold for k in kept):
+            kept.append(r)
+    return sorted((r[0], r[1]) for r in kept)
+
+
+@pytest.mark.parametrize("one_task", [28, 1000])
+def test_suppression_rounds_in_one_task_and_in_many(spark, one_task):
+    rows = _boxes(90, 3)
+    # the same box twice, and one of no image
+    df = spark.createDataFrame([*rows, rows[0], (None, 999, 0.5, 0.1, 0.1, 0.2, 0.2)], BOX)
+    want = _kept(rows, 0.3)
+    twice = want.count((rows[0][0], rows[0][1])) * [(rows[0][0], rows[0][1])]
+    got = [(r.image, r.box_id) for r in D.nms_rounds(df, ["image"], "box_id", "score", 0.3, 8, one_task).collect()]
+    assert sorted(got) == sorted(want + twice)
+
+
+def test_suppression_round_moves_no_copies_of_boxes(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(D, "materialize", lambda df, label: plans.append(_plan(df)) or df.localCheckpoint())
+    df = spark.createDataFrame(_boxes(60, 8), BOX)
+    assert D.nms_rounds(df, ["image"], "box_id", "score", 0.3, 8).count()
+    # one that leaves a single box may need none
+    assert plans[0].count("Exchange hashpartitioning") == 1 and all(p.count("Exchange hashpartitioning") <= 1 for p in plans)
