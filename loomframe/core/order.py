@@ -266,12 +266,12 @@ def _hash_bits(rows: int, bucket_rows: int = 1_000_000) -> int:
 
 
 def random_rank(
-    df: DataFrame, seed, key: Sequence[str], name: str = "rank", bits: int | None = None
+    df: DataFrame, seed, key: Sequence[str], name: str = "rank", bits: int | None = None, bucket_rows: int = 1_000_000
 ) -> DataFrame:
-    """Append each row's 0-based position in a seeded random permutation."""
+    """Append each row's 0-based position in a seeded random permutation; a task sorts about ``bucket_rows`` at a time."""
     key = [key] if isinstance(key, str) else list(key)
     hashed = df.withColumn("_h", keyed_hash(seed, *key))
-    bits = bits or _hash_bits(df.count())
+    bits = bits or _hash_bits(df.count(), bucket_rows)
     counts = bucket_counts(hashed, "_h", bits)
     starts = [0, *accumulate(counts)][:-1]
     bucket = hash_bucket(F.col("_h"), bits)

@@ -136,13 +136,20 @@ def pieces_in_order(tokens: DataFrame, pieces: DataFrame, key: Sequence[str]) ->
     return lists.select(*key, flat.alias("tokens"))
 
 
+#: Pairs that a task sorts at a time.
+PAIR_ROWS = 1 << 16
+
+
 def next_sentence_pairs(pairs: DataFrame, key: Sequence[str], seed) -> DataFrame:
     """Randomly couple the pairs; for half of the couples swap the first sentences.
 
     Columns ``first`` and ``second`` are kept, ``consecutive`` is added. A couple
-    is two rows, so the grouping below is never larger.
+    is two rows, so the grouping below is never larger. The pairs move twice: text
+    to be tokenised is better tokenised afterwards.
     """
-    ranked = random_rank(pairs, seed, key, "_rank")
+    # written once, so that counting and ranking read only the keys again
+    pairs = materialize(pairs.select(*key, "first", "second"), "pairs")
+    ranked = random_rank(pairs, seed, key, "_rank", bucket_rows=PAIR_ROWS)
     couple = F.floor(F.col("_rank") / 2).cast("bigint")
     rows = F.array_sort(F.collect_list(F.struct("_rank", *key, "first", "second")))
     grouped = ranked.groupBy(couple.alias("couple")).agg(rows.alias("_r"))

@@ -260,23 +260,26 @@ def _lines(t: Tables):
 
 
 # pre-training ----------------------------------------------------------------------
-def sentence_pairs(t: Tables):
-    """Lines 2k and 2k+1 of a document as token lists."""
-    starts = F.sequence(F.lit(0), F.greatest(F.floor(F.size("l") / 2).cast("int") - 1, F.lit(0)))
-    # lines are tokenised after the explode, so that passes over the keys skip it
+def line_pairs(t: Tables):
+    """Lines 2k and 2k+1 of a document; a row holds its two lines, not the whole document."""
+    last = F.greatest(F.floor(F.size("l") / 2).cast("int") - 1, F.lit(0))
+    pair = lambda k: F.struct(k.cast("bigint").alias("pair"), F.get("l", k * 2).alias("first"), F.get("l", k * 2 + 1).alias("second"))
     return (
         documents(t).select("doc_id", T.normalize_lines(F.col("text")).alias("l"))
         .filter(F.size("l") >= 2)
-        .select("doc_id", "l", F.explode(starts).alias("pair"))
-        .select(
-            "doc_id",
-            F.col("pair").cast("bigint").alias("pair"),
-            T.text_chain(F.get("l", F.col("pair") * 2)).alias("first"),
-            T.text_chain(F.get("l", F.col("pair") * 2 + 1)).alias("second"),
-        )
+        .select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), last), pair)))
     )
 
 
+def with_pair_tokens(pairs):
+    return pairs.withColumns({c: T.text_chain(F.col(c)) for c in ("first", "second")})
+
+
+def sentence_pairs(t: Tables):
+    """The pairs of lines as token lists."""
+    return with_pair_tokens(line_pairs(t))
+
+
 _LINE_TOKENS = f"list_transform({_LINES}, lambda s: {pieces_sql('lower(s)')})"
 PAIRS_SQL = f"""(SELECT doc_id, k AS pair, l[2 * k + 1] AS first, l[2 * k + 2] AS second FROM
   (SELECT doc_id, l, unnest(range(len(l) // 2)) AS k FROM (SELECT doc_id, {_LINE_TOKENS} AS l FROM documents)))"""
@@ -292,7 +295,7 @@ NSP_SQL = f"""(SELECT doc_id, pair, couple, CASE WHEN swap THEN other ELSE first
     f"SELECT doc_id, pair, couple, consecutive, {digest_sql('first')} AS first, {digest_sql('second')} AS second FROM {NSP_SQL}",
 )
 def _nsp(t: Tables):
-    out = L.next_sentence_pairs(sentence_pairs(t), ["doc_id", "pair"], 9)
+    out = with_pair_tokens(L.next_sentence_pairs(line_pairs(t), ["doc_id", "pair"], 9))
     return out.select(
         "doc_id", "pair", "couple", "consecutive", T.digest(F.col("first")).alias("first"), T.digest(F.col("second")).alias("second")
     )
@@ -319,7 +322,7 @@ CODE_RESERVED = ["<unk>", "<cls>", "<sep>", "<msk>"]
 
 
 def instances(t: Tables):
-    swapped = L.next_sentence_pairs(sentence_pairs(t), ["doc_id", "pair"], 9)
+    swapped = with_pair_tokens(L.next_sentence_pairs(line_pairs(t), ["doc_id", "pair"], 9))
     a, b = T.truncate_pair(F.col("first"), F.col("second"), 125)
     label, types = L.pretraining_sequence(F.col("a"), F.col("b"), "<cls>", "<sep>")
     return swapped.select("doc_id", "pair", "consecutive", a.alias("a"), b.alias("b")).select(

@@ -196,3 +196,17 @@ def test_suppression_round_moves_no_copies_of_boxes(spark, monkeypatch):
     assert D.nms_rounds(df, ["image"], "box_id", "score", 0.3, 8).count()
     # one that leaves a single box may need none
     assert plans[0].count("Exchange hashpartitioning") == 1 and all(p.count("Exchange hashpartitioning") <= 1 for p in plans)
+
+
+def test_sentence_pairs_are_cut_once_and_tokenised_last(spark, sf_dir, monkeypatch):
+    pairs = text.line_pairs(Tables(spark, sf_dir))
+    # a row of a pair held all lines of its document
+    generates = [line for line in _plan(pairs).splitlines() if "Generate" in line]
+    assert generates and all("], false, [pair" in line and "[doc_id" in line for line in generates)
+    out = L.next_sentence_pairs(pairs, ["doc_id", "pair"], 9)
+    # ranking went back to the texts for each of its passes
+    assert "regexp_replace" in _plan(pairs) and "regexp_replace" not in _plan(out)
+    want = out.collect()
+    monkeypatch.setattr(L, "PAIR_ROWS", 2)
+    few = L.next_sentence_pairs(pairs, ["doc_id", "pair"], 9).collect()
+    assert want and sorted(few) == sorted(want)
