@@ -7,6 +7,10 @@ any task retry.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 HASH_BITS = 52  # 13 hex digits: exact in a double
@@ -22,6 +26,12 @@ def keyed_hash(seed, *keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
+def digest_numbers(texts: Iterable[bytes]) -> np.ndarray:
+    """What ``keyed_hash`` makes of ``seed:key1:key2...``, for texts inside a task."""
+    digests = b"".join([hashlib.md5(text, usedforsecurity=False).digest() for text in texts])
+    return (np.frombuffer(digests, dtype=">u8")[::2] >> (64 - HASH_BITS)).astype(np.int64)
+
+
 def keyed_uniform(seed, *keys) -> Column:
     """A double in [0, 1)."""
     return keyed_hash(seed, *keys) / F.lit(float(2**HASH_BITS))

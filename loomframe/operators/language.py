@@ -7,11 +7,14 @@ import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomframe.core import skew
-from loomframe.core.keyed import keyed_hash, keyed_uniform
+from loomframe.core.keyed import HASH_BITS, digest_numbers, keyed_hash, keyed_uniform
 from loomframe.core.order import random_rank, row_index
 from loomframe.core.session import materialize
 from loomframe.operators.joins import lookup_join
@@ -172,6 +175,10 @@ def pretraining_sequence(a: Column, b: Column, cls: str, sep: str) -> tuple[Colu
     return label, F.transform(label, lambda t, i: (i >= first).cast("int"))
 
 
+#: Instances a task masks at a time.
+MASK_ROWS = 1024
+
+
 def mask_tokens(
     df: DataFrame,
     label: str,
@@ -183,12 +190,69 @@ def mask_tokens(
     share: float = 0.2,
     max_masked: int = 20,
 ) -> DataFrame:
-    """Long masked instances: (key, pos, label_id, masked, masked_id).
+    """Masked instances: (key, pos, label_id, masked, masked_id), the last four arrays with an entry per token.
 
     A keyed hash per position picks min(share * n, max_masked) positions; a
     second one decides between the mask token (80 %), a random vocabulary token
     (10 %) and the token itself (10 %).
+
+    A vocabulary of at most ``skew.BROADCAST_BYTES`` (counted) goes to the tasks, and no
+    token becomes a row; a larger one meets the tokens in a join, see ``mask_tokens_join``.
     """
+    given = df.filter(F.size(label) > 0)
+    words = vocabulary.select("token", "index")
+    if not skew.fits_broadcast(words):
+        return mask_tokens_join(given, label, key, words, seed, mask, unknown_id, share, max_masked)
+    known = words.toArrow()
+    shipped = df.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), known["index"].combine_chunks().cast(pa.int64())))
+    size = known.num_rows
+    mask_id = pc.max(known.filter(pc.equal(known["token"], mask))["index"]).as_py()
+    head = str(seed)
+
+    def masked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, ids = shipped.value
+        flat = batch.column(label).flatten()
+        lengths = pc.list_value_length(batch.column(label)).to_numpy()
+        starts = np.cumsum(lengths) - lengths
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pos = np.arange(len(flat)) - starts[row]
+        names = [n.encode() for n in batch.column("_name").to_pylist()]
+        ends = [b":%d" % i for i in range(lengths.max(initial=0))]
+        hashed = digest_numbers(name + end for name, n in zip(names, lengths.tolist()) for end in ends[:n])
+        order = np.lexsort((pos, hashed, row))
+        count = np.minimum(np.floor(lengths * share), max_masked)
+        chosen = np.zeros(len(flat), bool)
+        # within a row the sorted places are the row's own
+        chosen[order] = pos < count[row]
+        at = np.flatnonzero(chosen)
+        bodies = [names[r][len(head) :] + ends[i] for r, i in zip(row[at].tolist(), pos[at].tolist())]
+        u = digest_numbers(f"{head}/kind".encode() + body for body in bodies) / float(2**HASH_BITS)
+        drawn = digest_numbers(f"{head}/token".encode() + body for body in bodies) % size
+        label_id = pc.fill_null(pc.take(ids, pc.index_in(flat, value_set=tokens, skip_nulls=True)), unknown_id).to_numpy()
+        masked_id = label_id.copy()
+        masked_id[at] = np.where(u < 0.8, mask_id or 0, np.where(u < 0.9, drawn, label_id[at]))
+        gone = np.zeros(len(flat), bool)
+        gone[at] = (u < 0.8) & (mask_id is None)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+        made = [pa.array(pos.astype(np.int32)), pa.array(label_id), pa.array(chosen), pa.array(masked_id, mask=gone)]
+        lists = [pa.ListArray.from_arrays(offsets, values) for values in made]
+        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], *lists], [*key, "pos", "label_id", "masked", "masked_id"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, MASK_ROWS):
+                yield masked(batch.slice(start, MASK_ROWS))
+
+    name = F.concat_ws(":", F.lit(head), *[F.col(k).cast("string") for k in key])
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", pos array<int>, label_id array<bigint>, masked array<boolean>, masked_id array<bigint>"
+    return given.select(*key, F.col(label), name.alias("_name")).mapInArrow(run, schema)
+
+
+def mask_tokens_join(
+    df: DataFrame, label: str, key: Sequence[str], vocabulary: DataFrame, seed, mask: str, unknown_id: int, share: float = 0.2, max_masked: int = 20
+) -> DataFrame:
+    """The same with a vocabulary of any size; instances of one key come back as one row."""
     ordered = F.array_sort(
         F.transform(label, lambda t, i: F.struct(keyed_hash(seed, *key, i).alias("h"), i.alias("i")))
     )
@@ -207,32 +271,35 @@ def mask_tokens(
     masked_id = (
         F.when(~masked, label_id).when(u < 0.8, mask_id).when(u < 0.9, random_id).otherwise(label_id)
     )
-    return with_ids.select(
-        *key,
-        "pos",
-        label_id.alias("label_id"),
-        masked.alias("masked"),
-        masked_id.alias("masked_id"),
-    )
+    rows = with_ids.select(*key, "pos", label_id.alias("label_id"), masked.alias("masked"), masked_id.alias("masked_id"))
+    entries = F.array_sort(F.collect_list(F.struct("pos", "label_id", "masked", "masked_id")))
+    grouped = rows.groupBy(*key).agg(entries.alias("_r"))
+    return grouped.select(*key, *[F.col(f"_r.{c}").alias(c) for c in ("pos", "label_id", "masked", "masked_id")])
 
 
 def assemble_instances(
-    long: DataFrame, key: Sequence[str], types: DataFrame, max_length: int = 128, max_masked: int = 20
+    instances: DataFrame, key: Sequence[str], types: DataFrame, max_length: int = 128, max_masked: int = 20
 ) -> DataFrame:
-    """Fixed-width arrays per instance from the rows of ``mask_tokens``."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "label_id", "masked", "masked_id")))
-    grouped = long.groupBy(*key).agg(rows.alias("_r")).join(types, list(key))
-    zero = F.lit(0).cast("bigint")
+    """Fixed-width arrays per instance from the rows of ``mask_tokens``; those of one key are one instance."""
+    parts = F.collect_list(F.struct("pos", "label_id", "masked", "masked_id"))
+    grouped = instances.groupBy(*key).agg(parts.alias("_parts")).join(types, list(key))
+    zipped = F.transform("_parts", lambda p: F.arrays_zip(*[p[c].alias(c) for c in ("pos", "label_id", "masked", "masked_id")]))
+    merged = F.array_sort(F.flatten(zipped))
+    # a single part is in order
+    column = lambda c: F.when(F.size("_parts") == 1, F.get("_parts", F.lit(0))[c]).otherwise(F.transform(merged, lambda s: s[c]))
+    rows = grouped.select(*key, "types", *[column(c).alias(c) for c in ("pos", "label_id", "masked", "masked_id")])
+    at = F.array_compact(F.transform("masked", lambda m, i: F.when(m, i)))
+    rows = rows.withColumn("_at", at)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     pad = lambda v, n: F.concat(v, F.array_repeat(zero, F.lit(n) - F.size(v)))
-    picked = F.filter("_r", lambda s: s["masked"])
-    return grouped.select(
+    return rows.select(
         *key,
-        pad(F.transform("_r", lambda s: s["masked_id"]), max_length).alias("token_ids"),
-        pad(F.transform("types", lambda x: x.cast("bigint")), max_length).alias("type_ids"),
-        pad(F.transform("_r", lambda s: F.lit(1).cast("bigint")), max_length).alias("input_mask"),
-        pad(F.transform(picked, lambda s: s["pos"].cast("bigint")), max_masked).alias("masked_positions"),
-        pad(F.transform(picked, lambda s: s["label_id"]), max_masked).alias("masked_ids"),
-        pad(F.transform(picked, lambda s: F.lit(1).cast("bigint")), max_masked).alias("label_mask"),
+        pad(F.col("masked_id"), max_length).alias("token_ids"),
+        pad(F.col("types").cast("array<bigint>"), max_length).alias("type_ids"),
+        pad(F.array_repeat(one, F.size("pos")), max_length).alias("input_mask"),
+        pad(F.transform("_at", lambda i: F.get("pos", i).cast("bigint")), max_masked).alias("masked_positions"),
+        pad(F.transform("_at", lambda i: F.get("label_id", i)), max_masked).alias("masked_ids"),
+        pad(F.array_repeat(one, F.size("_at")), max_masked).alias("label_mask"),
     )
 
 

@@ -350,8 +350,8 @@ def _mask(t: Tables):
     dictionary = materialize(K.dictionary_top_n(counts, CODE_RESERVED, 35000), "dictionary")
     rows = materialize(instances(t), "instances")
     key = ["doc_id", "pair"]
-    long = L.mask_tokens(rows.select(*key, "label"), "label", key, dictionary, 13, "<msk>", 0)
-    out = L.assemble_instances(long, key, rows.select(*key, "types"))
+    masked = L.mask_tokens(rows.select(*key, "label"), "label", key, dictionary, 13, "<msk>", 0)
+    out = L.assemble_instances(masked, key, rows.select(*key, "types"))
     weigh = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select(

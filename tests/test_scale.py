@@ -210,3 +210,28 @@ def test_sentence_pairs_are_cut_once_and_tokenised_last(spark, sf_dir, monkeypat
     monkeypatch.setattr(L, "PAIR_ROWS", 2)
     few = L.next_sentence_pairs(pairs, ["doc_id", "pair"], 9).collect()
     assert want and sorted(few) == sorted(want)
+
+
+def test_masks_of_a_shipped_and_a_joined_vocabulary_agree(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i % 30, None if i % 7 == 0 else i % 3, [rng.choice([*words, "rare", None]) for _ in range(rng.randrange(130))]) for i in range(80)]
+    rows += [(100, 1, None), rows[9]]
+    df = spark.createDataFrame(rows, "doc_id long, pair long, label array<string>")
+    dictionary = spark.createDataFrame([(w, i) for i, w in enumerate(["<unk>", "<msk>", *words])], "token string, index long")
+    key, columns = ["doc_id", "pair"], ("pos", "label_id", "masked", "masked_id")
+    given = (df, "label", key, dictionary, 13)
+    for mask in ("<msk>", "none"):
+        shipped = L.mask_tokens(*given, mask, 0)
+        # every token was a row, moved to meet the others of its instance
+        assert "Generate" not in _plan(shipped) and "Exchange" not in _plan(shipped)
+        found = {}
+        for r in shipped.collect():
+            found.setdefault((r.doc_id, r.pair), []).extend(zip(*[r[c] for c in columns]))
+        joined = {(r.doc_id, r.pair): list(zip(*[r[c] for c in columns])) for r in L.mask_tokens_join(*given, mask, 0).collect()}
+        order = lambda rows: sorted(rows, key=str)
+        assert {k: order(v) for k, v in found.items()} == {k: order(v) for k, v in joined.items()}
+        assert any(masked for v in found.values() for _, _, masked, _ in v)
+    types = df.filter("label is not null").select(*key, F.transform("label", lambda t: F.lit(1)).alias("types"))
+    out = [L.assemble_instances(f, key, types, 300, 60).collect() for f in (shipped, L.mask_tokens_join(*given, mask, 0))]
+    assert out[0] and sorted(out[0], key=str) == sorted(out[1], key=str)
