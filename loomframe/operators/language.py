@@ -6,6 +6,8 @@ import os
 import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,29 @@ def build_vocabulary(
     return materialize(head.unionByName(numbered), "vocabulary")
 
 
+def _ship_pieces(pieces: DataFrame):
+    """The pieces as a set, and the length of the longest, in every task."""
+    known = {row.token for row in pieces.collect()}
+    return pieces.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=0)))
+
+
+def _walk(word: str, known: set[str], longest: int, unknown: str, max_chars: int) -> list[str]:
+    out, at, n = [], 0, len(word)
+    if n > max_chars:
+        return [unknown]
+    while at < n:
+        mark = "##" if at else ""
+        for end in range(min(n, at + longest), at, -1):
+            piece = mark + word[at:end]
+            if piece in known:
+                break
+        else:
+            return [unknown]
+        out.append(piece)
+        at = end
+    return out
+
+
 def wordpiece(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
     """(token, pieces) for the distinct tokens: greedy longest match from the left.
 
@@ -60,30 +85,11 @@ def wordpiece(tokens: DataFrame, vocabulary: DataFrame, unknown: str = "[UNK]",
     pieces = materialize(vocabulary.select("token").distinct(), "pieces")
     if not skew.fits_broadcast(pieces):
         return wordpiece_join(tokens, pieces, unknown, max_chars)
-    known = {row.token for row in pieces.collect()}
-    shipped = tokens.sparkSession.sparkContext.broadcast((known, max(map(len, known), default=0)))
+    shipped = _ship_pieces(pieces)
 
     @F.pandas_udf("array<string>")
     def split(words: pd.Series) -> pd.Series:
-        known, longest = shipped.value
-
-        def walk(word: str) -> list[str]:
-            out, at, n = [], 0, len(word)
-            if n > max_chars:
-                return [unknown]
-            while at < n:
-                mark = "##" if at else ""
-                for end in range(min(n, at + longest), at, -1):
-                    piece = mark + word[at:end]
-                    if piece in known:
-                        break
-                else:
-                    return [unknown]
-                out.append(piece)
-                at = end
-            return out
-
-        return words.map(walk)
+        return words.map(lambda word: _walk(word, *shipped.value, unknown, max_chars))
 
     distinct = tokens.select("token").distinct()
     return distinct.withColumn("pieces", split("token"))
@@ -139,6 +145,63 @@ def pieces_in_order(tokens: DataFrame, pieces: DataFrame, key: Sequence[str]) ->
     return lists.select(*key, flat.alias("tokens"))
 
 
+#: Documents whose tokens a task splits at a time, and distinct words whose pieces it remembers.
+SPLIT_ROWS, SPLIT_WORDS = 512, 1 << 18
+
+
+def wordpiece_lists(
+    lists: DataFrame, key: Sequence[str], vocabulary: DataFrame, unknown: str = "[UNK]", max_chars: int = 200
+) -> DataFrame:
+    """(key, tokens) with all words of each list replaced by their pieces: what ``wordpiece`` and ``pieces_in_order`` make of its rows.
+
+    A vocabulary of at most ``skew.BROADCAST_BYTES`` (counted) goes to the tasks, and
+    words become pieces where their list is: no word is moved. Lists of one key, which are merged
+    by position, and those of a larger vocabulary go through the two operators.
+    """
+    key = list(key)
+    pieces = materialize(vocabulary.select("token").distinct(), "pieces")
+    lists = lists.select(*key, "tokens")
+
+    def by_rows(some: DataFrame) -> DataFrame:
+        rows = some.select(*key, F.posexplode("tokens").alias("pos", "token"))
+        return pieces_in_order(rows, wordpiece(rows, pieces, unknown, max_chars), key)
+
+    if not skew.fits_broadcast(pieces):
+        return by_rows(lists)
+    shipped = _ship_pieces(pieces)
+
+    def split(words: pa.ListArray, seen: dict[str, list[str]]) -> pa.ListArray:
+        encoded = words.flatten().dictionary_encode()
+        if len(seen) > SPLIT_WORDS:
+            seen.clear()
+        found = []
+        for word in encoded.dictionary.to_pylist():
+            if word not in seen:
+                seen[word] = _walk(word, *shipped.value, unknown, max_chars)
+            found.append(seen[word])
+        taken = pa.array(found, pa.list_(pa.string())).take(encoded.indices)
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(taken), 0).to_numpy())))
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
+        return pa.ListArray.from_arrays(pa.array(ends[starts].astype(np.int32)), taken.flatten())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        seen: dict[str, list[str]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SPLIT_ROWS):
+                part = batch.slice(start, SPLIT_ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in key], split(part.column("tokens"), seen)], [*key, "tokens"])
+
+    def in_place(some: DataFrame) -> DataFrame:
+        return some.filter(F.size("tokens") > 0).mapInArrow(run, lists.schema)
+
+    counted = lists.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    again = materialize(counted.select(*[F.col(k).alias(f"_again_{k}") for k in key]), "repeated")
+    if again.isEmpty():
+        return in_place(lists)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in key])
+    return in_place(lists.join(again, same, "left_anti")).unionByName(by_rows(lists.join(again, same, "left_semi")))
+
+
 #: Pairs that a task sorts at a time.
 PAIR_ROWS = 1 << 16
 

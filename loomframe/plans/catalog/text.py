@@ -408,6 +408,9 @@ def _wordpiece_join(t: Tables):
     return out.select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
+#: Lists of up to 130 pieces that a task looks up and puts together again.
+CUT_LISTS = 1 << 13
+
 _BASIC = pieces_sql(r"strip_accents(lower(trim(regexp_replace(text, '[\t\n\r\p{Z}]', ' ', 'g'))))")
 
 
@@ -430,11 +433,12 @@ def _review(t: Tables):
     pieces_vocab = materialize(piece_vocabulary(t), "pieces")
     reserved = ["[CLS]", "[SEP]", "[UNK]"]
     vocab = L.build_vocabulary(pieces_vocab, 1, reserved[:2], "[UNK]")
-    rows = J.explode_tokens(documents(t), ["doc_id"], T.bert_basic_tokenize(F.col("text")))
-    pieces = L.wordpiece(rows, vocab)
-    lists = L.pieces_in_order(rows, pieces, ["doc_id"])
+    docs = documents(t).select("doc_id", T.bert_basic_tokenize(F.col("text")).alias("tokens"))
+    lists = L.wordpiece_lists(docs, ["doc_id"], vocab)
     cut = lists.select("doc_id", T.terminate(T.truncate(F.col("tokens"), 128), "[CLS]", "[SEP]").alias("tokens"))
-    ids = J.token_lookup(J.explode_tokens(cut, ["doc_id"], "tokens"), vocab, 2)
+    # lists move, not their rows
+    parts = max(t.spark.sparkContext.defaultParallelism, -(-t.documents.count() // CUT_LISTS))
+    ids = J.token_lookup(J.explode_tokens(cut.repartition(parts, "doc_id"), ["doc_id"], "tokens"), vocab, 2)
     return J.recollect(ids, ["doc_id"], "index", "ids").select(
         "doc_id", F.size("ids").cast("bigint").alias("n"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids")
     )

@@ -235,3 +235,25 @@ def test_masks_of_a_shipped_and_a_joined_vocabulary_agree(spark):
     types = df.filter("label is not null").select(*key, F.transform("label", lambda t: F.lit(1)).alias("types"))
     out = [L.assemble_instances(f, key, types, 300, 60).collect() for f in (shipped, L.mask_tokens_join(*given, mask, 0))]
     assert out[0] and sorted(out[0], key=str) == sorted(out[1], key=str)
+
+
+def test_pieces_of_lists_are_those_of_their_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = spark.createDataFrame([(w,) for w in ("a", "b", "##b", "##a", "ab", "##ba", "é")], "token string")
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 6)))
+    lists = [(i, [rng.choice([word(), "c", None]) if i % 5 == 0 else word() for _ in range(rng.randrange(1, 40))]) for i in range(30)]
+    odd = [(50, None), (51, []), (None, ["ab"]), (3, ["bab", "c"]), (52, ["a" * 201])]
+    for extra in (odd[:3], odd):
+        df = spark.createDataFrame([*lists, *extra], "doc_id long, tokens array<string>")
+        rows = df.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+        want = {r.doc_id: r.tokens for r in L.pieces_in_order(rows, L.wordpiece(rows.filter("token is not null"), vocabulary), ["doc_id"]).collect()}
+        monkeypatch.setattr(L, "SPLIT_ROWS", 7)
+        monkeypatch.setattr(L, "SPLIT_WORDS", 20)
+        got = L.wordpiece_lists(df, ["doc_id"], vocabulary)
+        found = got.collect()
+        assert {r.doc_id: r.tokens for r in found if r.tokens} == want and len(found) == len({r.doc_id for r in found})
+        # each word was a row, moved to meet its pieces and again to meet its document
+        assert extra is odd or "Exchange" not in _plan(got)
+        with monkeypatch.context() as m:
+            m.setattr(L.skew, "BROADCAST_BYTES", 0)
+            assert {r.doc_id: r.tokens for r in L.wordpiece_lists(df.filter("doc_id != 5 or doc_id is null"), ["doc_id"], vocabulary).collect() if r.doc_id in (1, 3)} == {k: want[k] for k in (1, 3)}
