@@ -356,10 +356,11 @@ def _text_predict(t: Tables):
 def _word2vec(t: Tables):
     """Skip-gram and bag-of-words vectors of all words with 50 occurrences."""
     df = t.documents.select("doc_id", T.text_chain(F.col("text")).alias("tokens"))
-    parts = []
+    parts, corpus = [], None
     for mode in WV.MODES:
         options = WV.Options(mode=mode, dimensions=16, epochs=2, min_count=50, seed=7)
-        parts.append(WV.fit(df, F.col("tokens"), ["doc_id"], options).select(F.lit(mode).alias("mode"), "word", "n", "vector"))
+        corpus = corpus or WV.prepare(df, F.col("tokens"), ["doc_id"], options)
+        parts.append(WV.fit(df, F.col("tokens"), ["doc_id"], options, corpus).select(F.lit(mode).alias("mode"), "word", "n", "vector"))
     return parts[0].unionByName(parts[1])
 
 
