@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import word_vectors as WV
+from loomframe.operators import joins as J, word_vectors as WV
+from loomframe.plans.catalog import shapes
+from loomframe.plans.registry import Tables
 
 
 def _plan(df):
@@ -84,3 +86,53 @@ def test_bundles_grow_while_their_words_fit(monkeypatch):
     assert 1 <= size() < 32
     monkeypatch.setattr(WV, "BUNDLE_BYTES", 256)
     assert size() == 1
+
+
+def _lookups(spark):
+    df = _texts(spark)
+    vocabulary = spark.createDataFrame([(f"w{i}", 90 - 3 * i) for i in range(25)] + [("", 7)], "token string, index long")
+    return df, vocabulary
+
+
+def test_ids_of_lists_are_those_of_their_rows(spark, monkeypatch):
+    df, vocabulary = _lookups(spark)
+    rows = J.token_lookup(J.explode_tokens(df, ["k"], "tokens"), vocabulary, 3)
+    entry = F.struct("pos", F.col("index").cast("int").alias("index"))
+    want = {r.k: [tuple(x) for x in r.ids] for r in J.recollect(rows.withColumn("x", entry), ["k"], "x", "ids").collect()}
+    assert want[5] and None in want and len(want) < df.count() - 2
+    for limit, slice_ in ((0, J.HASHED), (J.SHIPPED_BYTES, J.HASHED), (J.SHIPPED_BYTES, 4)):
+        monkeypatch.setattr(J, "SHIPPED_BYTES", limit)
+        monkeypatch.setattr(J, "HASHED", slice_)
+        got = J.token_lookup(df, vocabulary, 3)
+        assert {r.k: [tuple(x) for x in r.ids] for r in J.recollect(got, ["k"], "index", "ids").collect()} == want
+    # a repeated word gives an id for each
+    twice = J.token_lookup(df, vocabulary.union(vocabulary.limit(1)), 3)
+    assert sum(len(r["index"]) for r in twice.collect()) > sum(len(r["index"]) for r in got.collect())
+    wide = J.token_lookup(df, vocabulary.withColumn("index", F.col("index") + 2**40), 3)
+    assert dict(wide.dtypes)["index"] == "array<bigint>" and max(max(r["index"]) for r in wide.collect()) == 90 + 2**40
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_matrices_of_shipped_and_joined_vectors_agree(spark, monkeypatch, kind):
+    df, vocabulary = _lookups(spark)
+    lists = J.recollect(J.token_lookup(df, vocabulary, 3), ["k"], "index", "ids")
+    # ids without a vector, with several, with a null one, and a null key
+    vectors = [(k, [float(k), 0.5]) for k in range(0, 90, 2)] + [(84, [2.0, None]), (87, None), (None, [9.0, 9.0])]
+    table = spark.createDataFrame(vectors, f"index long, v array<{kind}>")
+    got = []
+    for limit, block in ((J.SHIPPED_BYTES, J.BLOCK_IDS), (J.SHIPPED_BYTES, 7), (0, 300)):
+        monkeypatch.setattr(J, "SHIPPED_BYTES", limit)
+        monkeypatch.setattr(J, "BLOCK_IDS", block)
+        made = J.embedding_matrices(lists, table, "ids", "index", "v")
+        got.append({r.k: r.matrix for r in made.collect()})
+        assert ("CoGroup" in _plan(made)) == (limit == 0)
+        assert J.embedding_matrices(lists.limit(0), table, "ids", "index", "v").count() == 0
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+    assert any(v == [2.0, None] for m in got[0].values() for v in m) and any(v is None for m in got[0].values() for v in m)
+
+
+def test_text_embedding_moves_a_list_once_and_no_vectors(spark, sf_dir, monkeypatch):
+    # as with a vocabulary that is too large for a broadcast join: each token was a row that moved to meet its word
+    monkeypatch.setattr(J.skew, "BROADCAST_BYTES", 0)
+    plan = _plan(shapes._text_embedding(Tables(spark, sf_dir)))
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
